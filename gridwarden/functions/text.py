@@ -109,7 +109,7 @@ def dust_region(
 def resolve_dust_regions(value: Value) -> Column:
     """Distinct region ids of a text that lists places with commas, slashes, semicolons, 'and' or '&'."""
     parts = F.filter(F.split(F.lower(text(value)), r"\s*(?:,|/|;|\band\b|&)\s*"), lambda p: p != "")
-    return F.array_distinct(F.filter(F.transform(parts, dust_region), lambda r: r != ""))
+    return F.array_distinct(F.filter(F.transform(parts, lambda p: dust_region(p)), lambda r: r != ""))
 
 
 def residual_tokens(value: Value, provinces: Column, table: Mapping[str, str] = gazetteer.FLOOD_PLACES) -> Column:

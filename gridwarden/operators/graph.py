@@ -38,8 +38,12 @@ def _t(s: Column, p: Column | str, o: Column | str) -> Column:
 
 
 def _open(df: DataFrame, *parts: Column) -> DataFrame:
-    """Explode arrays of triple structs to distinct rows."""
-    return df.select(F.explode(F.concat(*parts)).alias("_t")).select("_t.*").filter(F.col("object").isNotNull()).distinct()
+    """Open arrays of triple structs to distinct rows.
+
+    The outer form keeps the optimizer from inferring a not-empty filter, which would copy the whole
+    triple expression below every projection under it.
+    """
+    return df.select(F.explode_outer(F.concat(*parts)).alias("_t")).select("_t.*").filter(F.col("object").isNotNull()).distinct()
 
 
 def clean_name(value: Column) -> Column:

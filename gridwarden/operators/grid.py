@@ -45,7 +45,8 @@ def standard_grid(
 
 
 def cell_id(lat: Value, lon: Value, prefix: str = "cell", digits: int = 1) -> Column:
-    return F.format_string(f"{prefix}_%.{digits}f_%.{digits}f", col(lat), col(lon))
+    both = col(lat).isNotNull() & col(lon).isNotNull()
+    return F.when(both, F.format_string(f"{prefix}_%.{digits}f_%.{digits}f", col(lat), col(lon)))
 
 
 def crop(df: DataFrame, box: Box = DOMAIN_BOX, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
@@ -78,7 +79,8 @@ def normalize_coords(df: DataFrame, box: Box = DOMAIN_BOX, wrap: str = "signed")
         F.min("latitude").alias("a"), F.max("latitude").alias("b"), F.min("longitude").alias("c"), F.max("longitude").alias("d")
     ).first()
     if ranges["a"] is not None and _looks_swapped(ranges, box):
-        out = out.withColumnsRenamed({"latitude": "longitude", "longitude": "latitude"})
+        crossed = {"latitude": "longitude", "longitude": "latitude"}
+        out = out.select(*[F.col(c).alias(crossed.get(c, c)) for c in out.columns])
     lon = F.col("longitude")
     if wrap == "positive":
         wrapped = F.when(lon < 0, F.pmod(lon, F.lit(360.0))).otherwise(lon)

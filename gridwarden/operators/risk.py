@@ -93,9 +93,8 @@ def _flash_flood(df: DataFrame) -> tuple[Column, Column, Column]:
 
 def _extreme_heat(df: DataFrame) -> tuple[Column, Column, Column]:
     temp, rh = pick(df, "t2m_c", "temp_c"), pick(df, "rh2m", "rh_percent")
-    hi = F.coalesce(pick(df, "heat_index_c"), ph.heat_index_c(temp, rh, "screening"))
     t = F.coalesce(temp, lit(0.0))
-    h = F.coalesce(hi, t)
+    h = F.coalesce(F.col("_hi"), t)
     p = F.greatest((t - 38.0) / 12.0, (h - 41.0) / 12.0) + F.when(t >= 45, lit(0.2)).otherwise(lit(0.0))
     factors = _factors((t >= 42, "heat_temp"), (h >= 45, "heat_index"), (rh >= 55, "heat_humidity"))
     return clamp(p), factors, _evidence(df, ("t2m_c", "rh2m", "heat_index_c", "tmax_c", "hot_day_flag", "hot_night_flag"))
@@ -104,8 +103,7 @@ def _extreme_heat(df: DataFrame) -> tuple[Column, Column, Column]:
 def _dry_heat(df: DataFrame) -> tuple[Column, Column, Column]:
     temp, rh = pick(df, "t2m_c", "temp_c"), pick(df, "rh2m", "rh_percent")
     wind, vegetation = pick(df, "wind10_speed", "wind_speed_mps"), pick(df, "vegetation_index")
-    vpd = F.coalesce(pick(df, "vpd_kpa"), ph.vpd_kpa(temp, rh))
-    factors = _factors((vpd >= 4, "dry_vpd"), (temp >= 40, "dry_temp"), (wind >= 8, "dry_wind"))
+    factors = _factors((F.col("_vpd") >= 4, "dry_vpd"), (temp >= 40, "dry_temp"), (wind >= 8, "dry_wind"))
     return ph.dry_heat_score(temp, rh, wind, vegetation), factors, _evidence(df, ("t2m_c", "rh2m", "vpd_kpa", "wind10_speed", "bowen_ratio"))
 
 
@@ -118,13 +116,10 @@ def _dust(df: DataFrame) -> tuple[Column, Column, Column]:
 
 
 def _coastal_humid_heat(df: DataFrame) -> tuple[Column, Column, Column]:
-    temp, rh = pick(df, "t2m_c", "temp_c"), pick(df, "rh2m", "rh_percent")
+    rh = pick(df, "rh2m", "rh_percent")
     wind = F.coalesce(pick(df, "wind10_speed", "wind_speed_mps"), lit(0.0))
-    pressure = pick(df, "surface_pressure", "pressure_hpa")
-    pressure = F.when(pressure > 2000, pressure / 100.0).otherwise(pressure)
-    pwat = F.coalesce(pick(df, "pwat", "pwat_mm"), ph.pwat_proxy(temp, rh, pressure))
+    pwat, hi = F.col("_pwat"), F.col("_hi")
     ivt = F.coalesce(pick(df, "ivt", "ivt_kg_m_s"), ph.ivt_proxy(wind, pwat))
-    hi = F.coalesce(pick(df, "heat_index_c"), ph.heat_index_c(temp, rh, "screening"))
     distance = pick(df, "coastal_distance_km", default=120.0)
     p = (
         0.35 * clamp((F.coalesce(rh, lit(0.0)) - 55.0) / 35.0)
@@ -145,38 +140,62 @@ RULES = {
 }
 
 
-def risk_struct(df: DataFrame, hazard: str, bounds: Sequence[float] = RULE_BOUNDS) -> Column:
-    p, factors, evidence = RULES[hazard](df)
-    status = F.coalesce(F.col("source_status"), F.lit("normal")) if "source_status" in df.columns else F.lit("normal")
-    return F.struct(
-        F.lit(hazard).alias("hazard_type"),
-        p.alias("risk_probability"),
-        risk_level(p, bounds).alias("risk_level"),
-        factors.alias("contributing_factors"),
-        evidence.alias("indicator_evidence"),
-        F.lit("rule").alias("model_family"),
-        F.lit("rule_screening_v1").alias("model_name"),
-        F.lit("v1").alias("model_version"),
-        F.lit("rule").alias("inference_mode"),
-        status.alias("source_status"),
+def with_rule_scores(df: DataFrame, hazards: Sequence[str] = tuple(RULES), bounds: Sequence[float] = RULE_BOUNDS) -> DataFrame:
+    """Add one struct column ``_risk_<hazard>`` per hazard.
+
+    Shared inputs and probabilities are columns of their own projection, so none is written out twice and
+    the generated code stays small.
+    """
+    temp, rh = pick(df, "t2m_c", "temp_c"), pick(df, "rh2m", "rh_percent")
+    pressure = pick(df, "surface_pressure", "pressure_hpa")
+    pressure = F.when(pressure > 2000, pressure / 100.0).otherwise(pressure)
+    rows = df.withColumns(
+        {
+            "_hi": F.coalesce(pick(df, "heat_index_c"), ph.heat_index_c(temp, rh, "screening")),
+            "_vpd": F.coalesce(pick(df, "vpd_kpa"), ph.vpd_kpa(temp, rh)),
+            "_pwat": F.coalesce(pick(df, "pwat", "pwat_mm"), ph.pwat_proxy(temp, rh, pressure)),
+        }
     )
+    rules = {h: RULES[h](df) for h in hazards}
+    rows = rows.withColumns({f"_p_{h}": p for h, (p, _, _) in rules.items()})
+    status = F.coalesce(F.col("source_status"), F.lit("normal")) if "source_status" in df.columns else F.lit("normal")
+
+    def entry(h: str) -> Column:
+        return F.struct(
+            F.lit(h).alias("hazard_type"),
+            F.col(f"_p_{h}").alias("risk_probability"),
+            risk_level(f"_p_{h}", bounds).alias("risk_level"),
+            rules[h][1].alias("contributing_factors"),
+            rules[h][2].alias("indicator_evidence"),
+            F.lit("rule").alias("model_family"),
+            F.lit("rule_screening_v1").alias("model_name"),
+            F.lit("v1").alias("model_version"),
+            F.lit("rule").alias("inference_mode"),
+            status.alias("source_status"),
+        )
+
+    return rows.withColumns({f"_risk_{h}": entry(h) for h in hazards}).drop("_hi", "_vpd", "_pwat", *[f"_p_{h}" for h in hazards])
 
 
 def with_risks(df: DataFrame, hazards: Sequence[str] = tuple(RULES), bounds: Sequence[float] = RULE_BOUNDS) -> DataFrame:
     """Add the array ``risks``, one entry per hazard: a pure projection of the input row."""
-    return df.withColumn("risks", F.array(*[risk_struct(df, h, bounds) for h in hazards]))
+    names = [f"_risk_{h}" for h in hazards]
+    return with_rule_scores(df, hazards, bounds).withColumn("risks", F.array(*names)).drop(*names)
 
 
 def scan_risks(
     df: DataFrame, keep: Sequence[str], hazards: Sequence[str] = tuple(RULES), bounds: Sequence[float] = RULE_BOUNDS
 ) -> DataFrame:
     """All hazards of all rows in long form, from one scan."""
-    return with_risks(df, hazards, bounds).select(*keep, F.explode("risks").alias("_r")).select(*keep, "_r.*")
+    entries = F.array(*[f"_risk_{h}" for h in hazards])
+    return with_rule_scores(df, hazards, bounds).select(*keep, F.explode(entries).alias("_r")).select(*keep, "_r.*")
 
 
 def score_single(df: DataFrame, hazard: str, bounds: Sequence[float] = RULE_BOUNDS) -> DataFrame:
     """Columns of one hazard's rule next to the input."""
-    return df.withColumn("_r", risk_struct(df, hazard, bounds)).select(*df.columns, "_r.risk_probability", "_r.risk_level", "_r.contributing_factors")
+    name = f"_risk_{hazard}"
+    fields = ("risk_probability", "risk_level", "contributing_factors")
+    return with_rule_scores(df, [hazard], bounds).select(*df.columns, *[f"{name}.{f}" for f in fields])
 
 
 def evidence_check(risks: DataFrame, indicators: Sequence[str] = ()) -> DataFrame:

@@ -419,7 +419,7 @@ def hazard_training_tables(days: DataFrame, hazards: Sequence[str], keep: Sequen
         pairs = F.array(*[F.struct(F.lit(n).alias("k"), v.alias("v")) for n, v in values.items()])
         return F.when(complete, F.struct(F.lit(hazard).alias("hazard_type"), F.map_from_entries(pairs).alias("features")))
 
-    out = days.select(*keep, F.explode(F.array_compact(F.array(*[payload(h) for h in hazards]))).alias("_r"))
+    out = days.select(*keep, F.explode(F.array(*[payload(h) for h in hazards])).alias("_r")).filter(F.col("_r").isNotNull())
     return out.select(*keep, "_r.hazard_type", "_r.features")
 
 

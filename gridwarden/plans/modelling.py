@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from gridwarden.constants import FEATURES, FEATURE_NAMES
 from gridwarden.functions.basic import col, first_existing, lit
 from gridwarden.operators.quality import in_range
-from gridwarden.operators.risk import RULE_BOUNDS, feature_names, risk_level, risk_level_grid, risk_struct, standard_indicator_values
+from gridwarden.operators.risk import RULE_BOUNDS, feature_names, risk_level, risk_level_grid, standard_indicator_values, with_rule_scores
 from gridwarden.operators.training import group_shuffle_split, sample_negatives, supervised_features
 
 # A missing optional feature enters the trees as this value, outside every valid range.
@@ -123,8 +123,7 @@ def score_with_model(df: DataFrame, hazard: str, model: TrainedModel | None, kee
     than splitting and joining the table.
     """
     inputs, complete = _model_inputs(df, hazard)
-    rule = risk_struct(df, hazard, bounds)
-    rows = df.select(*keep, rule.alias("_rule"), complete.alias("_ok"), *[F.coalesce(c, lit(MISSING)).alias(n) for n, c in inputs.items() if n not in keep])
+    rows = with_rule_scores(df, [hazard], bounds).select(*keep, F.col(f"_risk_{hazard}").alias("_rule"), complete.alias("_ok"), *[F.coalesce(c, lit(MISSING)).alias(n) for n, c in inputs.items() if n not in keep])
     if model is None:
         usable, p, reason = F.lit(False), F.col("_rule.risk_probability"), F.lit("missing_model_file")
     else:
