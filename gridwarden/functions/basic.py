@@ -135,3 +135,14 @@ def date_of(value: Value) -> Column:
 def check(ok: Column, value: Column, message: str) -> Column:
     """``value`` when ``ok`` holds, else the job fails with ``message``."""
     return F.when(F.coalesce(ok, F.lit(False)), value).otherwise(F.raise_error(F.lit(message)))
+
+
+def once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add columns whose expensive expressions are evaluated exactly once per row.
+
+    A one-element explode is a step the optimizer does not merge with the projections above it, so the
+    expressions are not copied into every place their column is used.
+    """
+    packed = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once")
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*df.columns, packed).select(*kept, *[F.col(f"_once.{n}").alias(n) for n in columns])

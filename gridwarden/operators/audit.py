@@ -12,6 +12,7 @@ from gridwarden.functions.text import residual_tokens
 from gridwarden.operators.features import coordinate_counts
 from gridwarden.operators.labels import PROVINCE_COLUMNS, FloodLabelPolicy, flood_events
 from gridwarden.operators.quantiles import exact_quantiles
+from gridwarden.session import cut_lineage
 from gridwarden.operators.spatial import boundary_edges, nearest_boundary_distance, point_in_polygon_join, round_coordinates
 
 # Names of the evidence a positive label may rest on.
@@ -231,7 +232,8 @@ def audit_lookup(
 ) -> DataFrame:
     """Unmatched coordinates with their class, distance to a boundary, band, 1-degree bin and feature rows."""
     rows = round_coordinates(lookup, digits).filter(F.lower("match_status") != "matched").select("latitude", "longitude").distinct()
-    edges = boundary_edges(boundaries.select(geometry), geometry, fmt)
+    rows = cut_lineage(rows, "unmatched")
+    edges = cut_lineage(boundary_edges(boundaries.select(geometry), geometry, fmt), "boundaries")
     box = edges.agg(F.min("min_lat").alias("a"), F.max("max_lat").alias("b"), F.min("min_lon").alias("c"), F.max("max_lon").alias("d"))
     rows = rows.withColumn("_one", F.lit(1)).join(F.broadcast(box.withColumn("_one", F.lit(1))), "_one").drop("_one")
     rows = rows.withColumn("_in_box", F.col("latitude").between(F.col("a"), F.col("b")) & F.col("longitude").between(F.col("c"), F.col("d")))

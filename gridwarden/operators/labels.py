@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwarden.functions import physical as ph
-from gridwarden.functions.basic import check, clip, date_of, first_existing, lit, pick, text
+from gridwarden.functions.basic import check, clip, date_of, first_existing, lit, once, pick, text
 from gridwarden.functions.geometry import polygons_from_wkt
 from gridwarden.functions.text import NATIONWIDE, dust_region, province_alias, resolve_dust_regions, resolve_heat_regions, resolve_provinces
 from gridwarden.operators.events import event_mapping_mode
+from gridwarden.session import cut_lineage
 from gridwarden.operators.spatial import boundary_edges, point_in_polygon_join, within_radius_join
 
 PROVINCE_COLUMNS = ("province_name", "admin1_name", "region_name", "location_name")
@@ -52,17 +53,17 @@ def flood_events(events: DataFrame, policy: FloodLabelPolicy = FloodLabelPolicy(
     given = F.lower(text("geometry_source")) if "geometry_source" in events.columns else F.lit("")
     point = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     named = [c for c in PROVINCE_COLUMNS if c in events.columns]
-    out = _dated(events, "event table").withColumn("_provinces", resolve_provinces(*named))
-    shaped = polygons_from_wkt(wkt).isNotNull()
+    out = once(_dated(events, "event table"), {"_provinces": resolve_provinces(*named), "_wkt_ok": polygons_from_wkt(wkt).isNotNull()})
+    shaped = F.col("_wkt_ok")
     source = F.when(given != "", given).when(shaped, "source_geometry").when(wkt.isNull() & point, "derived_point_buffer").otherwise("")
     return out.withColumns(
         {
-            "_mode": event_mapping_mode(policy.statuses, policy.min_spatial_confidence, policy.province_fallback, F.col("_provinces")),
+            "_mode": event_mapping_mode(policy.statuses, policy.min_spatial_confidence, policy.province_fallback, F.col("_provinces"), shaped),
             "_source": source,
             "_shaped": shaped | (wkt.isNull() & ((given != "") | point)),
             "_point": point,
         }
-    )
+    ).drop("_wkt_ok")
 
 
 def label_flash_flood(
@@ -70,7 +71,8 @@ def label_flash_flood(
 ) -> DataFrame:
     """Attach flash-flood labels to grid-day or province-day samples.
 
-    ``events`` is a daily catalogue; ``order`` gives the order in which matches are listed.
+    ``events`` is a daily catalogue; ``order`` gives the order in which matches are listed. The prepared
+    events are stored once in the shared folder, as three joins and an aggregate read them.
     """
     rows = _dated(samples, "sample table")
     has_grid = {"latitude", "longitude"} <= set(samples.columns)
@@ -84,7 +86,8 @@ def label_flash_flood(
     info = F.struct(
         F.col(order).alias("o"), F.col("event_id").alias("id"), F.col("location_name").alias("place"), F.col("_source").alias("source"), F.col("geometry_wkt").alias("wkt")
     )
-    daily = flood_events(events, policy).withColumn("_info", info)
+    needed = ["date", "_info", "_mode", "_provinces", "_shaped", "_point", "latitude", "longitude", "geometry_wkt"]
+    daily = cut_lineage(flood_events(events, policy).withColumn("_info", info).select(*needed), "flood-events")
     modes = ("geometry_wkt", "point_buffer", "province_day")
     days = daily.groupBy("date").agg(
         F.count("*").alias("_events"),
@@ -210,9 +213,9 @@ def label_dust_storm(
     for c in reversed(columns):
         named = F.lower(text(c)) != ""
         region, used = F.when(named, dust_region(c)).otherwise(region), F.when(named, F.lit(c)).otherwise(used)
-    rows = rows.withColumns({"_region": region, "_column": used})
+    rows = once(rows, {"_region": region, "_column": used})
     daily = _dated(events, "event table").filter(F.lower("validation_status").isin(*statuses))
-    daily = daily.withColumn("_regions", resolve_dust_regions("location_name"))
+    daily = once(daily, {"_regions": resolve_dust_regions("location_name")})
     days = daily.groupBy("date").agg(
         F.count("*").alias("_events"),
         F.bool_or(F.size("_regions") == 0).alias("_open"),
@@ -257,7 +260,8 @@ def heat_event_days(events: DataFrame) -> DataFrame:
     if "hazard_type" in events.columns:
         rows = rows.filter(F.regexp_replace(F.lower(F.trim("hazard_type")), "[ -]", "_") == "extreme_heat")
     ident = [F.nullif(text(c), F.lit("")) for c in ("event_id", "record_id") if c in events.columns]
-    rows = rows.select(F.coalesce(*ident, F.lit("unknown_event")).alias("_id"), date_of("start_date").alias("_a"), date_of("end_date").alias("_b"), resolve_heat_regions("location_name").alias("_regions"))
+    rows = rows.select(F.coalesce(*ident, F.lit("unknown_event")).alias("_id"), date_of("start_date").alias("_a"), date_of("end_date").alias("_b"), "location_name")
+    rows = once(rows, {"_regions": resolve_heat_regions("location_name")})
     rows = rows.filter(F.col("_b") >= F.col("_a")).withColumn("date", F.explode(F.sequence("_a", "_b")))
     return rows.select(
         "date",

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwarden.functions import geometry as geo
-from gridwarden.functions.basic import check, col, text
+from gridwarden.functions.basic import check, col, once, text
+from gridwarden.session import cut_lineage
 
 BUCKET = 1.0
 
@@ -22,12 +23,12 @@ def round_coordinates(df: DataFrame, digits: int = 4) -> DataFrame:
 def boundary_edges(boundaries: DataFrame, geometry: str = "geometry", fmt: str = "geojson", strict: bool = True) -> DataFrame:
     """Replace geometry text by edge arrays and bounds. ``strict`` fails on unreadable geometry, else drops it."""
     parse = {"geojson": geo.polygons_from_geojson, "wkt": geo.polygons_from_wkt}[fmt]
-    out = boundaries.withColumn("_polygons", parse(geometry))
+    out = once(boundaries, {"_polygons": parse(geometry)})
     if strict:
         out = out.withColumn("_polygons", check(F.col("_polygons").isNotNull(), F.col("_polygons"), f"unsupported {fmt} geometry"))
     else:
         out = out.filter(F.col("_polygons").isNotNull())
-    out = out.withColumns({"edges": geo.ring_edges(F.col("_polygons")), **geo.bounds(F.col("_polygons"))})
+    out = once(out, {"edges": geo.ring_edges(F.col("_polygons")), **geo.bounds(F.col("_polygons"))})
     return out.drop("_polygons", geometry)
 
 
@@ -45,7 +46,7 @@ def bucket_index(boundaries: DataFrame, size: float = BUCKET, reach: int = 0, cl
     def span(low: str, high: str) -> Column:
         return F.sequence(_bucket(low, size) - reach, _bucket(high, size) + reach)
 
-    out = boundaries.withColumn("_bi", F.explode(span("min_lat", "max_lat"))).withColumn("_bj", F.explode(span("min_lon", "max_lon")))
+    out = boundaries.withColumn("_bi", F.explode_outer(span("min_lat", "max_lat"))).withColumn("_bj", F.explode_outer(span("min_lon", "max_lon")))
     if not clip_edges:
         return out
     pad = 2 * geo.TOLERANCE
@@ -58,7 +59,7 @@ def bucket_index(boundaries: DataFrame, size: float = BUCKET, reach: int = 0, cl
             & (F.greatest(e["lon1"], e["lon2"]) >= left)
         )
 
-    return out.withColumn("edges", F.transform("edges", lambda p: F.transform(p, lambda r: F.filter(r, near))))
+    return once(out, {"edges": F.transform("edges", lambda p: F.transform(p, lambda r: F.filter(r, near)))})
 
 
 def bbox_bucket_prefilter(points: DataFrame, boundaries: DataFrame, size: float = BUCKET) -> DataFrame:
@@ -146,7 +147,7 @@ def nearest_boundary_distance(points: DataFrame, boundaries: DataFrame, cap: flo
         .groupBy("latitude", "longitude")
         .agg(F.min_by("_gap", "_ring").alias("boundary_gap_degrees"))
     )
-    out = near
+    out = cut_lineage(near, "boundary-gaps")
     boxes = plain.drop("edges")
     for coarse in (64.0, 1024.0):
         rest = coords.join(out, ["latitude", "longitude"], "left_anti")
@@ -170,7 +171,8 @@ def within_radius_join(points: DataFrame, events: DataFrame, radius_km: float, o
     def span(value: str, reach: Column) -> Column:
         return F.sequence(_bucket(F.col(value) - reach, size), _bucket(F.col(value) + reach, size))
 
-    right = centre.withColumn("_bi", F.explode(span("event_latitude", F.lit(dlat)))).withColumn("_bj", F.explode(span("event_longitude", dlon)))
+    right = centre.filter(F.col("event_latitude").isNotNull() & F.col("event_longitude").isNotNull())
+    right = right.withColumn("_bi", F.explode_outer(span("event_latitude", F.lit(dlat)))).withColumn("_bj", F.explode_outer(span("event_longitude", dlon)))
     left = points.withColumns({"_bi": _bucket("latitude", size), "_bj": _bucket("longitude", size)})
     distance = geo.haversine_km("latitude", "longitude", "event_latitude", "event_longitude")
     return left.join(right, ["_bi", "_bj", *on]).withColumn("distance_km", distance).filter(F.col("distance_km") <= radius_km).drop("_bi", "_bj")

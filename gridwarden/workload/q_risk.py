@@ -26,7 +26,7 @@ COAST_P = _expand(
     " + 2e-1 * CASE WHEN pwat IS NULL THEN 0e0 ELSE {h}((pwat - 35) / 25e0) END + 15e-2 * (1 - {h}((coalesce(coastal_distance_km, 120) - 20) / 18e1)))"
 )
 VPD = "(CASE WHEN rh_percent IS NOT NULL THEN 6108e-4 * exp(1727e-2 * temp_c / (temp_c + 2373e-1)) * (1 - least(1e0, greatest(0e0, rh_percent / 1e2))) END)"
-BASE = f"b AS (SELECT *, {HI} AS hi, CASE WHEN rh_percent IS NULL THEN NULL ELSE {PWAT} END AS pwat, {VPD} AS vpd FROM points)"
+BASE = f"b AS (SELECT *, CASE WHEN rh_percent IS NOT NULL THEN {HI} END AS hi, CASE WHEN rh_percent IS NULL THEN NULL ELSE {PWAT} END AS pwat, {VPD} AS vpd FROM points)"
 FACTORS = {
     "flash_flood": _texts(
         ("precip_1h_mm >= 25", "1小时强降水超过山洪初筛阈值"), ("precip_6h_mm >= 60", "6小时累计降水偏高"), ("slope_deg >= 12", "地形坡度提高汇流速度"),

@@ -115,7 +115,7 @@ def _(t):
     return out.select("row_id", "grid_id", "kept", "found")
 
 
-@query("numeric_feature_columns", ("grid_day",), "SELECT count(*) AS rows, 26 AS features FROM grid_day")
+@query("numeric_feature_columns", ("grid_day",), "SELECT count(*) AS rows, 23 AS features FROM grid_day")
 def _(t):
     names = ft.numeric_feature_columns(t.grid_day.drop("row_id", "l_orderkey", "l_linenumber"))
     return t.grid_day.agg(F.count("*").alias("rows")).withColumn("features", F.lit(len(names)))
