@@ -18,6 +18,7 @@ from gridwarden.constants import FEATURES, FEATURE_NAMES
 from gridwarden.functions.basic import col, first_existing, lit
 from gridwarden.operators.quality import in_range
 from gridwarden.operators.risk import RULE_BOUNDS, feature_names, risk_level, risk_level_grid, standard_indicator_values, with_rule_scores
+from gridwarden.session import cut_lineage
 from gridwarden.operators.training import group_shuffle_split, sample_negatives, supervised_features
 
 # A missing optional feature enters the trees as this value, outside every valid range.
@@ -64,7 +65,8 @@ def train_hazard_model(
     """Boosted trees on prepared features with column ``target``.
 
     Groups, when given, go whole to training or validation; otherwise rows are split by a hash of
-    ``key``. Boosting stops early when the validation error no longer falls.
+    ``key``. Boosting stops early when the validation error no longer falls. The prepared rows are stored
+    in the shared folder first, as every round reads them.
     """
     names = feature_names(hazard)
     rows = _filled(df, names)
@@ -74,6 +76,7 @@ def train_hazard_model(
         share = min(max(fraction, 0.05), 0.5)
         h = F.pmod(F.xxhash64(*[F.col(k) for k in (key or names)], F.lit(seed)), F.lit(10000))
         rows = rows.withColumn("is_validation", h < int(share * 10000))
+    rows = cut_lineage(rows, "training-rows")
     binary = is_binary(rows)
     common = dict(featuresCol="features", labelCol="target", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed, validationIndicatorCol="is_validation", validationTol=0.001, subsamplingRate=0.9, featureSubsetStrategy="all")
     trees = GBTClassifier(**common) if binary else GBTRegressor(**common)
@@ -257,13 +260,12 @@ def compare_variants(tables: Mapping[str, DataFrame], sizes: Sequence[int | None
     """
     rows = []
     for name, table in tables.items():
-        shared = table.persist()
+        shared = cut_lineage(table, "variant")
         for n in sizes:
             sample = supervised_features(sample_negatives(shared, keys, n), hazard, keep=list(keys))
             model = train_hazard_model(sample, hazard, key=keys, **options)
             s = model.summary
             rows.append((f"{name}_{'balanced' if n is None else f'neg{n}'}", s["train_rows"], s["validation_rows"], s["validation_metric"], s["best_iteration"]))
-        shared.unpersist()
     spark = next(iter(tables.values())).sparkSession
     out = spark.createDataFrame(rows, "variant string, train_rows long, validation_rows long, validation_metric double, best_iteration int")
     return out.orderBy(F.col("validation_metric").asc_nulls_last(), "variant")
