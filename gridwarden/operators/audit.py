@@ -27,7 +27,7 @@ def _provenance() -> Column:
 
 
 def _filled(values: Column) -> Column:
-    return F.filter(F.coalesce(F.transform(values, F.trim), F.array().cast("array<string>")), lambda v: v != "")
+    return F.filter(F.coalesce(F.transform(values, lambda s: F.trim(s)), F.array().cast("array<string>")), lambda v: v != "")
 
 
 def _evidence(labels: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def _evidence(labels: DataFrame) -> DataFrame:
     rows = labels.filter("label_status = 'positive'")
     p = _provenance()
     rows = rows.withColumns({"_sources": _filled(p["matched_geometry_sources"]), "_wkts": _filled(p["matched_geometry_wkts"])})
-    modes = F.transform(F.split("label_source_mode", ","), F.trim)
+    modes = F.transform(F.split("label_source_mode", ","), lambda s: F.trim(s))
     has = (F.size("_sources") > 0) | (F.size("_wkts") > 0)
 
     def any_of(values: Column, names: Sequence[str]) -> Column:
@@ -151,7 +151,7 @@ def audit_labels(labels: DataFrame, events: DataFrame | None = None, top: int =
     def most(df: DataFrame, key: str) -> DataFrame:
         return df.groupBy(key).agg(F.count("*").alias("rows")).orderBy(F.col("rows").desc(), key).limit(top)
 
-    ids = hits.select(F.explode(F.filter(F.transform(F.split("matched_event_ids", ","), F.trim), lambda t: t != "")).alias("event_id"))
+    ids = hits.select(F.explode(F.filter(F.transform(F.split("matched_event_ids", ","), lambda s: F.trim(s)), lambda t: t != "")).alias("event_id"))
     modes = open_rows.select(F.explode(_filled(_provenance()["day_event_mapping_modes"])).alias("mode"))
     counts = labels.agg(
         F.count("*").alias("rows"),

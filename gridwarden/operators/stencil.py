@@ -6,7 +6,7 @@ number of cells along the other axis, whatever the number of times.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,36 +67,55 @@ def flux_divergence(df: DataFrame, u: str = "ivt_u", v: str = "ivt_v", keys: Seq
     return out.drop(*[f"{w}_d{a}" for w in (u, v) for a in "xy"])
 
 
-def vapor_integrals(df: DataFrame, keys: Sequence[str] = ("time", *CELL), q: str = "q", u: str = "u", v: str = "v") -> DataFrame:
-    """Integrated vapour transport (components, magnitude) and precipitable water in one pass.
-
-    Trapezoids over pressure; levels below 2000 are hPa. A missing layer makes the integral missing. The
-    window holds the levels of one column of air.
-    """
+def _air_layers(df: DataFrame, keys: Sequence[str], q: str, u: str, v: str) -> DataFrame:
+    """Each level with its depth and the layer integrals up to the next level."""
     column = Window.partitionBy(*keys)
     upward = column.orderBy("level")
     pa = F.when(F.max("level").over(column) < 2000, F.col("level") * 100.0).otherwise(F.col("level").cast("double"))
-    out = df.select(*keys, "level", pa.alias("_p"), F.col(q).alias("_q"), (F.col(q) * F.col(u)).alias("_qu"), (F.col(q) * F.col(v)).alias("_qv"))
+    out = df.withColumns({"_p": pa, "_q": F.col(q), "_qu": F.col(q) * F.col(u), "_qv": F.col(q) * F.col(v)})
     depth = F.lead("_p").over(upward) - F.col("_p")
     parts = {f"{c}_layer": depth * (F.col(c) + F.lead(c).over(upward)) / 2.0 for c in ("_q", "_qu", "_qv")}
-    out = out.withColumns({"_depth": depth, **parts})
+    return out.withColumns({"_depth": depth, **parts})
+
 
-    def integral(c: str) -> Column:
-        gap = F.max(F.col("_depth").isNotNull() & F.col(f"{c}_layer").isNull())
-        return F.when(~gap, F.coalesce(F.sum(f"{c}_layer"), lit(0.0)) / GRAVITY)
+def _column_integral(c: str) -> Column:
+    gap = F.max(F.col("_depth").isNotNull() & F.col(f"{c}_layer").isNull())
+    return F.when(~gap, F.coalesce(F.sum(f"{c}_layer"), lit(0.0)) / GRAVITY)
 
-    out = out.groupBy(*keys).agg(integral("_qu").alias("ivt_u"), integral("_qv").alias("ivt_v"), integral("_q").alias("pwat"))
+
+def air_columns(
+    df: DataFrame, keys: Sequence[str], picks: Mapping[str, tuple[str, int]] | None = None, q: str = "q", u: str = "u", v: str = "v"
+) -> DataFrame:
+    """Vapour integrals and any (variable, level) picks of each column of air, in one window and one aggregate.
+
+    Both share the partitioning of the keys, so the level rows are shuffled once.
+    """
+    chosen = [F.max(F.when(F.col("level") == lev, F.col(var))).alias(n) for n, (var, lev) in (picks or {}).items()]
+    out = _air_layers(df, keys, q, u, v).groupBy(*keys).agg(
+        _column_integral("_qu").alias("ivt_u"), _column_integral("_qv").alias("ivt_v"), _column_integral("_q").alias("pwat"), *chosen
+    )
     return out.withColumns({"ivt": F.hypot("ivt_u", "ivt_v"), "pwat": F.when(F.col("pwat").isNotNull(), F.greatest(lit(0.0), "pwat"))})
 
 
-def level_winds(df: DataFrame, keys: Sequence[str] = ("time", *CELL)) -> DataFrame:
-    """Winds, moisture transport, shear, height and flags from pressure levels, in one aggregate."""
+def vapor_integrals(df: DataFrame, keys: Sequence[str] = ("time", *CELL), q: str = "q", u: str = "u", v: str = "v") -> DataFrame:
+    """Integrated vapour transport (components, magnitude) and precipitable water in one pass.
+
+    Trapezoids over pressure; levels below 2000 are hPa. A missing layer makes the integral missing. The
+    window holds the levels of one column of air.
+    """
+    return air_columns(df, keys, None, q, u, v)
+
+
+def wind_picks(columns: Sequence[str]) -> dict[str, tuple[str, int]]:
+    """(variable, level) picks the level indicators need."""
     wanted = {f"{w}{lev}": (w, lev) for lev in (925, 850, 300, 200) for w in ("u", "v")}
     wanted |= {"q925": ("q", 925), "q850": ("q", 850)}
-    if "z" in df.columns:
-        wanted["z500"] = ("z", 500)
-    out = pivot_levels(df, keys, wanted)
-    out = out.withColumns(
+    return wanted | ({"z500": ("z", 500)} if "z" in columns else {})
+
+
+def level_indicators(df: DataFrame) -> DataFrame:
+    """Winds, moisture transport, shear, height and flags from picked level columns."""
+    out = df.withColumns(
         {
             "wind925_speed": wind_speed("u925", "v925"),
             "wind850_speed": wind_speed("u850", "v850"),
@@ -112,6 +131,11 @@ def level_winds(df: DataFrame, keys: Sequence[str] = ("time", *CELL)) -> DataFra
         "low_level_jet_flag": flag("wind850_speed", 12.0),
         "strong_shear_flag": flag("wind_shear_850_200", 20.0),
     }
-    if "z" in df.columns:
+    if "z500" in df.columns:
         more["geopotential_height500"] = F.col("z500") / GRAVITY
     return out.withColumns(more)
+
+
+def level_winds(df: DataFrame, keys: Sequence[str] = ("time", *CELL)) -> DataFrame:
+    """Level indicators of each column of air, in one aggregate."""
+    return level_indicators(pivot_levels(df, keys, wind_picks(df.columns)))

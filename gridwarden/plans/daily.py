@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridwarden.functions import physical as ph
 from gridwarden.functions.basic import clip, flag, lit, mask_range, safe_ratio, to_unit
 from gridwarden.operators.resolution import fallback_field, precip_cross_check
-from gridwarden.operators.stencil import flux_divergence, level_winds, slope_deg, vapor_integrals, vorticity
+from gridwarden.operators.stencil import air_columns, flux_divergence, level_indicators, slope_deg, vorticity, wind_picks
 from gridwarden.operators.temporal import monthly_to_daily, rolling_precip
 
 CELL = ("latitude", "longitude")
@@ -92,14 +92,9 @@ def pressure_days(pressure: DataFrame) -> DataFrame:
     rows = pressure.withColumn("date", F.to_date("time"))
     first = rows.groupBy("date").agg(F.min("time").alias("time"))
     rows = rows.join(first, ["date", "time"], "left_semi").drop("time")
-    water = vapor_integrals(rows, KEYS)
-    winds = level_winds(rows, KEYS)
     extra = {"divergence850": ("d", 850), "omega700": ("w", 700), "omega500": ("w", 500), "relative_humidity850": ("r", 850)}
     present = {n: v for n, v in extra.items() if v[0] in rows.columns}
-    others = rows.groupBy(*KEYS).agg(
-        F.count("*").alias("_levels"), *[F.max(F.when(F.col("level") == lev, F.col(c))).alias(n) for n, (c, lev) in present.items()]
-    )
-    out = water.join(winds, list(KEYS)).join(others.drop("_levels"), list(KEYS))
+    out = level_indicators(air_columns(rows, KEYS, wind_picks(rows.columns) | present))
     out = flux_divergence(vorticity(out, keys=("date",)), keys=("date",))
     for name in extra:
         if name not in out.columns:

@@ -18,14 +18,20 @@ def infer_format(path: str, fmt: str | None = None) -> str:
     raise ValueError(f"cannot tell the table format from path: {path}")
 
 
-def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV, JSON (lines, or an array of records) or Parquet. Give a schema at scale: without one CSV and JSON need an extra pass."""
+def read_table(
+    spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | str | None = None, whole_documents: bool = False
+) -> DataFrame:
+    """CSV, JSON or Parquet. Give a schema at scale: without one CSV and JSON need an extra pass.
+
+    JSON is read as one record per line, which splits over tasks; ``whole_documents`` reads files that
+    hold an array of records.
+    """
     kind = infer_format(path, fmt)
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if kind == "csv":
         return reader.option("header", True).option("inferSchema", schema is None).csv(path)
     if kind == "json":
-        return reader.option("multiLine", True).json(path)
+        return reader.option("multiLine", whole_documents).json(path)
     return reader.parquet(path)
 
 
@@ -53,10 +59,10 @@ POINT_FIELDS = (
 FEATURE_TYPE = f"grid {GRID_TYPE}, valid_time string, " + ", ".join(f"{c} double" for c in POINT_FIELDS)
 
 
-def read_features_json(spark: SparkSession, path: str) -> DataFrame:
-    """Point features from one record, an array of records or ``{"features": [...]}``."""
+def read_features_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Point features from one record, an array of records or ``{"features": [...]}``, or from lines of records."""
     schema = f"{FEATURE_TYPE}, features array<struct<{FEATURE_TYPE.replace('grid struct', 'grid: struct')}>>"
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    raw = spark.read.schema(schema).option("multiLine", not lines).json(path)
     names = ["grid", "valid_time", *POINT_FIELDS]
     own = F.struct(*names)
     rows = raw.select(F.explode(F.coalesce("features", F.array(own))).alias("_f")).select("_f.*")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from gridwarden.plans.daily import build_daily_indicators
 from gridwarden.workload.registry import day, query, r
 
-_SINGLE = """single AS (SELECT time, date, latitude, longitude, temp_c AS t, dewpoint_c AS d, u10, v10, running_total AS tp, running_total / 2e0 AS cp, pressure_hpa * 1e2 AS sp, cape_j_kg AS cape FROM obs)"""
+_SINGLE = """single AS (SELECT time, date, latitude, longitude, temp_c AS t, CASE WHEN dewpoint_c BETWEEN -60 AND 45 THEN dewpoint_c END AS d, u10, v10, running_total AS tp, running_total / 2e0 AS cp, pressure_hpa * 1e2 AS sp, cape_j_kg AS cape FROM obs)"""
 _ES = "(6108e-4 * exp(1727e-2 * {0} / ({0} + 2373e-1)))"
-_RH = f"greatest(0e0, least(1e2, 1e2 * {_ES.format('d')} / {_ES.format('t')}))"
+_RH = f"CASE WHEN d IS NOT NULL THEN greatest(0e0, least(1e2, 1e2 * {_ES.format('d')} / {_ES.format('t')})) END"
 _SQL = f"""
 WITH {_SINGLE}, h AS (SELECT *, {_RH} AS rh, sqrt(u10 * u10 + v10 * v10) AS w, lag(tp) OVER o AS tp0, lag(cp) OVER o AS cp0, row_number() OVER o AS k, extract('hour' FROM time) AS hour
   FROM single WINDOW o AS (PARTITION BY date, latitude, longitude ORDER BY time)),

@@ -387,8 +387,8 @@ def _(t):
 @query(
     "explain_top_features",
     ("grid_day",),
-    """WITH c AS (SELECT row_id, grid_id, latitude, 'temp_c' AS f, 3e-1 * temp_c AS v FROM grid_day UNION ALL SELECT row_id, grid_id, latitude, 'rh2m', -2e-1 * rh2m FROM grid_day
-      UNION ALL SELECT row_id, grid_id, latitude, 'wind10_speed', 1e0 * wind10_speed FROM grid_day), k AS (SELECT *, row_number() OVER (PARTITION BY row_id, grid_id, latitude ORDER BY abs(v) DESC, f DESC) AS n FROM c)
+    """WITH n AS MATERIALIZED (SELECT *, row_number() OVER () AS latitude_n FROM grid_day), c AS (SELECT row_id, grid_id, latitude_n AS latitude, 'temp_c' AS f, 3e-1 * temp_c AS v FROM n UNION ALL SELECT row_id, grid_id, latitude_n, 'rh2m', -2e-1 * rh2m FROM n
+      UNION ALL SELECT row_id, grid_id, latitude_n, 'wind10_speed', 1e0 * wind10_speed FROM n), k AS (SELECT *, row_number() OVER (PARTITION BY row_id, grid_id, latitude ORDER BY abs(v) DESC, f DESC) AS n FROM c)
     SELECT row_id, grid_id, string_agg(concat(f, CASE WHEN v >= 0 THEN ':raises' ELSE ':lowers' END), ',' ORDER BY n) AS top FROM k WHERE n <= 2 GROUP BY row_id, grid_id, latitude""",
 )
 def _(t):
