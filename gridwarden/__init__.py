@@ -1,5 +1,5 @@
 """Spark-native hazard analytics over long weather grids."""
 
-from gridwarden.session import build_session, shared_dir
+from gridwarden.session import build_session, shared_dir, tune
 
-__all__ = ["build_session", "shared_dir"]
+__all__ = ["build_session", "shared_dir", "tune"]

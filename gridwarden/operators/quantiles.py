@@ -1,6 +1,7 @@
-"""Exact grouped quantiles that never hold a whole group in one task.
+"""Exact grouped quantiles that never hold a large group in one task.
 
-Values are counted per (group, value bin). Bins come from the value's magnitude (a fixed number per
+Groups up to ``SMALL_GROUP`` rows use the built-in exact percentile, one aggregate with bounded state. For
+larger ones values are counted per (group, value bin). Bins come from the value's magnitude (a fixed number per
 doubling), so no pass over the data is needed to place them. The running counts of the bins, a short
 table, show which bin holds a wanted rank; only the values of that bin are then ordered.
 """
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 BINS_PER_DOUBLING = 256
 _OFFSET = 1 << 20
+SMALL_GROUP = 250_000
 
 
 def _bin(v: Column) -> Column:
@@ -21,10 +23,22 @@ def _bin(v: Column) -> Column:
     return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, size).otherwise(-size)
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, Sequence[float]]) -> DataFrame:
-    """Linear-interpolated quantiles per group, one column ``<name>_p<percent>`` each; missing values skipped."""
+def exact_quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, Sequence[float]], small_group: int = SMALL_GROUP) -> DataFrame:
+    """Linear-interpolated quantiles per group, one column ``<name>_p<percent>`` each; missing values skipped.
+
+    The keys of large groups number at most rows / ``small_group``, so their list can be broadcast.
+    """
     if not keys:
-        return exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], wanted).drop("_all")
+        return exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], wanted, small_group).drop("_all")
+    rows = df.select(*keys, *[F.col(n).cast("double").alias(n) for n in wanted])
+    large = F.broadcast(rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > small_group).select(*keys))
+    parts = [F.percentile(n, F.lit(float(p))).alias(f"{n}_p{round(p * 100)}") for n, ps in wanted.items() for p in ps]
+    small = rows.join(large, list(keys), "left_anti").groupBy(*keys).agg(*parts)
+    return small.unionByName(binned_quantiles(rows.join(large, list(keys), "left_semi"), keys, wanted))
+
+
+def binned_quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, Sequence[float]]) -> DataFrame:
+    """Quantiles by value bins; any group is spread over its bins."""
     names = list(wanted)
     melted = df.select(
         *keys, F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(n).cast("double").alias("v")) for i, n in enumerate(names)])).alias("_m")

@@ -40,8 +40,14 @@ def risk_level_grid(probability: Value) -> Column:
 
 
 def _factors(*tests: tuple[Column, str]) -> Column:
-    hits = F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(FACTOR_TEXT[k])) for t, k in tests]))
-    return F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit(FACTOR_TEXT["none"])))
+    """Texts of the tests that hold, else the text for none: plain concatenation, which stays in generated code."""
+    hits = [F.coalesce(t, F.lit(False)) for t, _ in tests]
+    empty = F.array().cast("array<string>")
+    parts = [F.when(h, F.array(F.lit(FACTOR_TEXT[k]))).otherwise(empty) for h, (_, k) in zip(hits, tests)]
+    anything = hits[0]
+    for h in hits[1:]:
+        anything = anything | h
+    return F.when(anything, F.concat(*parts)).otherwise(F.array(F.lit(FACTOR_TEXT["none"])))
 
 
 def _evidence(df: DataFrame, names: Sequence[str]) -> Column:

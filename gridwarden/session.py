@@ -10,6 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
+# HotSpot does not compile methods above 8000 bytes. Generated stages beyond that run interpreted, many
+# times slower than the same operators generated one by one.
+_METHOD_LIMIT = ("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Settings the operators rely on, for sessions made elsewhere: UTC times, compilable stages."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set(*_METHOD_LIMIT)
+    return spark
+
+
 def build_session(app: str = "gridwarden", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """Session with UTC times and adaptive execution; sizes stay with the cluster's own defaults."""
     builder = (
@@ -23,7 +35,7 @@ def build_session(app: str = "gridwarden", master: str | None = None, shuffle_pa
         builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return builder.getOrCreate()
+    return tune(builder.getOrCreate())
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:

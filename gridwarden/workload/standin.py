@@ -11,6 +11,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridwarden.session import tune
+
 _CELL = "(160 + ({a}) % 161) / 1e1 AS latitude, (340 + ({b}) % 221) / 1e1 AS longitude"
 _REGION = (
     "CASE l_suppkey % 5 WHEN 0 THEN 'riyadh' WHEN 1 THEN 'makkah' WHEN 2 THEN 'eastern_province' "
@@ -128,8 +130,7 @@ class Tables:
     """Lazy access to the given tables and their projections in one folder."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        self.spark, self.folder = spark, folder.rstrip("/")
+        self.spark, self.folder = tune(spark), folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
