@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,6 +111,3 @@ def write_triples(triples: DataFrame, path: str) -> None:
     ntriples_lines(triples).write.mode("overwrite").text(path)
 
 
-def write_many(frames: Sequence[tuple[DataFrame, str]]) -> None:
-    for df, path in frames:
-        write_table(df, path, "parquet")

@@ -12,7 +12,6 @@ from gridwarden.operators.grid import hottest_point
 from gridwarden.workload.q_columns import _PROVINCE_OF
 from gridwarden.workload.registry import day, query, r
 
-MESSY = "SELECT ingest_seq, 'event_id' AS note, event_id, start_date, end_date, location_name, latitude FROM catalogue"
 
 
 def messy(t):
