@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_SCRATCH_KEY = "gridwarden.scratch.dir"
 
 
 # HotSpot does not compile methods above 8000 bytes. Generated stages beyond that run interpreted, many
@@ -41,13 +42,16 @@ def build_session(app: str = "gridwarden", master: str | None = None, shuffle_pa
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    The folder the cluster names in ``spark.checkpoint.dir`` is read from the session. Only where it is
-    unset (tests, one machine) is a temporary folder chosen.
+    The folder is the one named in ``spark.checkpoint.dir``, or else in this library's own session key
+    ``gridwarden.scratch.dir``. Only on a local master, where all tasks share one disk, may both be unset.
     """
-    root = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(_CHECKPOINT_KEY, None)
+    root = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(_CHECKPOINT_KEY, None) or spark.conf.get(_SCRATCH_KEY, None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"name a folder that all executors share in {_CHECKPOINT_KEY} or {_SCRATCH_KEY}")
         root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set(_CHECKPOINT_KEY, root)
+        spark.conf.set(_SCRATCH_KEY, root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
