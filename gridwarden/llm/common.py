@@ -29,6 +29,15 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType(), "binary": T.BinaryType()}
+_TYPES |= {f"array<{k}>": T.ArrayType(v) for k, v in _TYPES.items()}
+
+
+def schema_of(text: str) -> T.StructType:
+    """Schema of "name type, name type"; needs no running session, so modules can state schemas."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (x.split() for x in text.split(","))])
+
+
 def per_row(
     df: DataFrame,
     setup: Callable[[], Callable[..., Sequence[Sequence]]],
@@ -42,7 +51,7 @@ def per_row(
     list per made column. Columns in ``keep`` pass through untouched; if a made column has the name of a
     kept one, the made one stays. Other columns are never read.
     """
-    new = T.StructType.fromDDL(made) if isinstance(made, str) else made
+    new = schema_of(made) if isinstance(made, str) else made
     passed = [c for c in keep if c not in new.names]
     schema = T.StructType([df.schema[c] for c in passed] + list(new.fields))
     arrow = to_arrow_schema(schema)

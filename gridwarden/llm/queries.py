@@ -6,6 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridwarden.llm.bpe import bpe_round_trip
 from gridwarden.llm.common import read
+from gridwarden.llm.tiff import tiff_features
+from gridwarden.llm.warc import warc_round_trip
+
+
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to archives and read back."""
+    return warc_round_trip(read(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_tiff(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text stored as a TIFF file, read back and described."""
+    return tiff_features(read(spark, folder, "documents"))
 
 
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -13,5 +25,5 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_round_trip(read(spark, folder, "documents"))
 
 
-QUERIES = {"op9_bpe": op9_bpe}
+QUERIES = {"op1_warc": op1_warc, "op9_bpe": op9_bpe, "op10_tiff": op10_tiff}
 ORACLES: dict[str, str] = {}
