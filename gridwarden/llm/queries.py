@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridwarden.llm.bpe import bpe_round_trip
 from gridwarden.llm.common import read
+from gridwarden.llm.language import held_out, learn_and_identify
+from gridwarden.llm.pii import find_personal_data
+from gridwarden.llm.secrets import find_secrets
 from gridwarden.llm.tiff import tiff_features
 from gridwarden.llm.warc import warc_round_trip
+from gridwarden.llm.wordpiece import count_pieces
 
 
 def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
@@ -15,6 +20,27 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc_round_trip(read(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every text, profiles learned from the texts that are not held out."""
+    found = learn_and_identify(read(spark, folder, "documents"))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("score"))
+
+
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every text."""
+    return find_personal_data(read(spark, folder, "documents"))
+
+
+def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every text."""
+    return find_secrets(read(spark, folder, "documents"))
+
+
+def op5_wordpiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Words and word pieces of every text."""
+    return count_pieces(read(spark, folder, "documents"))
+
+
 def op10_tiff(spark: SparkSession, folder: str) -> DataFrame:
     """Every text stored as a TIFF file, read back and described."""
     return tiff_features(read(spark, folder, "documents"))
@@ -25,5 +51,5 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_round_trip(read(spark, folder, "documents"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op9_bpe": op9_bpe, "op10_tiff": op10_tiff}
+QUERIES = {"op1_warc": op1_warc, "op2_language": op2_language, "op3_pii": op3_pii, "op4_secrets": op4_secrets, "op5_wordpiece": op5_wordpiece, "op9_bpe": op9_bpe, "op10_tiff": op10_tiff}
 ORACLES: dict[str, str] = {}
