@@ -9,6 +9,7 @@ from gridwarden.llm.bpe import bpe_round_trip
 from gridwarden.llm.common import read
 from gridwarden.llm.html import extract_main_text
 from gridwarden.llm.language import held_out, learn_and_identify
+from gridwarden.llm.neardup import near_duplicates
 from gridwarden.llm.pii import find_personal_data
 from gridwarden.llm.secrets import find_secrets
 from gridwarden.llm.tiff import tiff_features
@@ -47,6 +48,11 @@ def op6_html(spark: SparkSession, folder: str) -> DataFrame:
     return extract_main_text(read(spark, folder, "pages"))
 
 
+def op7_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate components of all texts."""
+    return near_duplicates(read(spark, folder, "documents"))
+
+
 def op10_tiff(spark: SparkSession, folder: str) -> DataFrame:
     """Every text stored as a TIFF file, read back and described."""
     return tiff_features(read(spark, folder, "documents"))
@@ -57,5 +63,5 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_round_trip(read(spark, folder, "documents"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_language": op2_language, "op3_pii": op3_pii, "op4_secrets": op4_secrets, "op5_wordpiece": op5_wordpiece, "op6_html": op6_html, "op9_bpe": op9_bpe, "op10_tiff": op10_tiff}
+QUERIES = {"op1_warc": op1_warc, "op2_language": op2_language, "op3_pii": op3_pii, "op4_secrets": op4_secrets, "op5_wordpiece": op5_wordpiece, "op6_html": op6_html, "op7_neardup": op7_neardup, "op9_bpe": op9_bpe, "op10_tiff": op10_tiff}
 ORACLES: dict[str, str] = {}
