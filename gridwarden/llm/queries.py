@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from gridwarden.llm.bpe import bpe_round_trip
 from gridwarden.llm.common import read
+from gridwarden.llm.decontaminate import SQL as CONTAMINATED_SQL
+from gridwarden.llm.decontaminate import contaminated
 from gridwarden.llm.html import extract_main_text
 from gridwarden.llm.language import held_out, learn_and_identify
 from gridwarden.llm.neardup import near_duplicates
@@ -53,6 +55,11 @@ def op7_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(read(spark, folder, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items found in any text."""
+    return contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 def op10_tiff(spark: SparkSession, folder: str) -> DataFrame:
     """Every text stored as a TIFF file, read back and described."""
     return tiff_features(read(spark, folder, "documents"))
@@ -63,5 +70,5 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_round_trip(read(spark, folder, "documents"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_language": op2_language, "op3_pii": op3_pii, "op4_secrets": op4_secrets, "op5_wordpiece": op5_wordpiece, "op6_html": op6_html, "op7_neardup": op7_neardup, "op9_bpe": op9_bpe, "op10_tiff": op10_tiff}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_warc": op1_warc, "op2_language": op2_language, "op3_pii": op3_pii, "op4_secrets": op4_secrets, "op5_wordpiece": op5_wordpiece, "op6_html": op6_html, "op7_neardup": op7_neardup, "op8_decontaminate": op8_decontaminate, "op9_bpe": op9_bpe, "op10_tiff": op10_tiff}
+ORACLES: dict[str, str] = {"op8_decontaminate": CONTAMINATED_SQL}
