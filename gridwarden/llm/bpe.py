@@ -83,8 +83,11 @@ def bpe_decode(df: DataFrame, ids: str = "token_ids", keep: Sequence[str] = ("do
     return per_row(df, setup, "decoded binary", [ids], keep)
 
 
-def bpe_round_trip(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), path: str | None = None, pattern: str = public_tokenizers.PATTERN, part_chars: int = PART_CHARS) -> DataFrame:
-    """Encode and decode part by part: ``keep`` columns, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256."""
+def bpe_round_trip(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), path: str | None = None, pattern: str = public_tokenizers.PATTERN, part_chars: int = PART_CHARS, with_ids: bool = False) -> DataFrame:
+    """Encode and decode part by part: ``keep`` columns, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256.
+
+    ``with_ids`` adds token_ids array<int>.
+    """
     file = path or public_tokenizers.path(RANKS)
 
     def setup():
@@ -92,15 +95,18 @@ def bpe_round_trip(df: DataFrame, text: str = "text", keep: Sequence[str] = ("do
         names = [str(i) for i in range(encoding.n_vocab)]
 
         def one(text):
-            n, ids_hash, bytes_hash = 0, hashlib.sha256(), hashlib.sha256()
+            n, ids_hash, bytes_hash, all_ids = 0, hashlib.sha256(), hashlib.sha256(), []
             for part in safe_parts(text or "", part_chars):
                 ids = encoding.encode_ordinary(part)
                 if ids:
                     ids_hash.update((("," if n else "") + ",".join([names[i] for i in ids])).encode())
                     bytes_hash.update(encoding.decode_bytes(ids))
                     n += len(ids)
-            return n, ids_hash.hexdigest(), bytes_hash.hexdigest()
+                    if with_ids:
+                        all_ids += ids
+            row = n, ids_hash.hexdigest(), bytes_hash.hexdigest()
+            return (*row, all_ids) if with_ids else row
 
-        return lambda texts: list(zip(*map(one, texts), strict=True)) or [[], [], []]
+        return lambda texts: list(zip(*map(one, texts), strict=True)) or [[]] * (3 + with_ids)
 
-    return per_row(df, setup, "n_tokens long, ids_sha256 string, decoded_sha256 string", [text], keep)
+    return per_row(df, setup, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids, [text], keep)
