@@ -267,6 +267,6 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     extra = cut_lineage(known.join(repeated, "_id", "left_semi").filter("_n > 0 and _id != _rep").select(F.col("_id").alias("a"), F.col("_rep").alias("b")).distinct(), "near-repeats")
     labels = joined_components(labels, extra)
     named = known.select("_id", "_n", "_rep").join(labels.withColumnRenamed("node", "_rep"), "_rep", "left")
-    component = F.when(F.col("_n") > 0, F.coalesce("component", "_rep")).otherwise(F.col("_id"))
+    component = F.when((F.col("_n") > 0) & F.col("_id").isNotNull(), F.coalesce("component", "_rep")).otherwise(F.col("_id"))
     out = named.select(F.col("_id").alias(doc_id), F.col("_n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(f"`{doc_id}`") == F.col("component_id"), F.lit(True)))
