@@ -179,7 +179,9 @@ def region_season_aggregate(df: DataFrame, unit: str = "region-year", region: st
     if "relative_humidity_percent" in features:
         wanted["relative_humidity_percent"] = [0.1]
     if wanted:
-        out = out.join(exact_quantiles(rows, keys, wanted), keys, "left")
+        high = exact_quantiles(rows, keys, wanted)
+        group = F.struct(*keys).alias("_g")  # structs with equal nulls are equal
+        out = out.select("*", group).join(high.select(group, *[c for c in high.columns if c not in keys]), "_g", "left").drop("_g")
     return out.withColumn("sample_unit", F.lit(unit))
 
 

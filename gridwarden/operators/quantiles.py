@@ -1,9 +1,8 @@
 """Exact grouped quantiles that never hold a large group in one task.
 
-Groups up to ``SMALL_GROUP`` rows use the built-in exact percentile, one aggregate with bounded state. For
-larger ones values are counted per (group, value bin). Bins come from the value's magnitude (a fixed number per
-doubling), so no pass over the data is needed to place them. The running counts of the bins, a short
-table, show which bin holds a wanted rank; only the values of that bin are then ordered.
+One method for every group: values are counted per (group, value bin). Bins come from the value's magnitude (a
+fixed number per doubling), so no pass over the data is needed to place them. The running counts of the bins, a
+short table, show which bin holds a wanted rank; only the values of that bin are then ordered.
 """
 
 from __future__ import annotations
@@ -15,7 +14,6 @@ from pyspark.sql import functions as F
 
 BINS_PER_DOUBLING = 256
 _OFFSET = 1 << 20
-SMALL_GROUP = 250_000
 
 
 def _bin(v: Column) -> Column:
@@ -23,18 +21,17 @@ def _bin(v: Column) -> Column:
     return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, size).otherwise(-size)
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, Sequence[float]], small_group: int = SMALL_GROUP) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, Sequence[float]]) -> DataFrame:
     """Linear-interpolated quantiles per group, one column ``<name>_p<percent>`` each; missing values skipped.
 
-    The keys of large groups number at most rows / ``small_group``, so their list can be broadcast.
+    A null key is a group like any other. A group without a value for a name has null there, also if it has no value at
+    all; without keys an empty input gives no row.
     """
-    if not keys:
-        return exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], wanted, small_group).drop("_all")
-    rows = df.select(*keys, *[F.col(n).cast("double").alias(n) for n in wanted])
-    large = F.broadcast(rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > small_group).select(*keys))
-    parts = [F.percentile(n, F.lit(float(p))).alias(f"{n}_p{round(p * 100)}") for n, ps in wanted.items() for p in ps]
-    small = rows.join(large, list(keys), "left_anti").groupBy(*keys).agg(*parts)
-    return small.unionByName(binned_quantiles(rows.join(large, list(keys), "left_semi"), keys, wanted))
+    rows = df.select(F.struct(*[F.col(k) for k in keys]).alias("_g") if keys else F.lit(0).alias("_g"), *[F.col(n).cast("double").alias(n) for n in wanted])
+    found = binned_quantiles(rows, ["_g"], wanted)
+    # groups compare as structs, in which nulls are equal
+    out = rows.select("_g").distinct().join(found, "_g", "left")
+    return out.select(*[F.col(f"_g.{k}").alias(k) for k in keys], *[c for c in found.columns if c != "_g"])
 
 
 def binned_quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, Sequence[float]]) -> DataFrame:

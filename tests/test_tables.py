@@ -111,7 +111,7 @@ def test_quantiles_of_a_hot_group(spark):
     rows = [("hot", rng.choice([rng.gauss(0, 9), 3.0, 0.0])) for _ in range(3000)] + [("small", float(i)) for i in range(7)]
     df = spark.createDataFrame(rows, "k string, v double")
     want = {r["k"]: [round(x, 9) for x in r["q"]] for r in df.groupBy("k").agg(F.percentile("v", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q")).collect()}
-    for frame in (binned_quantiles(df, ["k"], {"v": [0.1, 0.5, 0.9]}), exact_quantiles(df, ["k"], {"v": [0.1, 0.5, 0.9]}, small_group=100)):
+    for frame in (binned_quantiles(df, ["k"], {"v": [0.1, 0.5, 0.9]}), exact_quantiles(df, ["k"], {"v": [0.1, 0.5, 0.9]})):
         got = {r["k"]: [round(r[c], 9) for c in ("v_p10", "v_p50", "v_p90")] for r in frame.collect()}
         assert got == want
 
@@ -153,3 +153,11 @@ def test_file_dates(spark):
     names = spark.createDataFrame([("days_20240105.parquet",), ("a_20241399.nc4",), ("plain.parquet",)], "n string")
     got = [r["d"] for r in names.select(tables.file_date(F.col("n")).alias("d")).collect()]
     assert got == [dt.date(2024, 1, 5), None, None]
+
+
+def test_quantiles_of_a_null_key_and_of_missing_values(spark):
+    """A hot null key is a group, and a group without values has nulls."""
+    rows = [(None, float(i)) for i in range(1001)] + [("a", None), ("b", 1.0), ("b", 2.0), ("b", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    out = {r["k"]: (r["v_p50"], r["v_p90"]) for r in exact_quantiles(df, ["k"], {"v": [0.5, 0.9]}).collect()}
+    assert out == {None: (500.0, 900.0), "a": (None, None), "b": (1.5, 1.9)}
