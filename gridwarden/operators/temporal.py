@@ -73,7 +73,11 @@ def rolling_precip(daily: DataFrame, value: str, days: Sequence[int] = (3, 7), c
 
     Input is first made one row per (cell, day), so a cell's window holds at most one row per day.
     """
-    per_day = daily.groupBy(*cell, "date").agg(F.sum(value).alias(value))
+    return rolling_totals(daily.groupBy(*cell, "date").agg(F.sum(value).alias(value)), value, days, cell)
+
+
+def rolling_totals(per_day: DataFrame, value: str, days: Sequence[int] = (3, 7), cell: Sequence[str] = CELL) -> DataFrame:
+    """The same on rows that are already one per (cell, day); other columns stay."""
     over = Window.partitionBy(*cell).orderBy(F.unix_date("date"))
     return per_day.withColumns(
         {f"precip_{n}day": F.coalesce(F.sum(value).over(over.rangeBetween(-(n - 1), 0)), lit(0.0)) for n in days}
@@ -123,7 +127,8 @@ def climatology_anomaly(df: DataFrame, climatology: DataFrame, variable: str, al
 def nearest_time_select(
     targets: DataFrame, series: DataFrame, values: Sequence[str], tolerance_seconds: int, keys: Sequence[str] = (), strict: bool = False
 ) -> DataFrame:
-    """For each target time the series row nearest in time within a tolerance; ties go to the later row.
+    """For each target time the series row nearest in time within a tolerance; ties go to the later row,
+    and of several rows of one time to the smallest values.
 
     An as-of join without pairs: targets and series rows are cut into time chunks of the tolerance's
     width and merged by one window per (key, chunk). Rows of neighbour chunks enter only as their last
@@ -138,7 +143,7 @@ def nearest_time_select(
         return F.floor(s / (width * 1_000_000))
 
     row = F.struct(F.col("_s").alias("s"), *[F.col(v) for v in values])
-    points = stamped(series).groupBy(*keys, "_s").agg(F.min_by(F.struct(*values), F.lit(0)).alias("_v")).select(*keys, "_s", "_v.*")
+    points = stamped(series).groupBy(*keys, "_s").agg(F.min(F.struct(*values)).alias("_v")).select(*keys, "_s", "_v.*")
     points = points.withColumns({"_row": row, "_chunk": chunk(F.col("_s"))})
     edges = points.groupBy(*keys, "_chunk").agg(F.max_by("_row", "_s").alias("_last"), F.min_by("_row", "_s").alias("_head"))
     carried = edges.select(

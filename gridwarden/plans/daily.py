@@ -9,7 +9,7 @@ from gridwarden.functions import physical as ph
 from gridwarden.functions.basic import clip, flag, lit, mask_range, safe_ratio, to_unit
 from gridwarden.operators.resolution import fallback_field, precip_cross_check
 from gridwarden.operators.stencil import air_columns, flux_divergence, level_indicators, slope_deg, vorticity, wind_picks
-from gridwarden.operators.temporal import monthly_to_daily, rolling_precip
+from gridwarden.operators.temporal import monthly_to_daily, rolling_totals
 
 CELL = ("latitude", "longitude")
 KEYS = ("date", *CELL)
@@ -117,8 +117,7 @@ def build_daily_indicators(
     cell, DUEXTTAU, DUCMASS, DUSMASS), ``sst`` (date, cell, sst_celsius), ``monthly`` (month, cell, precip).
     """
     out = surface_days(single).join(pressure_days(pressure), list(KEYS), "left")
-    windows = rolling_precip(out.select(*KEYS, "daily_precip_total"), "daily_precip_total").drop("daily_precip_total")
-    out = out.join(windows, list(KEYS))
+    out = rolling_totals(out, "daily_precip_total", cell=CELL)  # one row per (date, cell) by now
     if satellite is None:
         out = out.withColumns(
             {"gpm_daily_precip": F.col("daily_precip_total"), "gpm_daily_precip_status": F.lit("degraded_primary_missing")}

@@ -10,6 +10,7 @@ from gridwarden.operators.grid import hottest_point
 from gridwarden.operators.labels import label_extreme_heat, label_point_day
 from gridwarden.operators.risk import feature_names
 from gridwarden.operators.training import prepare_features, sample_negatives
+from gridwarden.session import cut_lineage
 
 UNITS = ("single_point_day", "region_day")
 LABELS = ("label", "label_status", "label_source_mode", "matched_event_ids", "sample_unit")
@@ -31,7 +32,9 @@ def supervised_extreme_heat(
 ) -> DataFrame:
     """Labels, n negatives (default: as many as positives) and prepared features."""
     keys = ["date", "region_id"] if unit == "region_day" else ["date"]
-    sampled = sample_negatives(labeled_extreme_heat(rows, events, unit, variable, k), keys, n, seed)
+    # sampling reads the labeled rows several times: they are built once
+    labeled = cut_lineage(labeled_extreme_heat(rows, events, unit, variable, k), "labeled")
+    sampled = sample_negatives(labeled, keys, n, seed)
     kept = [c for c in (*keys, *LABELS) if c in sampled.columns]
     out = prepare_features(sampled, "extreme_heat", keep=kept)
     return out.withColumns({"training_join_key": F.concat_ws("|", *[F.col(c).cast("string") for c in keys]), "is_labeled": F.lit(True)}).select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridwarden.plans.daily import build_daily_indicators
+from gridwarden.workload.q_stencil import SLOPES
 from gridwarden.workload.registry import day, query, r
 
 _SINGLE = """single AS (SELECT time, date, latitude, longitude, temp_c AS t, CASE WHEN dewpoint_c BETWEEN -60 AND 45 THEN dewpoint_c END AS d, u10, v10, running_total AS tp, running_total / 2e0 AS cp, pressure_hpa * 1e2 AS sp, cape_j_kg AS cape FROM obs)"""
@@ -19,8 +20,10 @@ dd AS (SELECT date, latitude, longitude, avg(t) AS t2m_c, avg(rh) AS rh2m, avg({
 rr AS (SELECT *, sum(rain) OVER (PARTITION BY latitude, longitude ORDER BY date RANGE BETWEEN INTERVAL 2 DAY PRECEDING AND CURRENT ROW) AS precip_3day FROM dd),
 sat AS (SELECT date, latitude, longitude, max(precipitation) AS p FROM obs WHERE extract('day' FROM date) % 2 = 0 GROUP BY 1, 2, 3),
 du AS (SELECT date, latitude, longitude, max(rh_percent) / 2e2 AS aod, max(rh_percent) / 1e5 AS mass FROM obs GROUP BY 1, 2, 3),
+fa AS (SELECT 0 AS sheet, latitude, longitude, max(elevation_m) AS elevation_m FROM field GROUP BY 2, 3), {SLOPES.format("elevation_m").replace("FROM field", "FROM fa")},
+sl AS (SELECT latitude, longitude, degrees(atan(sqrt(gx * gx + gy * gy))) AS slope FROM g),
 pm AS (SELECT date, latitude, longitude, max(rh_percent) * 1e-4 AS q, max(u10) AS u, max(v10) AS v FROM obs GROUP BY 1, 2, 3),
-a AS (SELECT rr.*, CASE WHEN extract('day' FROM rr.date) % 2 = 0 THEN sat.p ELSE rr.rain END AS gpm, du.aod, du.mass, pm.q, pm.u, pm.v FROM rr
+a AS (SELECT rr.*, CASE WHEN extract('day' FROM rr.date) % 2 = 0 THEN sat.p ELSE rr.rain END AS gpm, du.aod, du.mass, pm.q, pm.u, pm.v, sl.slope FROM rr LEFT JOIN sl ON sl.latitude = rr.latitude AND sl.longitude = rr.longitude
   LEFT JOIN sat ON sat.date = rr.date AND sat.latitude = rr.latitude AND sat.longitude = rr.longitude
   JOIN du ON du.date = rr.date AND du.latitude = rr.latitude AND du.longitude = rr.longitude JOIN pm ON pm.date = rr.date AND pm.latitude = rr.latitude AND pm.longitude = rr.longitude)
 SELECT CAST(date AS STRING) AS date, latitude, longitude, round(t2m_c, 5) AS t2m_c, round(rh2m, 5) AS rh2m, round(vpd_kpa, 5) AS vpd_kpa, round(wind10_speed, 5) AS wind10_speed,
@@ -30,7 +33,7 @@ SELECT CAST(date AS STRING) AS date, latitude, longitude, round(t2m_c, 5) AS t2m
   round(CASE WHEN wind10_speed >= 8 THEN 4e-1 ELSE 0 END + CASE WHEN aod >= 3e-1 THEN 3e-1 ELSE 0 END + CASE WHEN mass >= 5e-4 THEN 3e-1 ELSE 0 END, 5) AS dust_risk_proxy,
   round(q * 725e2 / 980665e-5, 5) AS pwat, round(q * sqrt(u * u + v * v) * 725e2 / 980665e-5, 5) AS ivt, round(sqrt(u * u + v * v), 5) AS wind850_speed,
   CASE WHEN sqrt(u * u + v * v) >= 12 THEN 1 ELSE 0 END AS low_level_jet_flag, 0 AS strong_shear_flag,
-  round(least(1e0, 75e-2 * greatest(rain / 35e0, rain / 8e1, gpm / 14e1) + 4e-2 + 3e-2 + 75e-4), 5) AS flash_flood_risk FROM a"""
+  round(least(1e0, 75e-2 * greatest(rain / 35e0, rain / 8e1, gpm / 14e1) + 2e-1 * least(1e0, coalesce(slope, 5e0) / 25e0) + 3e-2 + 75e-4), 5) AS flash_flood_risk FROM a"""
 
 
 def inputs(t):
@@ -48,13 +51,13 @@ def inputs(t):
     pressure = air.select(F.col("date").cast("timestamp_ntz").alias("time"), "latitude", "longitude", level.alias("level"), "q", "u", "v", (F.col("q") * 1e6).alias("z"))
     satellite = o.filter("day(date) % 2 = 0").groupBy(*keys).agg(F.max("precipitation").alias("precipitation"))
     dust = o.groupBy(*keys).agg((F.max("rh_percent") / 200).alias("DUEXTTAU"), F.max("rh_percent").alias("DUCMASS"), (F.max("rh_percent") / 1e5).alias("DUSMASS"))
-    elevation = t.field.filter("sheet = 0 and latitude < 16").select("latitude", "longitude", "elevation_m")
+    elevation = t.field.groupBy("latitude", "longitude").agg(F.max("elevation_m").alias("elevation_m"))
     monthly = o.groupBy(F.trunc("date", "MM").alias("month"), "latitude", "longitude").agg(F.sum("precipitation").alias("precip"))
     sst = o.groupBy(*keys).agg(F.avg("temp_c").alias("sst_celsius"))
     return dict(single=single, pressure=pressure, satellite=satellite, dust=dust, elevation=elevation, monthly=monthly, sst=sst)
 
 
-@query("build_daily_indicators", ("obs",), _SQL)
+@query("build_daily_indicators", ("obs", "field"), _SQL)
 def flagship(t):
     out = build_daily_indicators(**inputs(t))
     rounded = (

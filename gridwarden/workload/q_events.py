@@ -204,12 +204,12 @@ def _(t):
     return lb.label_dust_storm(samples, ev.expand_events_daily(merged(t))).select(day("date").alias("date"), "region_id", *_OUT)
 
 
-HEAT_EVENTS = f"""{MERGED}, he AS (SELECT event_id, date, replace({_PROVINCE_OF}, ' ', '_') AS region_text FROM daily WHERE validation_status = 'verified' AND ingest_seq % 3 = 1),
+HEAT_EVENTS = f"""{MERGED}, he AS (SELECT event_id, date, replace({_PROVINCE_OF}, ' ', '_') AS region_text FROM daily WHERE validation_status = 'verified'),
 hd AS (SELECT date, string_agg(DISTINCT event_id, ',' ORDER BY event_id) AS ids, bool_or(region_text <> '') AS scoped FROM he GROUP BY 1)"""
 
 
 def heat_events(t):
-    return merged(t).filter("validation_status = 'verified' and ingest_seq % 3 = 1").withColumn("hazard_type", F.lit("extreme heat"))
+    return merged(t).filter("validation_status = 'verified'").withColumn("hazard_type", F.lit("extreme heat"))
 
 
 HEAT_LABELS = f"""{HEAT_EVENTS}, s AS (SELECT DISTINCT date, region_id FROM grid_day),

@@ -126,13 +126,13 @@ def _(t):
 @query(
     "nearest_point",
     ("obs", "field"),
-    """WITH f AS (SELECT sheet, CAST(ROUND((latitude - 16) * 10) AS INT) AS i, CAST(ROUND((longitude - 34) * 10) AS INT) AS j, latitude AS y, longitude AS x, elevation_m FROM field WHERE sheet = 0)
+    """WITH f AS (SELECT CAST(ROUND((latitude - 16) * 10) AS INT) AS i, CAST(ROUND((longitude - 34) * 10) AS INT) AS j, latitude AS y, longitude AS x, max(elevation_m) AS elevation_m FROM field GROUP BY 1, 2, 3, 4)
     SELECT o.event_id, round(f.y, 4) AS cell_latitude, round(f.x, 4) AS cell_longitude, f.elevation_m, CASE WHEN f.y IS NOT NULL THEN printf('cell_%.1f_%.1f', f.y, f.x) END AS grid_id
     FROM obs o LEFT JOIN f ON f.i = least(160, CAST(ROUND((o.latitude + 2e-2 - 16) * 10) AS INT)) AND f.j = least(220, CAST(ROUND((o.longitude - 3e-2 - 34) * 10) AS INT))""",
 )
 def _(t):
     spots = t.obs.select("event_id", (F.col("latitude") + 0.02).alias("latitude"), (F.col("longitude") - 0.03).alias("longitude"))
-    out = g.nearest_point(t.field.filter("sheet = 0").drop("sheet", "p_partkey"), spots, (16.0, 34.0), 0.1, (161, 221))
+    out = g.nearest_point(t.field.groupBy("latitude", "longitude").agg(F.max("elevation_m").alias("elevation_m")), spots, (16.0, 34.0), 0.1, (161, 221))
     return out.select("event_id", r("cell_latitude", 4).alias("cell_latitude"), r("cell_longitude", 4).alias("cell_longitude"), "elevation_m", "grid_id")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridwarden.operators import stencil as st
 from gridwarden.workload.registry import query, r
 
-_N = """s AS (SELECT *, lag({0}) OVER y AS ya, lead({0}) OVER y AS yb, lag({0}) OVER x AS xa, lead({0}) OVER x AS xb,
+SLOPES = """s AS (SELECT *, lag({0}) OVER y AS ya, lead({0}) OVER y AS yb, lag({0}) OVER x AS xa, lead({0}) OVER x AS xb,
   lag(latitude) OVER y AS la, lead(latitude) OVER y AS lb, lag(longitude) OVER x AS oa, lead(longitude) OVER x AS ob
   FROM field WINDOW y AS (PARTITION BY sheet, longitude ORDER BY latitude), x AS (PARTITION BY sheet, latitude ORDER BY longitude)),
 g AS (SELECT sheet, latitude, longitude, {0} AS z,
@@ -20,7 +20,7 @@ g AS (SELECT sheet, latitude, longitude, {0} AS z,
 @query(
     "slope_deg",
     ("field",),
-    f"WITH {_N.format('elevation_m')} SELECT sheet, latitude, longitude, round(degrees(atan(sqrt(gx * gx + gy * gy))), 6) AS slope_deg FROM g",
+    f"WITH {SLOPES.format('elevation_m')} SELECT sheet, latitude, longitude, round(degrees(atan(sqrt(gx * gx + gy * gy))), 6) AS slope_deg FROM g",
 )
 def _(t):
     return st.slope_deg(t.field, keys=["sheet"]).select("sheet", "latitude", "longitude", r("slope_deg").alias("slope_deg"))
@@ -29,7 +29,7 @@ def _(t):
 @query(
     "horizontal_gradient",
     ("field",),
-    f"WITH {_N.format('elevation_m')} SELECT sheet, latitude, longitude, round(1e3 * gy, 6) AS dy, round(1e3 * gx, 6) AS dx FROM g",
+    f"WITH {SLOPES.format('elevation_m')} SELECT sheet, latitude, longitude, round(1e3 * gy, 6) AS dy, round(1e3 * gx, 6) AS dx FROM g",
 )
 def _(t):
     out = st.horizontal_gradient(t.field, ["elevation_m"], ["sheet"])
@@ -37,8 +37,8 @@ def _(t):
 
 
 def _two(body: str) -> str:
-    v = _N.format("v").replace("s AS (", "sv AS (").replace("FROM s)", "FROM sv)").replace("g AS (", "gv AS (")
-    u = _N.format("u").replace("s AS (", "su AS (").replace("FROM s)", "FROM su)").replace("g AS (", "gu AS (")
+    v = SLOPES.format("v").replace("s AS (", "sv AS (").replace("FROM s)", "FROM sv)").replace("g AS (", "gv AS (")
+    u = SLOPES.format("u").replace("s AS (", "su AS (").replace("FROM s)", "FROM su)").replace("g AS (", "gu AS (")
     return f"WITH {v}, {u} {body} FROM gv JOIN gu ON gv.sheet = gu.sheet AND gv.latitude = gu.latitude AND gv.longitude = gu.longitude"
 
 

@@ -110,7 +110,7 @@ def _(t):
     n = labeled.filter("label_status = 'positive'").count() + 100
     out = tr.sample_negatives(labeled, ["date", "region_id"], n)
     kind = F.when(F.col("label_status") == "positive", "positive").otherwise(F.col("label_source_mode"))
-    return out.distinct().groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    return out.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query(
