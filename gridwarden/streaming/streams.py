@@ -2,23 +2,32 @@
 
 Aggregating streams run in update mode: each micro-batch stores the rows it changed, and a reader takes
 the last state of each key. So open windows are visible, nothing waits for a watermark to pass, and the
-watermark only bounds the state. Rows later than the watermark are dropped.
+watermark only bounds the state. Rows later than the watermark are dropped, and ``late_rows`` tells how many.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from datetime import date
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gridwarden.functions.physical import precip_flag
 from gridwarden.operators.features import numeric_feature_columns
 from gridwarden.operators.labels import FloodLabelPolicy, label_flash_flood
 from gridwarden.operators.risk import scan_risks
+from gridwarden.session import cut_lineage
+from gridwarden.sources.store import SIGNATURE
 
 CELL = ("latitude", "longitude")
+_EPOCH = date(1970, 1, 1).toordinal()
 
 
 def stream_daily_precip(rows: DataFrame, value: str = "precipitation", delay: str = "2 hours", cell: Sequence[str] = CELL) -> DataFrame:
@@ -54,12 +63,42 @@ def stream_province_day(rows: DataFrame, lookup: DataFrame, delay: str = "1 day"
     return out.select(F.to_date("w.start").alias("date"), province, "grid_cell_count", *names)
 
 
+_RUN_STATE = "starts array<int>, ends array<int>"
+
+
 def stream_heatwave_runs(rows: DataFrame, flag: str = "heatwave_day_flag", delay: str = "2 days", cell: Sequence[str] = CELL) -> DataFrame:
-    """Runs of consecutive flagged days as session windows just over a day apart; a run is emitted once closed."""
-    days = rows.filter(F.col(flag) == 1).withColumn("day", F.date_trunc("day", "time")).withWatermark("day", delay)
-    out = days.groupBy(F.session_window("day", "25 hours").alias("w"), *cell).agg(F.min("day").alias("_a"), F.max("day").alias("_b"))
-    span = F.date_diff(F.to_date("_b"), F.to_date("_a")) + 1
-    return out.select(*cell, F.to_date("_a").alias("start_date"), F.to_date("_b").alias("end_date"), span.cast("long").alias("duration_days"))
+    """Runs of consecutive flagged days per cell, open ones too: (cell, start_date, end_date, duration_days).
+
+    To be stored with ``update_into`` and read by (cell, start_date): a run comes again whenever it grows, and a
+    start that was joined to an earlier run comes with duration 0. The state holds the runs that rows within
+    the watermark can still change.
+    """
+    days = rows.filter(F.col(flag) == 1).withWatermark("time", delay).select(*cell, "time", F.unix_date(F.to_date("time")).alias("_day"))
+    schema = T.StructType([*[days.schema[c] for c in cell], T.StructField("start_date", T.DateType()), T.StructField("end_date", T.DateType()), T.StructField("duration_days", T.LongType())])
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        runs = dict(zip(*state.get, strict=True)) if state.exists else {}
+        changed = set()
+        for day in sorted({int(d) for frame in frames for d in frame["_day"]}):
+            near = [a for a, b in runs.items() if a - 1 <= day <= b + 1]
+            start, end = min([day, *near]), max([day, *[runs[a] for a in near]])
+            if near != [start] or runs[start] != end:
+                changed |= {start, *near}
+                for a in near:
+                    del runs[a]
+                runs[start] = end
+        out = [(*key, date.fromordinal(_EPOCH + a), date.fromordinal(_EPOCH + runs.get(a, a)), runs[a] - a + 1 if a in runs else 0) for a in sorted(changed)]
+        done = state.getCurrentWatermarkMs() // 86_400_000 - 1
+        open_ = sorted((a, b) for a, b in runs.items() if b >= done)
+        state.update(([a for a, _ in open_], [b for _, b in open_]))
+        yield pd.DataFrame(out, columns=schema.names)
+
+    return days.groupBy(*cell).applyInPandasWithState(step, schema, _RUN_STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows the stateful operators dropped because they came after the watermark, over all batches still reported."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
 
 
 def append_to(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -88,24 +127,46 @@ def stream_label(
 ) -> StreamingQuery:
     """Label each micro-batch against the event catalogue with the batch operator."""
 
+    known = cut_lineage(events, "stream-events")  # once, not per micro-batch
+
     def store(batch: DataFrame, number: int) -> None:
-        label_flash_flood(batch, events, policy, order).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        label_flash_flood(batch, known, policy, order).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return samples.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(store).start()
 
 
-def stream_incremental_table(
-    spark: SparkSession, source: str, schema, transform: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, glob: str = "*.parquet"
-) -> StreamingQuery:
-    """New and changed files into a table partitioned by file name; a file's rows replace its earlier ones.
+def stream_incremental_table(spark: SparkSession, source: str, schema, transform: Callable[[DataFrame], DataFrame], path: str, state: str, glob: str = "*.parquet") -> int:
+    """One run of the incremental table: reads new and changed files, returns how many.
 
-    The checkpoint remembers which files were read, so unchanged files are never read again.
+    A file is known by full path, size and modification time; the file stream source would never read a path
+    twice, so the files are listed and compared with the signatures stored in ``state``. A file's rows are
+    one partition, replaced as a whole. Signatures are stored after the rows: a run that breaks off is repeated.
     """
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(source)
-    tagged = rows.select("*", F.col("_metadata.file_name").alias("source_file"))
-
-    def store(batch: DataFrame, number: int) -> None:
-        out = transform(batch).hint("rebalance", "source_file")
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_file").parquet(path)
-
-    return tagged.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(store).start()
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(source)
+    files = listed.select(F.col("path").alias("source_file"), F.col("length").alias("source_size_bytes"), F.unix_micros("modificationTime").alias("source_mtime_us"))
+    known = _signatures(spark, state)
+    changed = cut_lineage(files if known is None else files.join(known, list(SIGNATURE), "left_anti"), "stream-files")
+    paths = [r["source_file"] for r in changed.collect()]  # names only, as any file source holds them
+    if not paths:
+        return 0
+    meta = F.col("_metadata")
+    rows = spark.read.schema(schema).parquet(*paths).select("*", meta["file_path"].alias("source_file"), F.unix_micros(meta["file_modification_time"]).alias("source_mtime_us"))
+    out = transform(rows).withColumn("source_key", F.md5("source_file")).hint("rebalance", "source_key")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_key").parquet(path)
+    changed.write.mode("overwrite").parquet(f"{state}/{uuid.uuid4().hex}")
+    return len(paths)
+
+
+def _signatures(spark: SparkSession, state: str) -> DataFrame | None:
+    """Signatures of all runs so far; None before the first."""
+    try:
+        return spark.read.option("recursiveFileLookup", "true").parquet(state).select(*SIGNATURE).distinct()
+    except AnalysisException:
+        return None
+
+
+def incremental_rows(spark: SparkSession, path: str, source: str, glob: str = "*.parquet") -> DataFrame:
+    """Rows of the table that belong to the files as they are now; those of deleted or since emptied files are left out."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(source)
+    files = listed.select(F.md5("path").alias("source_key"), F.unix_micros("modificationTime").alias("source_mtime_us"))
+    return spark.read.parquet(path).join(files, ["source_key", "source_mtime_us"], "left_semi")

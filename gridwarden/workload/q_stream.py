@@ -100,27 +100,33 @@ def _(t):
 
 @query("stream_incremental_table", ("obs",), "SELECT event_type, count(*) AS n, round(sum(temp_c), 4) AS temp FROM obs GROUP BY 1")
 def _(t):
-    path = shared_dir(t.spark, "stream")
-    schema = t.table("events").schema
+    """The table as two folders of files; the first is written with other values and then once more as it is."""
+    source, path = shared_dir(t.spark, "source"), shared_dir(t.spark, "stream")
+    events = t.table("events")
 
     def project(batch):
-        return batch.select("event_type", (15 + F.col("value") % 35).alias("temp_c"), "source_file")
+        return batch.select("event_type", (15 + F.col("value") % 35).alias("temp_c"), "source_file", "source_mtime_us")
 
-    for _ in range(2):
-        ss.stream_incremental_table(t.spark, t.folder, schema, project, path, f"{path}-state", "events.parquet").awaitTermination()
-    return t.spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"), r(F.sum("temp_c"), 4).alias("temp"))
+    half = F.col("event_id") % 2 == 0
+    events.filter(half).withColumn("value", F.col("value") + 1).write.parquet(f"{source}/a")
+    events.filter(~half).write.parquet(f"{source}/b")
+    ss.stream_incremental_table(t.spark, source, events.schema, project, path, f"{path}-state")
+    events.filter(half).write.mode("overwrite").parquet(f"{source}/a")
+    ss.stream_incremental_table(t.spark, source, events.schema, project, path, f"{path}-state")
+    out = ss.incremental_rows(t.spark, path, source)
+    return out.groupBy("event_type").agg(F.count("*").alias("n"), r(F.sum("temp_c"), 4).alias("temp"))
 
 
 _RUNS = """WITH d AS (SELECT station, date, max(CASE WHEN temp_c >= 35 THEN 1 ELSE 0 END) AS f FROM obs GROUP BY 1, 2),
 k AS (SELECT station, date, date - CAST(row_number() OVER (PARTITION BY station ORDER BY date) AS INT) AS run FROM d WHERE f = 1),
-s AS (SELECT station, min(date) AS a, max(date) AS b, count(*) AS n FROM k GROUP BY station, run), m AS (SELECT max(date) AS last FROM d WHERE f = 1)
-SELECT station, CAST(a AS STRING) AS start_date, CAST(b AS STRING) AS end_date, n AS duration_days FROM s CROSS JOIN m WHERE epoch(b) + 25 * 3600 <= epoch(last) - 48 * 3600"""
+s AS (SELECT station, min(date) AS a, max(date) AS b, count(*) AS n FROM k GROUP BY station, run)
+SELECT station, CAST(a AS STRING) AS start_date, CAST(b AS STRING) AS end_date, n AS duration_days FROM s"""
 
 
 @query("stream_heatwave_runs", ("obs",), _RUNS)
 def _(t):
     path = shared_dir(t.spark, "stream")
     rows = live_obs(t).select("time", "station", (F.col("temp_c") >= 35).cast("int").alias("heatwave_day_flag"))
-    ss.append_to(ss.stream_heatwave_runs(rows, cell=["station"]), path, f"{path}-state").awaitTermination()
-    out = t.spark.read.parquet(path)
+    ss.update_into(ss.stream_heatwave_runs(rows, cell=["station"]), path, f"{path}-state").awaitTermination()
+    out = ss.latest_state(t.spark, path, ["station", "start_date"]).filter("duration_days > 0")
     return out.select("station", day("start_date").alias("start_date"), day("end_date").alias("end_date"), "duration_days")
