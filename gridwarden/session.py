@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,8 +58,40 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+#: Folders stored inside the innermost open ``temporary``; None outside any.
+_STORED: ContextVar[list[str] | None] = ContextVar("stored", default=None)
+
+
 def cut_lineage(df: DataFrame, purpose: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so a lost executor never recomputes it."""
     path = shared_dir(df.sparkSession, purpose)
+    if (stored := _STORED.get()) is not None:
+        stored.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """Remove what ``cut_lineage`` stores inside once the block ends; ``keep(df)`` stores ``df`` beyond it.
+
+    What leaves the block must be kept: a frame that still reads a stored table of the block fails later.
+    """
+    outer = _STORED.get()
+    inner: list[str] = []
+
+    def keep(df: DataFrame, purpose: str = "kept") -> DataFrame:
+        token = _STORED.set(outer)
+        try:
+            return cut_lineage(df, purpose)
+        finally:
+            _STORED.reset(token)
+
+    token = _STORED.set(inner)
+    try:
+        yield keep
+    finally:
+        _STORED.reset(token)
+        for path in inner:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,10 +89,22 @@ def upsert_report(existing: DataFrame, incoming_files: DataFrame) -> DataFrame:
 
 
 def write_with_summary(df: DataFrame, path: str, summary: DataFrame) -> DataFrame:
-    """Write a table and its one-row summary beside it, then check that the table opens."""
-    df.write.mode("overwrite").parquet(path)
+    """Write a table and its one-row summary beside it; the old table goes only once the new one has been opened.
+
+    The new files are written next to the table, read once in full, and then renamed into its place.
+    """
+    spark = df.sparkSession
+    fresh = f"{path}.new-{uuid.uuid4().hex}"
+    df.write.parquet(fresh)
+    spark.read.parquet(fresh).write.format("noop").mode("overwrite").save()
     summary.coalesce(1).write.mode("overwrite").json(f"{path}.summary")
-    return df.sparkSession.read.parquet(path)
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    target = jvm_path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(target, True)
+    if not files.rename(jvm_path(fresh), target):
+        raise OSError(f"{fresh} could not be renamed to {path}")
+    return spark.read.parquet(path)
 
 
 def mean_std_payload(stats: DataFrame) -> DataFrame:
