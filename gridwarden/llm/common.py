@@ -74,3 +74,21 @@ def per_row(
 def drop_columns_of(schema: T.StructType, *names: str) -> list[str]:
     """Names of a schema's columns without the given ones."""
     return [c for c in schema.names if c not in names]
+
+
+#: Bits of the filter below: at most FILTER_BITS / 64 rows of two numbers are broadcast, whatever the number of ids.
+FILTER_BITS = 1 << 24
+
+
+def likely_among(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows whose key may be among ``ids`` (one column): all that are, and few others while the ids are few.
+
+    A bit per hashed id, kept as 64-bit words in a table of bounded size. Put before an exact join, it keeps
+    most of a wide table out of the shuffle.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(FILTER_BITS))
+    bit = F.expr("shiftleft(1L, int(_place % 64))")
+    words_ = ids.select(place(ids[ids.columns[0]]).alias("_place")).select(F.expr("_place div 64").alias("_word"), bit.alias("_bit"))
+    words_ = words_.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    placed = df.withColumn("_place", place(F.col(key))).withColumn("_word", F.expr("_place div 64"))
+    return placed.join(F.broadcast(words_), "_word").filter(F.col("_bits").bitwiseAND(bit) != 0).select(*df.columns)

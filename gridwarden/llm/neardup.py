@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from gridwarden.llm.common import per_row, schema_of, words
+from gridwarden.llm.common import likely_among, per_row, schema_of, words
 from gridwarden.llm.graph import joined_components
 from gridwarden.llm.shingles import batches, hash_family, mix, shingle_numbers, word_numbers
-from gridwarden.session import cut_lineage
+from gridwarden.session import cut_lineage, temporary
 
 BANDS, ROWS = 48, 7
 SIGNATURE, STEP = 128, 32
@@ -104,20 +104,28 @@ def _prune(pairs: DataFrame, known: DataFrame, percent: int, miss: float) -> Dat
                 alive = alive[equal[alive] >= m]
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(alive)), part.column(1).take(pa.array(alive))], schema=arrow)
 
+    known = likely_among(known, "_id", _ends(pairs))
     a = known.select(F.col("_id").alias("a"), F.col("_n").alias("_na"), F.col("_signature").alias("_sa"))
     b = known.select(F.col("_id").alias("b"), F.col("_n").alias("_nb"), F.col("_signature").alias("_sb"))
     met = pairs.join(b, "b").join(a, "a").filter(f"100 * least(_na, _nb) >= {percent} * greatest(_na, _nb)")
     return met.select("a", "b", "_sa", "_sb").mapInArrow(run, schema_of("a long, b long"))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("_id")).union(pairs.select("b"))
+
+
 def _shingle_set(text: str, size: int) -> set[tuple[str, ...]]:
     found = words(text)
     return {tuple(found[i : i + size]) for i in range(len(found) - size + 1)} or ({tuple(found)} if found else set())
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Texts of the given ids only, stored: later joins move these and not the whole table."""
-    return cut_lineage(docs.join(ids.distinct(), "_id", "left_semi").dropDuplicates(["_id"]), "near-texts")
+    """Texts of the given ids (and of few others), stored: later joins move these and not the whole table.
+
+    No exact join follows here: the optimizer would put it first and shuffle every text.
+    """
+    return cut_lineage(likely_among(docs, "_id", ids).dropDuplicates(["_id"]), "near-texts")
 
 
 def _with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
@@ -129,7 +137,7 @@ def _with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) linked by their full shingle sets."""
-    texts = _texts_of(docs, pairs.select(F.col("a").alias("_id")).union(pairs.select("b")))
+    texts = _texts_of(docs, _ends(pairs))
     arrow = to_arrow_schema(schema_of("a long, b long"))
 
     def run(parts):
@@ -150,7 +158,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
 
 def _beyond(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """For (grp, a = pivot, b = member, label): shared count, sizes, whether linked, numbers of b's shingles that a lacks."""
-    texts = _texts_of(docs, members.select(F.col("a").alias("_id")).union(members.select("b")))
+    texts = _texts_of(docs, _ends(members))
     out = schema_of("grp long, b long, label long, shared long, n long, linked boolean, more array<long>")
     arrow = to_arrow_schema(out)
 
@@ -214,8 +222,8 @@ def _spelled_out(met: DataFrame) -> DataFrame:
 PAIRS_A_ROW = 64
 
 
-def links(known: DataFrame, docs: DataFrame, size: int, percent: int, miss: float) -> DataFrame | None:
-    """Components (node, component) of the linked classes; ``known`` has one row per class."""
+def links(known: DataFrame, every: DataFrame, docs: DataFrame, size: int, percent: int, miss: float) -> DataFrame | None:
+    """Components (node, component) of the linked classes; ``known`` has one row per class, ``every`` one per text."""
     keyed = known.select("_id", F.explode("_keys").alias("_key"))
     shared = keyed.groupBy("_key").agg(F.count("*").alias("_m")).filter("_m > 1")
     met = cut_lineage(keyed.join(shared, "_key").select("_key", "_id", "_m"), "near-buckets")
@@ -230,43 +238,45 @@ def links(known: DataFrame, docs: DataFrame, size: int, percent: int, miss: floa
     groups = cut_lineage(groups.filter("a != b").select(F.col("a").alias("grp"), "a", "b").distinct(), "near-groups")
     pairs, labels = groups.select("a", "b").distinct(), None
     while True:
-        found = cut_lineage(_prune(pairs, known, percent, miss), "near-survivors")
-        labels = joined_components(labels, cut_lineage(_confirm(found, docs, size, percent), "near-links"))
-        if groups is None:
-            return labels
-        of_b = labels.select(F.col("node").alias("b"), "component")
-        members = groups.join(of_b, "b", "left").select("grp", "a", "b", F.coalesce("component", "b").alias("label"))
-        several = members.groupBy("grp").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low != _high").select("grp")
-        members = cut_lineage(members.join(several, "grp", "left_semi"), "near-open")
-        rows = members.count()
-        if not rows:
-            return labels
-        small, open_rows = _open_pairs(cut_lineage(_beyond(members, docs, size, percent), "near-beyond"), percent)
-        open_rows = cut_lineage(open_rows, "near-open")
-        load = open_rows.groupBy("grp", "_s").agg((F.count_if("_front") * F.count("*")).alias("_pairs")).agg(F.sum("_pairs")).first()[0] or 0
-        if load <= PAIRS_A_ROW * rows:
-            groups, pairs = None, _spelled_out(open_rows)
-        else:
-            groups = cut_lineage(_regrouped(open_rows), "near-groups")
-            pairs = groups.select("a", "b")
-        pairs = cut_lineage(pairs.union(small).distinct(), "near-pairs")
+        with temporary(known.sparkSession) as keep:
+            found = cut_lineage(_prune(pairs, every, percent, miss), "near-survivors")
+            labels = keep(joined_components(labels, cut_lineage(_confirm(found, docs, size, percent), "near-links")), "near-labels")
+            if groups is None:
+                return labels
+            of_b = labels.select(F.col("node").alias("b"), "component")
+            members = groups.join(of_b, "b", "left").select("grp", "a", "b", F.coalesce("component", "b").alias("label"))
+            several = members.groupBy("grp").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low != _high").select("grp")
+            members = cut_lineage(members.join(several, "grp", "left_semi"), "near-open")
+            rows = members.count()
+            if not rows:
+                return labels
+            small, open_rows = _open_pairs(cut_lineage(_beyond(members, docs, size, percent), "near-beyond"), percent)
+            open_rows = cut_lineage(open_rows, "near-open")
+            load = open_rows.groupBy("grp", "_s").agg((F.count_if("_front") * F.count("*")).alias("_pairs")).agg(F.sum("_pairs")).first()[0] or 0
+            if load <= PAIRS_A_ROW * rows:
+                groups, pairs = None, _spelled_out(open_rows)
+            else:
+                groups = keep(_regrouped(open_rows), "near-groups")
+                pairs = groups.select("a", "b")
+            pairs = keep(pairs.union(small).distinct(), "near-pairs")
         if pairs.isEmpty():
             return labels
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 2, percent: int = 80, miss: float = 1e-6) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``df``."""
-    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("_text"))
-    every = cut_lineage(signatures(df, doc_id, text, size), "near-signatures")
-    counted = every.filter("_n > 0 and _id is not null").groupBy("_digest").agg(F.min("_id").alias("_first"), F.count("*").alias("_copies"))
-    copies = cut_lineage(counted.filter("_copies > 1").select("_digest", "_first"), "near-copies")
-    known = every.join(copies, "_digest", "left").withColumn("_rep", F.coalesce("_first", "_id"))
-    labels = links(known.filter("_n > 0 and _id = _rep"), docs, size, percent, miss)
-    # rows that repeat an id with other texts join that id's classes
-    repeated = every.filter("_n > 0 and _id is not null").groupBy("_id").agg(F.count("*").alias("_times")).filter("_times > 1").select("_id")
-    extra = cut_lineage(known.join(repeated, "_id", "left_semi").filter("_n > 0 and _id != _rep").select(F.col("_id").alias("a"), F.col("_rep").alias("b")).distinct(), "near-repeats")
-    labels = joined_components(labels, extra)
-    named = known.select("_id", "_n", "_rep").join(labels.withColumnRenamed("node", "_rep"), "_rep", "left")
-    component = F.when((F.col("_n") > 0) & F.col("_id").isNotNull(), F.coalesce("component", "_rep")).otherwise(F.col("_id"))
-    out = named.select(F.col("_id").alias(doc_id), F.col("_n").alias("n_shingles"), component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(f"`{doc_id}`") == F.col("component_id"), F.lit(True)))
+    with temporary(df.sparkSession) as keep:
+        docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("_text"))
+        every = cut_lineage(signatures(df, doc_id, text, size), "near-signatures")
+        counted = every.filter("_n > 0 and _id is not null").groupBy("_digest").agg(F.min("_id").alias("_first"), F.count("*").alias("_copies"))
+        copies = cut_lineage(counted.filter("_copies > 1").select("_digest", "_first"), "near-copies")
+        known = every.join(copies, "_digest", "left").withColumn("_rep", F.coalesce("_first", "_id"))
+        labels = links(known.filter("_n > 0 and _id = _rep"), every.filter("_n > 0"), docs, size, percent, miss)
+        # rows that repeat an id with other texts join that id's classes
+        repeated = every.filter("_n > 0 and _id is not null").groupBy("_id").agg(F.count("*").alias("_times")).filter("_times > 1").select("_id")
+        extra = cut_lineage(known.join(repeated, "_id", "left_semi").filter("_n > 0 and _id != _rep").select(F.col("_id").alias("a"), F.col("_rep").alias("b")).distinct(), "near-repeats")
+        labels = joined_components(labels, extra)
+        named = known.select("_id", "_n", "_rep").join(labels.withColumnRenamed("node", "_rep"), "_rep", "left")
+        component = F.when((F.col("_n") > 0) & F.col("_id").isNotNull(), F.coalesce("component", "_rep")).otherwise(F.col("_id"))
+        out = named.select(F.col("_id").alias(doc_id), F.col("_n").alias("n_shingles"), component.alias("component_id"))
+        return keep(out.withColumn("kept", F.coalesce(F.col(f"`{doc_id}`") == F.col("component_id"), F.lit(True))), "near-result")
