@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from gridwarden.llm.common import SLICE_ROWS, schema_of, words
 from gridwarden.llm.shingles import batches, hash_family, shingle_numbers, word_numbers
-from gridwarden.session import cut_lineage
+from gridwarden.session import cut_lineage, temporary
 
 WORDS, PERCENT, FUNCTIONS = 5, 80, 64
 BITS = 1 << 24
@@ -163,14 +163,16 @@ def candidates(docs: DataFrame, known: DataFrame, doc_id: str, text: str, size:
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WORDS, percent: int = PERCENT, functions: int = FUNCTIONS) -> DataFrame:
     """doc_id, item_id, shared, n_item: pairs in which at least ``percent`` of the item's distinct shingles stand in the document."""
-    known = cut_lineage(item_shingles(items, item_id, item_text, size, functions).withColumn("_entry", F.monotonically_increasing_id()), "bench-items")
-    found = cut_lineage(candidates(docs, known, doc_id, text, size, percent, functions), "bench-hits")
-    of_items = known.select("_entry", F.explode("signs").alias("_sign"))
-    pairs = found.select("_row", F.explode("signs").alias("_sign")).join(of_items, "_sign").select("_row", "_entry").distinct()
-    of_docs = found.select("_row", F.col("_id").alias(doc_id), F.col("shingles").alias("_d"))
-    full = pairs.join(of_docs, "_row").join(known.select("_entry", F.col("item").alias(item_id), F.col("shingles").alias("_i")), "_entry")
-    out = full.select(doc_id, item_id, F.size(F.array_intersect("_i", "_d")).cast("long").alias("shared"), F.size("_i").cast("long").alias("n_item"))
-    return out.filter(f"100 * shared >= {percent} * n_item").groupBy(doc_id, item_id).agg(F.max("shared").alias("shared"), F.max("n_item").alias("n_item"))
+    with temporary(docs.sparkSession) as keep:
+        known = cut_lineage(item_shingles(items, item_id, item_text, size, functions).withColumn("_entry", F.monotonically_increasing_id()), "bench-items")
+        found = cut_lineage(candidates(docs, known, doc_id, text, size, percent, functions), "bench-hits")
+        of_items = known.select("_entry", F.explode("signs").alias("_sign"))
+        pairs = found.select("_row", F.explode("signs").alias("_sign")).join(of_items, "_sign").select("_row", "_entry").distinct()
+        of_docs = found.select("_row", F.col("_id").alias(doc_id), F.col("shingles").alias("_d"))
+        full = pairs.join(of_docs, "_row").join(known.select("_entry", F.col("item").alias(item_id), F.col("shingles").alias("_i")), "_entry")
+        out = full.select(doc_id, item_id, F.size(F.array_intersect("_i", "_d")).cast("long").alias("shared"), F.size("_i").cast("long").alias("n_item"))
+        pairs = out.filter(f"100 * shared >= {percent} * n_item").groupBy(doc_id, item_id).agg(F.max("shared").alias("shared"), F.max("n_item").alias("n_item"))
+        return keep(pairs, "bench-pairs")
 
 
 #: DuckDB: all pairs that share a shingle, counted; words between ASCII white space, A-Z in lower case.
