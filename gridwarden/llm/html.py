@@ -1,14 +1,14 @@
 """Main text of web pages: site templates are found by counting element subtrees per host, and removed.
 
-1. Each page's block elements outside its article are hashed (tags and text of the whole subtree) and
-   counted once per page and host. A subtree on at least ``least_pages`` pages and ``least_share`` of a
-   host's pages is a template; a host has at most (elements per page / least_share) of them, however many
-   pages it has.
-2. The host's templates meet its pages, and template subtrees are deleted, as are menus, headers, footers, sidebars,
-   notices, adverts, forms, scripts, styles and reader comments that their tags, roles or class names tell.
+1. Each page's block elements are hashed (tags and text of the whole subtree), those inside its article apart
+   from the others. A subtree is a template of its host if it stands in at least ``least_pages`` contexts (the
+   text beside it) and on ``least_share`` of its pages, and in more than half as many contexts as there are different pages or articles
+   around it: what only copies and near copies of one article share is no template.
+2. The host's templates meet its pages, and template subtrees are deleted. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments that
+   their tags, roles or class names tell are deleted as well.
 
-What an ``article`` (or else ``main``) element holds is never a template: copies of one article are no
-boilerplate. Where a page has neither, and templates would take all of its text, they are kept.
+Inside an ``article`` (or else ``main``) element only boxes can be templates, no single paragraph or heading.
+Where templates would take all of a page's text, they are kept.
 
 Defined results: null html gives an empty text; a null or odd url counts as host ''; broken markup is read
 as browsers do in the main (implied end tags, unknown end tags ignored, a tag cut by the end dropped);
@@ -18,6 +18,7 @@ repeated rows count as pages of their own and give repeated rows; an empty table
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from hashlib import blake2b
@@ -58,12 +59,24 @@ _DROP_WORDS = frozenset(
     "popup modal share sharing social comment comments respond disqus related pagination pager widget widgets toolbar login skiplink".split()
 )
 _HEADER_WORDS = frozenset("header masthead banner topbar".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _WHOLE = frozenset("html body article main".split())
 
+#: Elements that go as templates inside an article; a paragraph or heading that recurs there ("Yes.", "History") is text.
+_BOXES = frozenset("div section ul ol nav table aside footer header form figure dl".split())
+#: Turns a sign into that of the same subtree inside an article: the two are counted apart.
+_INSIDE = 0x5BD1E995_27D4EB2F
+
 #: Elements whose subtrees are hashed.
 _HASHED = frozenset("div section ul ol li nav p table aside footer header form figure blockquote dl h1 h2 h3 h4 h5 h6".split())
 
 
+#: Words of a context: few, so that a near copy seldom has a change among them.
+_CONTEXT_WORDS = 8
+#: Contexts of a subtree.
+_CONTEXTS = 3
+
+
 class Element(NamedTuple):
     tag: str
     drop: bool
@@ -199,23 +212,80 @@ def _roots(pieces: list, elements: list[Element], gone: bytearray) -> list[Eleme
     return []
 
 
-def template_candidates(html: str | None) -> list[int]:
-    """Distinct hashes of a page's block subtrees that lie outside its article and do not hold it."""
+def _places(pieces: list, elements: list[Element]) -> tuple[list[Element], bytearray, list[tuple[Element, int]]]:
+    """Outermost articles, what tags and names remove, and the elements that may be templates with their signs there.
+
+    Inside an article these are boxes. Elsewhere a heading goes only with the box around it.
+    """
+    gone = _marked(pieces, (e for e in elements if e.drop))
+    roots = _roots(pieces, elements, gone)
+    held = list(accumulate(_marked(pieces, roots), initial=0))
+    out = []
+    for e in elements:
+        if e.sign and held[e.first] == held[e.end] and e.tag not in _HEADINGS:
+            out.append((e, e.sign))
+        elif e.sign and e.tag in _BOXES and held[e.end] - held[e.first] == e.end - e.first:
+            out.append((e, e.sign ^ _INSIDE))
+    return roots, gone, out
+
+
+def template_candidates(html: str | None) -> list[tuple[int, int, int, int, bool]]:
+    """(sign, rank, context, region, open) of a page's block subtrees, distinct.
+
+    The region is the text of the article around the subtree, or else of the page. Its contexts are the beginnings
+    of the longest blocks of the region beside the subtree, by rank: equal for copies and for most near copies of an
+    article. Several ranks, as one long notice may be the longest block of every page. Subtrees that take the
+    whole region are left out. ``open`` tells that the sign decides over text of the page.
+    """
     pieces, elements = parse(html or "")
-    held = list(accumulate(_marked(pieces, _roots(pieces, elements, _marked(pieces, (e for e in elements if e.drop)))), initial=0))
-    return sorted({e.sign for e in elements if e.sign and held[e.first] == held[e.end]})
+    roots, gone, places = _places(pieces, elements)
+    found, firsts = set(), [r.first for r in roots]
+    sides: dict[tuple[int, int], tuple] = {}
+    kept = list(accumulate((bool(p and not p.isspace() and not g) for p, g in zip(pieces, gone, strict=True)), initial=0))
+    for e, sign in places:
+        inside = sign != e.sign
+        root = roots[bisect_right(firsts, e.first) - 1] if inside else None
+        lo, hi = (root.first, root.end) if root else (0, len(pieces))
+        if (lo, hi) not in sides:
+            sides[lo, hi] = _sides(pieces, gone, lo, hi)
+        before, after, region = sides[lo, hi]
+        for rank, (_, text) in enumerate(_longest(before[e.first - lo], after[e.end - lo])):
+            found.add((sign, rank, _sign("", text.split()[:_CONTEXT_WORDS]), region, (inside or not roots) and kept[e.end] > kept[e.first]))
+    return sorted(found)
+
+
+def _longest(a: tuple, b: tuple) -> tuple:
+    return tuple(sorted(a + b, reverse=True)[:_CONTEXTS]) if a and b else a or b
+
+
+def _sides(pieces: list, gone: bytearray, lo: int, hi: int) -> tuple[list, list, int]:
+    """Longest blocks that stay, before and after each piece of the range, as (length, text), and the hash of all its text."""
+    at: list[tuple] = [()] * (hi - lo)
+    texts, block, start = [], [], lo
+    for i in range(lo, hi + 1):
+        if i == hi or pieces[i] is None:
+            if block and (text := " ".join("".join(block).split())):
+                texts.append(text)
+                at[start - lo] = ((len(text), text),)
+            block = []
+        elif not gone[i]:
+            start = start if block else i
+            block.append(pieces[i])
+    before = list(accumulate(at, _longest, initial=()))
+    after = list(accumulate(reversed(at), _longest, initial=()))[::-1]
+    return before, after, _sign("", texts)
 
 
 def main_text(html: str | None, templates: frozenset[int] = frozenset()) -> str:
     """The article's blocks in page order, joined by line ends."""
     pieces, elements = parse(html or "")
-    gone = _marked(pieces, (e for e in elements if e.drop))
-    roots = _roots(pieces, elements, gone)
+    roots, gone, places = _places(pieces, elements)
     if roots:
         inside = _marked(pieces, roots)
-        return _blocks(pieces, bytearray(g | (not i) for g, i in zip(gone, inside, strict=True)))
-    gone = _marked(pieces, (e for e in elements if e.header), gone)
-    return _blocks(pieces, _marked(pieces, (e for e in elements if e.sign in templates), gone)) or _blocks(pieces, gone)
+        gone = bytearray(g | (not i) for g, i in zip(gone, inside, strict=True))
+    else:
+        gone = _marked(pieces, (e for e in elements if e.header), gone)
+    return _blocks(pieces, _marked(pieces, (e for e, sign in places if sign in templates), gone)) or _blocks(pieces, gone)
 
 
 def _blocks(pieces: list, gone: bytearray) -> str:
@@ -232,7 +302,7 @@ def _blocks(pieces: list, gone: bytearray) -> str:
 
 # --- on tables -------------------------------------------------------------------------------------
 
-_SIGNS = schema_of("host string, sign long")
+_SIGNS = schema_of("host string, sign long, rank int, context long, region long, open boolean")
 
 
 def host_of(url):
@@ -248,16 +318,20 @@ def site_templates(pages: DataFrame, url: str = "url", html: str = "html", least
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                hosts, signs = [], []
+                hosts, rows = [], []
                 for host, value in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     found = template_candidates(value)
                     hosts += [host] * len(found)
-                    signs += found
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(signs, pa.int64())], schema=arrow)
+                    rows += found
+                columns = zip(*rows, strict=True) if rows else [[]] * (len(arrow) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([hosts, *columns], arrow, strict=True)], schema=arrow)
 
     rows = pages.select(host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("_html"))
     sizes = rows.groupBy("host").agg(F.count("*").alias("_pages"))
-    counts = rows.mapInArrow(run, _SIGNS).groupBy("host", "sign").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least_pages)
+    kinds = rows.mapInArrow(run, _SIGNS).groupBy("host", "sign", "rank", "context", "region").agg(F.count("*").alias("_n"))
+    kinds = kinds.groupBy("host", "sign", "rank", "context").agg(F.count("*").alias("_regions"), F.sum("_n").alias("_n"))
+    counts = kinds.groupBy("host", "sign", "rank").agg(F.count("*").alias("_contexts"), F.sum("_regions").alias("_regions"), F.sum("_n").alias("_n"))
+    counts = counts.filter((F.col("_contexts") >= least_pages) & (F.col("_contexts") * 2 > F.col("_regions"))).groupBy("host", "sign").agg(F.max("_n").alias("_n"))
     often = counts.join(sizes, "host").filter(F.col("_n") >= F.col("_pages") * least_share)
     return often.groupBy("host").agg(F.sort_array(F.collect_list("sign")).alias("templates"))
 

@@ -100,6 +100,23 @@ def test_copies_of_an_article_are_no_template(spark):
     assert {r["text"] for r in html.extract_main_text(df).collect()} == {"T\nOne\nTwo x"}
 
 
+BOX = "<body><article><h1>T {0}</h1><p>Body of number {0}</p><p>Yes.</p><div><h3>Read also</h3><ul><li>The same three</li></ul></div><p>End of {0}</p></article>"
+
+
+def test_boxes_inside_articles_are_templates(spark):
+    rows = [(i, "http://h/", BOX.format(i)) for i in range(8)] + [(90 + i, "http://other/", BOX.format(i)) for i in range(2)]
+    rows += [(50 + i, "http://copies/", BOX.format(1)) for i in range(20)]  # one article, however many copies
+    words = " ".join(f"word{i}" for i in range(60))
+    near = "<main><div><p>First part of {1}</p></div><div><p>Kept in all</p></div><p>" + words + " {0}</p></main>"
+    rows += [(100 + i, "http://near/", near.format(i, i % 2)) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in html.extract_main_text(df).collect()}
+    assert out[3] == "T 3\nBody of number 3\nYes.\nEnd of 3"
+    assert out[91] == "T 1\nBody of number 1\nYes.\nRead also\nThe same three\nEnd of 1"
+    assert out[60] == out[91]
+    assert out[107] == f"First part of 1\nKept in all\n{words} 7"
+
+
 @pytest.mark.parametrize("page", ["<div>" * 20_000 + "x", '<a "' * 50_000, "<" * 100_000, "<p>" * 20_000 + "x", "<article>" * 5_000 + "x", "<!-- " * 20_000])
 def test_odd_markup_takes_linear_time(page):
     import time
