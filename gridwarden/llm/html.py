@@ -2,9 +2,10 @@
 
 1. Each page's block elements are hashed (tags and text of the whole subtree), those inside its article apart
    from the others. A subtree is a template of its host if it stands in at least ``least_pages`` contexts (the
-   text beside it) and on ``least_share`` of its pages, and in more than half as many contexts as there are different pages or articles
-   around it: what only copies and near copies of one article share is no template.
-2. The host's templates meet its pages, and template subtrees are deleted. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments that
+   text beside it), however large the host, and in more than half as many contexts as there are different
+   pages or articles around it: what only copies and near copies of one article share is no template.
+2. Each page meets only those templates that it holds itself: its subtrees are joined to the templates by host and
+   sign, so no list grows with the host. Template subtrees are deleted. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments that
    their tags, roles or class names tell are deleted as well.
 
 Inside an ``article`` (or else ``main``) element only boxes can be templates, no single paragraph or heading.
@@ -12,7 +13,7 @@ Where templates would take all of a page's text, they are kept.
 
 Defined results: null html gives an empty text; a null or odd url counts as host ''; broken markup is read
 as browsers do in the main (implied end tags, unknown end tags ignored, a tag cut by the end dropped);
-repeated rows count as pages of their own and give repeated rows; an empty table gives no rows.
+repeated rows count once and give repeated rows; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from gridwarden.llm.common import per_row, schema_of
-from gridwarden.session import cut_lineage
+from gridwarden.llm.common import SLICE_ROWS, per_row, schema_of
+from gridwarden.session import cut_lineage, temporary
 
 # an unpaired quote counts as a plain sign, and a tag may end with the text, so every attempt ends where the next begins
 _TAG = re.compile(r"""<!--|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]++|"[^"]*"|'[^']*'|["'])*+)(?:>|\Z)""")
@@ -302,7 +303,10 @@ def _blocks(pieces: list, gone: bytearray) -> str:
 
 # --- on tables -------------------------------------------------------------------------------------
 
-_SIGNS = schema_of("host string, sign long, rank int, context long, region long, open boolean")
+_SIGNS = schema_of("host string, page long, sign long, rank int, context long, region long, open boolean")
+
+#: Parts that the pages of one host and sign are dealt to.
+_SALTS = 16
 
 
 def host_of(url):
@@ -310,51 +314,55 @@ def host_of(url):
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
 
 
-def site_templates(pages: DataFrame, url: str = "url", html: str = "html", least_pages: int = 5, least_share: float = 0.1) -> DataFrame:
-    """(host, templates): hashes of subtrees that recur on a host; hosts without any are left out."""
+def page_subtrees(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, page, sign, rank, context, region, open): the candidates of each page; equal pages of a host share the hash ``page``."""
     arrow = to_arrow_schema(_SIGNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                hosts, rows = [], []
-                for host, value in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                keys, rows = [], []
+                for host, page, value in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     found = template_candidates(value)
-                    hosts += [host] * len(found)
+                    keys += [(host, page)] * len(found)
                     rows += found
-                columns = zip(*rows, strict=True) if rows else [[]] * (len(arrow) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([hosts, *columns], arrow, strict=True)], schema=arrow)
+                columns = [*zip(*keys, strict=True), *zip(*rows, strict=True)] if rows else [[]] * len(arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return pages.select(host_of(F.col(f"`{url}`")).alias("host"), _page(html).alias("page"), F.col(f"`{html}`").alias("_html")).mapInArrow(run, _SIGNS)
+
 
-    rows = pages.select(host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("_html"))
-    sizes = rows.groupBy("host").agg(F.count("*").alias("_pages"))
-    kinds = rows.mapInArrow(run, _SIGNS).groupBy("host", "sign", "rank", "context", "region").agg(F.count("*").alias("_n"))
-    kinds = kinds.groupBy("host", "sign", "rank", "context").agg(F.count("*").alias("_regions"), F.sum("_n").alias("_n"))
-    counts = kinds.groupBy("host", "sign", "rank").agg(F.count("*").alias("_contexts"), F.sum("_regions").alias("_regions"), F.sum("_n").alias("_n"))
-    counts = counts.filter((F.col("_contexts") >= least_pages) & (F.col("_contexts") * 2 > F.col("_regions"))).groupBy("host", "sign").agg(F.max("_n").alias("_n"))
-    often = counts.join(sizes, "host").filter(F.col("_n") >= F.col("_pages") * least_share)
-    return often.groupBy("host").agg(F.sort_array(F.collect_list("sign")).alias("templates"))
+def _page(html: str):
+    return F.xxhash64(F.col(f"`{html}`"))
+
+
+def site_templates(subtrees: DataFrame, least_pages: int = 5) -> DataFrame:
+    """(host, sign) of the subtrees that recur on a host in at least ``least_pages`` contexts."""
+    kinds = subtrees.select("host", "sign", "rank", "context", "region").distinct()
+    kinds = kinds.groupBy("host", "sign", "rank", "context").agg(F.count("*").alias("_regions"))
+    counts = kinds.groupBy("host", "sign", "rank").agg(F.count("*").alias("_contexts"), F.sum("_regions").alias("_regions"))
+    return counts.filter((F.col("_contexts") >= least_pages) & (F.col("_contexts") * 2 > F.col("_regions"))).select("host", "sign").distinct()
 
 
 def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", keep: Sequence[str] = ("page_id", "url"), **options) -> DataFrame:
     """``keep`` columns, text, n_chars.
 
-    The templates are stored first: Spark knows their size, so it broadcasts them only if they are small and
-    else joins by host, splitting large hosts.
+    The subtrees are stored first, as they are read twice, and so is what the pages hold of templates: Spark knows
+    its size, so it broadcasts it only if it is small. Pairs of host and sign that stand on very many pages are
+    spread by a salt, with the templates copied to each.
     """
-    found = cut_lineage(site_templates(pages, url, html, **options), "site-templates").withColumnRenamed("host", "_host")
-    rows = pages.withColumn("_host", host_of(F.col(f"`{url}`"))).join(found.withColumnRenamed("templates", "_templates"), "_host", "left")
+    with temporary(pages.sparkSession) as keep_stored:
+        subtrees = cut_lineage(page_subtrees(pages, url, html), "page-subtrees")
+        templates = site_templates(subtrees, **options).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        open_ = subtrees.filter("open").select("host", "page", "sign").distinct().withColumn("_salt", F.pmod(F.col("page"), F.lit(_SALTS)).cast("int"))
+        found = open_.join(templates, ["host", "sign", "_salt"], "left_semi").groupBy(F.col("host").alias("_host"), F.col("page").alias("_page"))
+        found = keep_stored(found.agg(F.sort_array(F.collect_list("sign")).alias("_templates")), "page-templates")
+    rows = pages.withColumns({"_host": host_of(F.col(f"`{url}`")), "_page": _page(html)}).join(found, ["_host", "_page"], "left")
 
     def setup():
-        sets: dict[tuple, frozenset] = {}
-
         def one(value, templates):
-            key = tuple(templates or ())
-            if key not in sets:
-                if len(sets) > 1000:
-                    sets.clear()
-                sets[key] = frozenset(key)
-            text = main_text(value, sets[key])
+            text = main_text(value, frozenset(templates or ()))
             return text, len(text)
 
         return lambda htmls, templates: list(zip(*map(one, htmls, templates), strict=True)) or [[], []]

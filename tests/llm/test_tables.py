@@ -117,6 +117,15 @@ def test_boxes_inside_articles_are_templates(spark):
     assert out[107] == f"First part of 1\nKept in all\n{words} 7"
 
 
+def test_rare_templates_of_large_hosts_are_found(spark):
+    page = "<body><div><h1>T {0}</h1><p>Body of number {0}</p></div><div>{1}</div>"
+    rows = [(i, "http://h/", page.format(i, "Now in section B" if i < 5 else f"Own {i}")) for i in range(400)]
+    df = spark.createDataFrame([*rows, rows[0], (900, "http://h/", None)], "page_id long, url string, html string")
+    out = [tuple(r) for r in html.extract_main_text(df).select("page_id", "text").collect()]
+    assert out.count((0, "T 0\nBody of number 0")) == 2 and (4, "T 4\nBody of number 4") in out and (900, "") in out
+    assert (399, "T 399\nBody of number 399\nOwn 399") in out and len(out) == 402
+
+
 @pytest.mark.parametrize("page", ["<div>" * 20_000 + "x", '<a "' * 50_000, "<" * 100_000, "<p>" * 20_000 + "x", "<article>" * 5_000 + "x", "<!-- " * 20_000])
 def test_odd_markup_takes_linear_time(page):
     import time
