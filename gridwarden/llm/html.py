@@ -59,6 +59,9 @@ _DROP_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside ad ads adv advert adverts advertisement advertising promo promotion sponsor sponsored cookie cookies consent gdpr notice notices newsletter subscribe "
     "popup modal share sharing social comment comments respond disqus related pagination pager widget widgets toolbar login skiplink".split()
 )
+# Words that may stand next to those in a class name of a box inside an article ("share-buttons", not "social-history").
+_SHELL_WORDS = frozenset("area articles bar block box button buttons container content form icons inner item items links list outer panel posts section signup unit wrap wrapper".split())
+_NAMED_BOXES = frozenset("div section ul ol dl table figure".split())
 _HEADER_WORDS = frozenset("header masthead banner topbar".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _WHOLE = frozenset("html body article main".split())
@@ -91,6 +94,22 @@ def _sign(tag: str, parts: list[str]) -> int:
     return int.from_bytes(blake2b("\0".join([tag, *parts]).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) or 1
 
 
+def _known(tag: str, name: str, value: str, inside: bool) -> set[str]:
+    """Words of a class or id that may tell what an element is.
+
+    Inside an article only those of class names of boxes that are known as a whole: text there has names of its own.
+    Headings and sections elsewhere have ids made of their titles, which count if they are a known word as a whole.
+    """
+    if inside:
+        if tag not in _NAMED_BOXES or name != "class":
+            return set()
+        tokens = [set(re.findall(r"[a-z0-9]+", t)) for t in value.split()]
+        return {w for t in tokens if t <= _DROP_WORDS | _SHELL_WORDS for w in t & _DROP_WORDS}
+    if name == "id" and (tag in _HEADINGS or tag in ("p", "section")):
+        return {value}
+    return set(re.findall(r"[a-z0-9]+", value))
+
+
 def parse(html: str) -> tuple[list[str | None], list[Element]]:
     """Texts in page order, None where a block begins or ends, and the elements closed, inner ones first."""
     pieces: list[str | None] = []
@@ -168,7 +187,7 @@ def parse(html: str) -> tuple[list[str | None], list[Element]]:
                 if a[1].lower() == "role":
                     roles |= set(value.split())
                 else:
-                    words |= set(re.findall(r"[a-z0-9]+", value))
+                    words |= _known(tag, a[1].lower(), value, bool(count["article"] or count["main"]))
         whole = tag in _WHOLE
         drop = not whole and (tag in _DROP_TAGS or bool(roles & _DROP_ROLES) or bool(words & _DROP_WORDS))
         header = not whole and (tag == "header" or bool(words & _HEADER_WORDS))

@@ -126,6 +126,14 @@ def test_rare_templates_of_large_hosts_are_found(spark):
     assert (399, "T 399\nBody of number 399\nOwn 399") in out and len(out) == 402
 
 
+def test_names_inside_articles_lose_no_text():
+    text = '<h2 id="related-work">Related</h2><h3 class="social">S</h3><p id="notice" class="share">P</p><section id="notices-of-1848"><p>N</p></section><div class="social-history">H</div><div id="menu">M</div>'
+    boilerplate = '<div class="share-buttons">x</div><div class="body sharing">x</div><ul class="related posts"><li>x</ul><nav>x</nav>'
+    for tag in ("article", "main"):
+        assert html.main_text(f"<body><div class='menu'>x</div><{tag}>{text}{boilerplate}</{tag}>") == "Related\nS\nP\nN\nH\nM"
+    assert html.main_text('<h2 id="related-work">Related</h2><section id="notices-of-1848">N</section><section id="comments">x</section><div id="site-menu">x</div>') == "Related\nN"
+
+
 @pytest.mark.parametrize("page", ["<div>" * 20_000 + "x", '<a "' * 50_000, "<" * 100_000, "<p>" * 20_000 + "x", "<article>" * 5_000 + "x", "<!-- " * 20_000])
 def test_odd_markup_takes_linear_time(page):
     import time
