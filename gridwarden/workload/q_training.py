@@ -358,7 +358,7 @@ def heat_samples(t):
 @query("train_hazard_model")
 def _(t):
     """One row per trained hazard model with its split, rounds and validation error."""
-    model = ml.train_hazard_model(heat_samples(t), "extreme_heat", group="date", rounds=5, depth=3)
+    model = ml.train_hazard_model(heat_samples(t), "extreme_heat", group="date")
     s = model.summary
     row = (s["hazard_type"], s["objective"], s["train_rows"], s["validation_rows"], s["metric"], float(s["validation_metric"]))
     return t.spark.createDataFrame([row], "hazard_type string, objective string, train_rows long, validation_rows long, metric string, validation_metric double")
@@ -366,22 +366,24 @@ def _(t):
 
 @query("score_with_model")
 def _(t):
-    model = ml.train_hazard_model(heat_samples(t), "extreme_heat", group="date", rounds=3, depth=3)
+    model = ml.train_hazard_model(heat_samples(t), "extreme_heat", group="date")
     out = ml.score_with_model(t.grid_day, "extreme_heat", model, ["row_id", "grid_id"])
     return out.groupBy("risk_level", "inference_mode").agg(F.count("*").alias("n"))
 
 
 @query("predict_risk_fields")
 def _(t):
-    model = ml.train_hazard_model(heat_samples(t), "extreme_heat", group="date", rounds=3, depth=3)
+    model = ml.train_hazard_model(heat_samples(t), "extreme_heat", group="date")
     out, _ = ml.predict_risk_fields(t.grid_day, {"extreme_heat": model}, ["row_id", "grid_id"])
     return out
 
 
 @query("compare_variants")
 def _(t):
-    tables = {f"region_day_{v}_top3": sv.labeled_extreme_heat(t.grid_day, qe.heat_events(t), "region_day", v) for v in ("heat_index_c",)}
-    return ml.compare_variants(tables, [None], ["date", "region_id"], rounds=2, depth=2)
+    """Two ranking variables, two pool sizes and two negative sizes: eight models ranked by validation error."""
+    pools = [(v, k) for v in ("heat_index_c", "tmax_c") for k in (1, 3)]
+    tables = {f"region_day_{v}_top{k}": sv.labeled_extreme_heat(t.grid_day, qe.heat_events(t), "region_day", v, k) for v, k in pools}
+    return ml.compare_variants(tables, [None, 1000], ["date", "region_id"])
 
 
 @query(
