@@ -186,6 +186,10 @@ def _(t):
     return out.select("row_id", "grid_id", "hazard_type", *lists)
 
 
+# Evidence columns that the points table has, by hazard.
+EVIDENCE = {"flash_flood": ("slope_deg",)}
+
+
 def risks_of(t):
     return rk.scan_risks(t.points, KEEP)
 
@@ -214,12 +218,36 @@ def _(t):
     UNION ALL SELECT 'MeteorologicalIndicator', count(DISTINCT (hazard_type, x)) FROM (SELECT hazard_type, unnest(string_split(factors, '；')) AS x FROM risks)""",
 )
 def _(t):
-    triples = gr.risk_triples(risks_of(t).drop("indicator_evidence").withColumn("indicator_evidence", F.create_map().cast("map<string,double>")))
+    triples = gr.risk_triples(risks_of(t))
     kind = F.regexp_extract("object", "([A-Za-z]+)$", 1)
     typed = triples.filter("predicate = 'rdf:type'").filter(kind.isin("DisasterEvent", "Location", "WarningProduct", "MeteorologicalIndicator"))
+    # the indicators of this query's SQL are those of factors, named by a digest; risk_evidence_triples has the measured ones
+    typed = typed.filter((kind != "MeteorologicalIndicator") | F.col("subject").rlike("indicator_[0-9a-f]{12}$"))
     return typed.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
+@query(
+    "risk_evidence_triples",
+    ("points",),
+    """WITH e AS (SELECT DISTINCT grid_id, valid_time, slope_deg FROM points), v AS (SELECT DISTINCT slope_deg FROM e WHERE slope_deg IS NOT NULL)
+    SELECT 'rdf:type' AS predicate, CAST(1 AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS total UNION ALL SELECT 'rdfs:label', 1, NULL
+    UNION ALL SELECT 'hasIndicatorEvidence', count(DISTINCT grid_id), NULL FROM e
+    UNION ALL SELECT 'hasIndicatorValue', count(*), sum(slope_deg) FROM v
+    UNION ALL SELECT 'hasClimateParameterMeasurement', count(*), NULL FROM (SELECT DISTINCT grid_id, valid_time FROM e)
+    UNION ALL SELECT 'hasValue', count(*), sum(slope_deg) FROM e WHERE slope_deg IS NOT NULL""",
+)
+def _(t):
+    """The six triple forms of measured evidence; of the rules' evidence columns the points table has the slope of flash floods."""
+    v = gr.Vocabulary()
+    nodes = [f"{v.base}indicator_{h}_{n}" for h, names in EVIDENCE.items() for n in names]
+    forms = [v.base + "hasIndicatorEvidence", v.base + "hasIndicatorValue", v.event + "hasClimateParameterMeasurement", v.event + "hasValue"]
+    named = F.col("predicate").isin("rdf:type", "rdfs:label") & F.col("subject").isin(nodes)
+    found = gr.risk_triples(risks_of(t)).filter(F.col("predicate").isin(forms) | named)
+    short = F.regexp_extract("predicate", "(rdfs?:[a-z]+|[A-Za-z]+)$", 1)
+    value = F.when(F.lower("predicate").endswith("value"), F.expr("try_cast(object AS double)"))
+    return found.groupBy(short.alias("predicate")).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+
+
 @query(
     "risk_event_uris",
     ("points",),
