@@ -12,6 +12,7 @@ from gridwarden.llm.common import read
 from gridwarden.llm.decontaminate import SQL as CONTAMINATED_SQL
 from gridwarden.llm.decontaminate import contaminated
 from gridwarden.llm.html import extract_main_text
+from gridwarden.llm.jaccard import jaccard_components
 from gridwarden.llm.language import held_out, learn_and_identify
 from gridwarden.llm.neardup import near_duplicates
 from gridwarden.llm.negatives import mine_hard_negatives
@@ -101,6 +102,11 @@ QUALIFY row_number() OVER w <= 3
 """
 
 
+def op12_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of all texts linked by their four-word shingles."""
+    return jaccard_components(read(spark, folder, "documents"))
+
+
 def repeat_tail(words: list[bytes], doc_id: int | None) -> list[bytes]:
     """The planted repeats: every tenth id, by the checksum of its decimal form, gets a periodic tail."""
     if doc_id is None or not words or (h := zlib.crc32(str(doc_id).encode())) % 10:
@@ -117,5 +123,5 @@ def op13_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"op1_warc": op1_warc, "op2_language": op2_language, "op3_pii": op3_pii, "op4_secrets": op4_secrets, "op5_wordpiece": op5_wordpiece, "op6_html": op6_html, "op7_neardup": op7_neardup, "op8_decontaminate": op8_decontaminate, "op9_bpe": op9_bpe, "op10_tiff": op10_tiff}
-QUERIES |= {"op11_negatives": op11_negatives, "op13_runs": op13_runs}
+QUERIES |= {"op11_negatives": op11_negatives, "op12_jaccard": op12_jaccard, "op13_runs": op13_runs}
 ORACLES: dict[str, str] = {"op8_decontaminate": CONTAMINATED_SQL, "op11_negatives": NEGATIVES_SQL}

@@ -88,3 +88,34 @@ def secrets(text):
 
 def digest(spans):
     return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+def hard_negatives(rows, anchor, positives=5, negatives=3, low=50, high=95):
+    """rows: (id, whole vector, label) -> the mined rows, by sorting all rows for each anchor."""
+    out = []
+    for a, va, la in rows:
+        if not anchor(a):
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(va, vb)), b, lb == la) for b, vb, lb in rows if b != a)
+        for p_score, p in [(-s, b) for s, b, same in scored if same][:positives]:
+            fits = [(b, -s) for s, b, same in scored if not same and low * p_score <= -100 * s <= high * p_score]
+            out += [(a, p, k + 1, b, p_score, s) for k, (b, s) in enumerate(fits[:negatives])]
+    return sorted(out)
+
+
+def runs(w, least=12):
+    """(start, length, smallest period) of all maximal periodic stretches, period by period."""
+    out = {}
+    for q in range(1, len(w) // 2 + 1):
+        i = 0
+        while i + q < len(w):
+            if w[i] != w[i + q]:
+                i += 1
+                continue
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            if j - i + q >= max(least, 2 * q):
+                out.setdefault((i, j - i + q), q)
+            i = j
+    return sorted((s, n, q) for (s, n), q in out.items())
