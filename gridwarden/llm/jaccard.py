@@ -62,6 +62,11 @@ def _name(numbers: np.ndarray) -> int:
     return int.from_bytes(blake2b(numbers.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _parity(numbers: np.ndarray) -> bytes:
+    """Whether each residue occurs an odd number of times."""
+    return np.packbits(np.bincount((numbers & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1).tobytes()
+
+
 def _map(df: DataFrame, fn, made: str) -> DataFrame:
     """Arrow batches through ``fn``, which yields tuples of columns."""
     schema = schema_of(made)
@@ -81,23 +86,24 @@ def _slices(parts: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Rec
 
 
 def counted_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(_id, _n, _set) of each text, and rows (_bucket, _count) of the counters that are full in some task."""
+    """(_id, _n, _set, _bits) of each text, and rows (_bucket, _count) of the counters that are full in some task."""
 
     def fn(parts):
         counts = np.zeros(1 << ORDER_BITS, np.int64)
         for part in _slices(parts):
-            n, name = [], []
+            n, name, bits = [], [], []
             for numbers in _sets(part.column(1).to_pylist(), size):
                 np.add.at(counts, (numbers >> np.uint64(64 - ORDER_BITS)).astype(np.int64), 1)
                 n.append(len(numbers))
                 name.append(_name(numbers) if len(numbers) else None)
+                bits.append(_parity(numbers))
             none = [None] * len(n)
-            yield part.column(0), n, name, none, none
+            yield part.column(0), n, name, bits, none, none
         full = np.flatnonzero(counts > 16 + 4 * counts.mean())
         none = [None] * len(full)
-        yield none, none, none, full.tolist(), counts[full].tolist()
+        yield none, none, none, none, full.tolist(), counts[full].tolist()
 
-    return _map(docs, fn, "_id long, _n long, _set long, _bucket long, _count long")
+    return _map(docs, fn, "_id long, _n long, _set long, _bits binary, _bucket long, _count long")
 
 
 def _order(counted: DataFrame) -> Broadcast:
@@ -133,19 +139,15 @@ def first_shingles(docs: DataFrame, size: int, percent: int, order: Broadcast) -
 
 
 def whole_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(_id, _set, _n, _bits, _numbers) of each text that has words."""
+    """(_id, _set, _numbers) of each text that has words."""
 
     def fn(parts):
         for part in _slices(parts, 64):
-            rows = []
-            for i, numbers in zip(part.column(0).to_pylist(), _sets(part.column(1).to_pylist(), size), strict=True):
-                if len(numbers):
-                    places = np.bincount((numbers & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS)
-                    rows.append((i, _name(numbers), len(numbers), np.packbits(places & 1).tobytes(), numbers.tobytes()))
+            rows = [(i, _name(numbers), numbers.tobytes()) for i, numbers in zip(part.column(0).to_pylist(), _sets(part.column(1).to_pylist(), size), strict=True) if len(numbers)]
             if rows:
                 yield tuple(zip(*rows, strict=True))
 
-    return _map(docs, fn, "_id long, _set long, _n long, _bits binary, _numbers binary")
+    return _map(docs, fn, "_id long, _set long, _numbers binary")
 
 
 def _size_class(n: Column) -> Column:
@@ -191,15 +193,29 @@ def first_groups(shared: DataFrame, percent: int, boundary: int | None = None) -
 
 
 class _Known:
-    """Whole sets of all members of groups, stored once, and the comparison of pairs of them."""
+    """All members of groups (_set, _id, _n, _bits), and the comparison of pairs of them.
 
-    def __init__(self, sets: DataFrame, percent: int):
-        self.sets, self.percent = sets, percent
+    Whole sets are made again from the texts of those that sizes and bits leave over: few move, and no more than once a step.
+    """
 
-    def _both(self, pairs: DataFrame, column: str) -> DataFrame:
-        """Pairs with the column of b, then of a: a hot a is split by the skew join."""
-        of = lambda end: self.sets.select(F.col("_set").alias(end), F.col("_n").alias(f"_n{end}"), F.col(column).alias(f"_{end}"))
-        return pairs.join(of("b"), "b").join(of("a"), "a")
+    def __init__(self, members: DataFrame, docs: DataFrame, size: int, percent: int):
+        self.members, self.docs, self.size, self.percent = members, docs, size, percent
+
+    def _with_members(self, pairs: DataFrame, *columns: str) -> DataFrame:
+        """Pairs with the id and the given columns of b, then of a: a hot a is split by the skew join."""
+        for end in ("b", "a"):
+            of = self.members.select(F.col("_set").alias(end), F.col("_id").alias(f"_id{end}"), *[F.col(c).alias(f"{c}{end}") for c in columns])
+            pairs = pairs.join(of, end)
+        return pairs
+
+    def _with_sets(self, pairs: DataFrame, *columns: str) -> DataFrame:
+        """(columns, a, b, numbers of a, numbers of b) of pairs that know their ids; stored texts are read once for all ends."""
+        ids = pairs.select(F.col("_ida").alias("_id")).union(pairs.select("_idb"))
+        sets = cut_lineage(whole_sets(likely_among(self.docs, "_id", ids), self.size), "jaccard-whole")
+        for end in ("b", "a"):
+            of = sets.select(F.col("_set").alias(end), F.col("_id").alias(f"_id{end}"), F.col("_numbers").alias(f"_{end}"))
+            pairs = pairs.join(of, [end, f"_id{end}"])
+        return pairs.select(*columns, "a", "b", "_a", "_b")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that are linked: by size, by parity maps, by whole sets."""
@@ -207,12 +223,12 @@ class _Known:
 
         def by_bits(parts):
             for part in parts:
-                na, nb = part.column(2).to_numpy(), part.column(3).to_numpy()
-                left, right = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(-1, PARITY_BITS // 8).view(np.uint64) for i in (4, 5))
+                na, nb = part.column(4).to_numpy(), part.column(5).to_numpy()
+                left, right = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(-1, PARITY_BITS // 8).view(np.uint64) for i in (6, 7))
                 differ = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
                 need = -(-percent * (na + nb) // (100 + percent))
                 keep = pa.array(np.flatnonzero(differ <= na + nb - 2 * need))
-                yield part.column(0).take(keep), part.column(1).take(keep)
+                yield tuple(part.column(i).take(keep) for i in range(4))
 
         def by_sets(parts):
             last, of_last = None, np.zeros(0, np.uint64)
@@ -227,9 +243,9 @@ class _Known:
                         keep.append(i)
                 yield [a[i] for i in keep], [b[i] for i in keep]
 
-        near = self._both(pairs, "_bits").filter(f"100 * least(_na, _nb) >= {percent} * greatest(_na, _nb)").select("a", "b", "_na", "_nb", "_a", "_b")
-        near = cut_lineage(_map(near, by_bits, "a long, b long"), "jaccard-near")
-        return _map(self._both(near, "_numbers").select("a", "b", "_a", "_b"), by_sets, "a long, b long")
+        near = self._with_members(pairs, "_n", "_bits").filter(f"100 * least(_na, _nb) >= {percent} * greatest(_na, _nb)").select("a", "b", "_ida", "_idb", "_na", "_nb", "_bitsa", "_bitsb")
+        near = cut_lineage(_map(near, by_bits, "a long, b long, _ida long, _idb long"), "jaccard-near")
+        return _map(self._with_sets(near), by_sets, "a long, b long")
 
     def beyond(self, members: DataFrame) -> DataFrame:
         """For (grp, a = pivot, b = member, label): n, shared with a, linked with a, the numbers that b has and a lacks."""
@@ -249,7 +265,7 @@ class _Known:
                     rows.append((grp[i], b[i], label[i], len(other), len(of_last), both, 100 * both >= percent * (len(of_last) + len(more)), more.view(np.int64).tolist()))
                 yield tuple(zip(*rows, strict=True))
 
-        return _map(self._both(members, "_numbers").select("grp", "label", "a", "b", "_a", "_b"), fn, "grp long, b long, label long, n long, na long, shared long, linked boolean, more array<long>")
+        return _map(self._with_sets(self._with_members(members), "grp", "label"), fn, "grp long, b long, label long, n long, na long, shared long, linked boolean, more array<long>")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -347,23 +363,24 @@ def jaccard_components(
         docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("_text"))
         counted = cut_lineage(counted_sets(docs, size), "jaccard-sets")
         order = _order(counted)
-        every = counted.filter("_n is not null").select("_id", "_n", "_set")
+        every = counted.filter("_n is not null").select("_id", "_n", "_set", "_bits")
         named = every.filter("_id is not null and _set is not null")
-        first = cut_lineage(first_shingles(docs.filter("_id is not null"), size, percent, order), "jaccard-first")
-        lists = first.groupBy("_key").agg(F.min("_set").alias("_low"), F.max("_set").alias("_high")).filter("_low != _high").select("_key")
-        shared = cut_lineage(first.join(lists, "_key").distinct(), "jaccard-shared")
+        own = docs.filter("_id is not null")
+        first = cut_lineage(first_shingles(own, size, percent, order), "jaccard-first")
+        lists = cut_lineage(first.groupBy("_key").agg(F.count("*").alias("_m")).filter("_m > 1").select("_key"), "jaccard-keys")
+        shared = likely_among(first, "_key", lists).join(lists, "_key").distinct()
+        several = shared.groupBy("_key").agg(F.count("*").alias("_m")).filter("_m > 1").select("_key")
+        shared = cut_lineage(shared.join(several, "_key"), "jaccard-shared")
         groups = cut_lineage(first_groups(shared, percent, boundary), "jaccard-groups")
-        members = groups.select(F.col("set").alias("_set")).distinct()
-        ids = cut_lineage(named.groupBy("_set").agg(F.min("_id").alias("_id")).join(members, "_set"), "jaccard-members")
-        sets = whole_sets(likely_among(docs.filter("_id is not null"), "_id", ids.select("_id")), size)
-        sets = cut_lineage(sets.join(ids, ["_set", "_id"], "left_semi").dropDuplicates(["_set"]).select("_set", "_n", "_bits", "_numbers"), "jaccard-whole")
-        labels = linked_components(groups, _Known(sets, percent), pair_up_to)
+        met = groups.select(F.col("set").alias("_set")).distinct()
+        members = named.groupBy("_set").agg(F.min(F.struct("_id", "_n", "_bits")).alias("_one")).join(met, "_set").select("_set", "_one.*")
+        labels = linked_components(groups, _Known(cut_lineage(members, "jaccard-members"), own, size, percent), pair_up_to)
         order.unpersist()
         # texts of one id are one document
         repeated = named.groupBy("_id").agg(F.min("_set").alias("_low"), F.max("_set").alias("_high")).filter("_low != _high")
         repeats = cut_lineage(named.join(repeated, "_id").select(F.col("_low").alias("a"), F.col("_set").alias("b")).filter("a != b").distinct(), "jaccard-repeats")
         labels = joined_components(labels, repeats)
-        placed = cut_lineage(_labelled(every, labels, "_set"), "jaccard-placed")
+        placed = cut_lineage(_labelled(every.drop("_bits"), labels, "_set"), "jaccard-placed")
         smallest = placed.filter("_id is not null and label is not null").groupBy("label").agg(F.min("_id").alias("_least"))
         out = placed.join(smallest, "label", "left")
         component = F.when(F.col("_id").isNotNull(), F.coalesce("_least", "_id"))
