@@ -13,7 +13,8 @@ where o is the least overlap that a link needs.
 4. A group never makes all its pairs. Its members are compared with its smallest set, the pivot: sizes first, then parity
    bitmaps (their differing bits are at most the sets' difference), then whole sets. Only groups whose members still
    lie in several components stay open.
-5. Open groups of at most ``pair_up_to`` members pair those of different components. In a larger one let x be no partner of the
+5. In open groups of at most ``pair_up_to`` members the parity maps of those in different components are compared in one
+   task, which emits only pairs that may be linked. In a larger one let x be no partner of the
    pivot h. Any y in the group is as large as h at least, so a link of x and y needs more common shingles than x
    shares with h: they share some beyond h. Members are grouped anew by what they have beyond h, again
    the rarest first, and so on. A pivot has nothing beyond itself and is in none of the later groups, so this ends.
@@ -46,9 +47,10 @@ from gridwarden.session import cut_lineage, temporary
 
 #: Counters of the table that gives the order, by the first bits of a shingle.
 ORDER_BITS = 20
-#: Bits of the parity map of a set.
+#: Least bits of the parity map of a set; a map has four times as many bits as its set has shingles, or up to eight.
 PARITY_BITS = 1024
-PAIR_UP_TO = 32
+#: Members of an open group that are compared by their parity maps in one task.
+PAIR_UP_TO = 1024
 
 
 def _sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
@@ -64,7 +66,23 @@ def _name(numbers: np.ndarray) -> int:
 
 def _parity(numbers: np.ndarray) -> bytes:
     """Whether each residue occurs an odd number of times."""
-    return np.packbits(np.bincount((numbers & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1).tobytes()
+    bits = max(PARITY_BITS, 1 << (4 * len(numbers) - 1).bit_length()) if len(numbers) else PARITY_BITS
+    return np.packbits(np.bincount((numbers & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def _folded(bits: list[bytes], size: int) -> np.ndarray:
+    """Parity maps as rows of ``size`` bytes: the parts of a longer map are added modulo 2."""
+    out = np.empty((len(bits), size // 8), np.uint64)
+    for i, b in enumerate(bits):
+        own = np.frombuffer(b, np.uint64)
+        out[i] = own if len(own) == size // 8 else np.bitwise_xor.reduce(own.reshape(-1, size // 8))
+    return out
+
+
+def _may_link(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs whose maps differ in no more bits than linked sets of these sizes differ in shingles."""
+    differ = np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+    return differ <= na + nb - 2 * -(-percent * (na + nb) // (100 + percent))
 
 
 def _map(df: DataFrame, fn, made: str) -> DataFrame:
@@ -222,13 +240,17 @@ class _Known:
         percent = self.percent
 
         def by_bits(parts):
-            for part in parts:
+            for part in _slices(parts, 1024):
                 na, nb = part.column(4).to_numpy(), part.column(5).to_numpy()
-                left, right = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(-1, PARITY_BITS // 8).view(np.uint64) for i in (6, 7))
-                differ = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
-                need = -(-percent * (na + nb) // (100 + percent))
-                keep = pa.array(np.flatnonzero(differ <= na + nb - 2 * need))
-                yield tuple(part.column(i).take(keep) for i in range(4))
+                left, right = part.column(6).to_pylist(), part.column(7).to_pylist()
+                least = np.array([min(len(x), len(y)) for x, y in zip(left, right, strict=True)])
+                keep = np.zeros(part.num_rows, bool)
+                for size in np.unique(least):
+                    at = np.flatnonzero(least == size)
+                    maps = [_folded([side[i] for i in at], int(size)) for side in (left, right)]
+                    keep[at] = _may_link(na[at], nb[at], *maps, percent)
+                chosen = pa.array(np.flatnonzero(keep))
+                yield tuple(part.column(i).take(chosen) for i in range(4))
 
         def by_sets(parts):
             last, of_last = None, np.zeros(0, np.uint64)
@@ -247,6 +269,38 @@ class _Known:
         near = cut_lineage(_map(near, by_bits, "a long, b long, _ida long, _idb long"), "jaccard-near")
         return _map(self._with_sets(near), by_sets, "a long, b long")
 
+    def near_in_groups(self, rows: DataFrame) -> DataFrame:
+        """Pairs (a, b) of (grp, b, label) rows that one group has in different components and that sizes and parity maps leave over.
+
+        A group's maps are compared in one task, so groups must be of bounded size; only what is left over is a row.
+        """
+        percent = self.percent
+        schema = schema_of("a long, b long")
+        arrow = to_arrow_schema(schema)
+
+        def compare(group: pa.Table) -> pa.Table:
+            group = group.sort_by("_n")
+            n, label, node = (group.column(c).to_numpy() for c in ("_n", "label", "b"))
+            bits = group.column("_bits").to_pylist()
+            first, second = [], []
+            # sets of much different size are never compared, so maps of a stretch are folded to its shortest
+            high = np.searchsorted(percent * n, 100 * n, "right")
+            size, maps, end = 0, None, 0
+            for i in range(len(n) - 1):
+                if maps is None or len(bits[i]) != size or high[i] > end:
+                    size, begin, end = len(bits[i]), i, int(high[min(len(n) - 1, i + 256)])
+                    maps = _folded(bits[begin:end], size)
+                near = np.arange(i + 1, high[i])
+                near = near[label[near] != label[i]]
+                near = near[_may_link(n[i], n[near], maps[i - begin], maps[near - begin], percent)]
+                first += [node[i]] * len(near)
+                second += node[near].tolist()
+            a, b = np.array(first, np.int64), np.array(second, np.int64)
+            return pa.Table.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=arrow)
+
+        known = self.members.select(F.col("_set").alias("b"), "_n", "_bits")
+        return rows.select("grp", "b", "label").join(known, "b").groupBy("grp").applyInArrow(compare, schema).distinct()
+
     def beyond(self, members: DataFrame) -> DataFrame:
         """For (grp, a = pivot, b = member, label): n, shared with a, linked with a, the numbers that b has and a lacks."""
         percent = self.percent
@@ -328,15 +382,13 @@ def linked_components(groups: DataFrame, known: _Known, pair_up_to: int = PAIR_U
             around = cut_lineage(_around_pivots(groups), "jaccard-around")
             pairs = around.filter("a != set").select("a", F.col("set").alias("b")).distinct()
             labels = keep(joined_components(labels, cut_lineage(known.links(pairs), "jaccard-links")), "jaccard-labels")
-            rows = _labelled(around, labels, "set")
+            # groups with one pivot are one group now
+            rows = around.select(F.xxhash64("parent", "a").alias("grp"), "a", F.col("set").alias("b")).distinct()
+            rows = _labelled(rows, labels, "b")
             rows = cut_lineage(rows.join(_several(rows, "grp"), "grp"), "jaccard-open")
-            few = rows.filter(F.col("_size") <= pair_up_to).select("grp", "set", "label", "n")
-            x = few.select("grp", F.col("set").alias("a"), F.col("label").alias("_la"), F.col("n").alias("_x"))
-            y = few.select("grp", F.col("set").alias("b"), F.col("label").alias("_lb"), F.col("n").alias("_y"))
-            pairs = x.join(y, "grp").filter(f"a < b and _la != _lb and 100 * least(_x, _y) >= {known.percent} * greatest(_x, _y)").select("a", "b").distinct()
+            pairs = known.near_in_groups(rows.filter(F.col("_size") <= pair_up_to))
             labels = keep(joined_components(labels, cut_lineage(known.links(pairs), "jaccard-links")), "jaccard-labels")
-            # larger ones: the merged group around the pivot, pivot included
-            many = rows.filter(F.col("_size") > pair_up_to).select(F.xxhash64("parent", "a").alias("grp"), "a", F.col("set").alias("b")).distinct()
+            many = rows.filter(F.col("_size") > pair_up_to).select("grp", "a", "b")
             many = _labelled(many, labels, "b")
             many = cut_lineage(many.join(_several(many, "grp").select("grp"), "grp", "left_semi"), "jaccard-many")
             if many.isEmpty():
@@ -357,7 +409,7 @@ def jaccard_components(
     """doc_id, n_shingles, component_id: one row per row of ``df``.
 
     ``boundary`` fixes the least size class of large sets; None chooses it by cost. ``pair_up_to`` is the size up to which an open
-    group pairs its members. Neither changes the result.
+    group is compared in one task. Neither changes the result.
     """
     with temporary(df.sparkSession) as keep:
         docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("_text"))
