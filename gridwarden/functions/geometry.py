@@ -146,18 +146,14 @@ def contains(edges: Column, lat: Value, lon: Value, boundary: bool = True) -> Co
     return F.exists(edges, inside)
 
 
-def edge_distance(edges: Column, lat: Value, lon: Value) -> Column:
-    """Distance in degrees from a point to the nearest segment."""
+def segment_distance(e: Column, lat: Value, lon: Value) -> Column:
+    """Distance in degrees from a point to a segment."""
     y, x = col(lat), col(lon)
-
-    def squared(e: Column) -> Column:
-        dy, dx = e["lat2"] - e["lat1"], e["lon2"] - e["lon1"]
-        length2 = dy * dy + dx * dx
-        along = F.coalesce(((y - e["lat1"]) * dy + (x - e["lon1"]) * dx) / F.when(length2 > 0, length2), lit(0.0))
-        t = F.greatest(lit(0.0), F.least(lit(1.0), along))
-        return F.pow(y - (e["lat1"] + t * dy), 2) + F.pow(x - (e["lon1"] + t * dx), 2)
-
-    return F.sqrt(F.array_min(F.transform(F.flatten(F.flatten(edges)), squared)))
+    dy, dx = e["lat2"] - e["lat1"], e["lon2"] - e["lon1"]
+    length2 = dy * dy + dx * dx
+    along = F.coalesce(((y - e["lat1"]) * dy + (x - e["lon1"]) * dx) / F.when(length2 > 0, length2), lit(0.0))
+    t = F.greatest(lit(0.0), F.least(lit(1.0), along))
+    return F.sqrt(F.pow(y - (e["lat1"] + t * dy), 2) + F.pow(x - (e["lon1"] + t * dx), 2))
 
 
 def box_distance(lat: Value, lon: Value) -> Column:

@@ -1,8 +1,8 @@
 """Labels from an event catalogue: positive, negative or uncertain, never guessed.
 
-Samples are reduced to distinct keys before any spatial or text matching and get their result back by an
-equi-join, so a key that repeats in a third of all rows is matched once. Lists of events are gathered per
-day or per key from the merged catalogue, which has one row per place and date range.
+Events are gathered per day, per day and place name, and per day and cell of their footprint from the merged catalogue,
+which has one row per place and date range. These tables are stored; samples meet them by equal keys. The part
+of the provenance that all samples of a day have in common is written once a day, as text.
 """
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from gridwarden.functions import physical as ph
 from gridwarden.functions.basic import check, clip, date_of, first_existing, lit, once, pick, text
-from gridwarden.functions.geometry import polygons_from_wkt
+from gridwarden.functions.geometry import contains, haversine_km, polygons_from_wkt
 from gridwarden.functions.text import NATIONWIDE, dust_region, province_alias, resolve_dust_regions, resolve_heat_regions, resolve_provinces
 from gridwarden.operators.events import event_mapping_mode
 from gridwarden.session import cut_lineage
-from gridwarden.operators.spatial import boundary_edges, point_in_polygon_join, within_radius_join
+from gridwarden.operators.spatial import boundary_edges, bucket, cell_cover, circle_cover
 
 PROVINCE_COLUMNS = ("province_name", "admin1_name", "region_name", "location_name")
 LOCATION_COLUMNS = ("region_id", *PROVINCE_COLUMNS)
@@ -66,21 +66,32 @@ def flood_events(events: DataFrame, policy: FloodLabelPolicy = FloodLabelPolicy(
     ).drop("_wkt_ok")
 
 
+#: Modes in which an event can decide samples.
+SUPPORTED_MODES = ("geometry_wkt", "point_buffer", "province_day")
+
+
+def _with_day_text(own: Column, day: Column) -> Column:
+    """One JSON object of a sample's own keys and those of its day's text."""
+    return F.concat(F.substring(own, 1, F.length(own) - 1), F.lit(","), F.substring(day, 2, F.length(day)))
+
+
 def label_flash_flood(
     samples: DataFrame, events: DataFrame, policy: FloodLabelPolicy = FloodLabelPolicy(), order: str = "event_id"
 ) -> DataFrame:
     """Attach flash-flood labels to grid-day or province-day samples.
 
-    ``events`` is a daily catalogue; ``order`` gives the order in which matches are listed. The prepared
-    events are stored once in the shared folder, as three joins and an aggregate read them.
+    ``events`` is a daily catalogue; ``order`` gives the order in which matches are listed. Footprints are cut into
+    cells once per shape, and the events of a cell and day, of a province and day, and of a day become one row each. A
+    sample meets each of these three stored tables once, by equal keys: no key is matched apart and joined back.
     """
     rows = _dated(samples, "sample table")
     has_grid = {"latitude", "longitude"} <= set(samples.columns)
     province = first_existing(samples.columns, PROVINCE_COLUMNS)
+    matched = has_grid or province is not None
     key = {
         "_lat": F.col("latitude").try_cast("double") if has_grid else F.lit(None).cast("double"),
         "_lon": F.col("longitude").try_cast("double") if has_grid else F.lit(None).cast("double"),
-        "_prov": province_alias(province) if province else F.lit(""),
+        "_prov": F.nullif(province_alias(province), F.lit("")) if province else F.lit(None).cast("string"),
     }
     rows = rows.withColumns(key)
     info = F.struct(
@@ -88,26 +99,28 @@ def label_flash_flood(
     )
     needed = ["date", "_info", "_mode", "_provinces", "_shaped", "_point", "latitude", "longitude", "geometry_wkt"]
     daily = cut_lineage(flood_events(events, policy).withColumn("_info", info).select(*needed), "flood-events")
-    modes = ("geometry_wkt", "point_buffer", "province_day")
-    days = daily.groupBy("date").agg(
-        F.count("*").alias("_events"),
-        F.count(F.when(F.col("_mode").isin(*modes), 1)).alias("_supported"),
-        F.transform(F.sort_array(F.collect_list(F.struct("_info", "_mode"))), lambda e: e["_mode"]).alias("_modes"),
-        F.count(F.when(F.col("_shaped"), 1)).alias("_shaped_events"),
-        F.count(F.when(F.col("_point"), 1)).alias("_point_events"),
-        F.bool_or(F.col("_mode").isin("point_buffer", "geometry_wkt")).alias("_grid_ok"),
-        F.bool_or(F.col("_mode").isin("point_buffer", "province_day")).alias("_province_ok"),
-    )
-    keys = rows.select("date", "_lat", "_lon", "_prov").distinct().join(days.select("date"), "date", "left_semi")
-    matches = _flood_matches(keys, daily, policy, has_grid, province is not None)
-    labeled = rows.join(days, "date", "left")
-    if matches is None:
-        labeled = labeled.withColumn("_hits", F.array())
+    labeled = rows.join(_flood_days(daily), "date", "left")
+    hits: list[Column] = []
+    if has_grid:
+        labeled = labeled.withColumns({"_bi": bucket(F.col("_lat")), "_bj": bucket(F.col("_lon"))})
+        labeled = labeled.join(cut_lineage(_flood_cells(daily, policy), "flood-cells"), ["date", "_bi", "_bj"], "left")
+
+        def holds(e: Column) -> Column:
+            near = haversine_km("_lat", "_lon", e["lat"], e["lon"]) <= policy.point_buffer_km
+            return F.when(e["inner"], F.lit(True)).when(e["edges"].isNotNull(), contains(e["edges"], "_lat", "_lon", False)).otherwise(F.coalesce(near, F.lit(False)))
+
+        hits.append(F.transform(F.filter("_cell_events", holds), lambda e: F.struct(e["info"].alias("info"), e["mode"].alias("mode"))))
+    if province:
+        labeled = labeled.join(cut_lineage(_flood_provinces(daily), "flood-provinces"), ["date", "_prov"], "left")
+        no_point = F.col("_lat").isNull() | F.col("_lon").isNull()
+        named = F.filter("_province_events", lambda e: (e["mode"] == "province_day") | no_point)
+        hits.append(F.transform(named, lambda e: F.struct(e["info"].alias("info"), F.lit("province_day").alias("mode"))))
+    if matched:
+        none = F.array().cast(f"array<struct<info:{daily.schema['_info'].dataType.simpleString()},mode:string>>")
+        labeled = once(labeled, {"_hits": F.sort_array(F.concat(*[F.coalesce(h, none) for h in hits]))})
     else:
-        m = matches.withColumnsRenamed({c: f"_m{c}" for c in ("date", "_lat", "_lon", "_prov")})
-        same = [F.col(c).eqNullSafe(F.col(f"_m{c}")) for c in ("date", "_lat", "_lon", "_prov")]
-        labeled = labeled.join(m, same, "left")
-    found = F.coalesce(F.size("_hits"), F.lit(0)) > 0
+        labeled = labeled.withColumn("_hits", F.array())
+    found = F.size("_hits") > 0
     negative_ok = F.lit(False)
     if policy.event_day_negatives and has_grid:
         negative_ok = negative_ok | F.col("_grid_ok")
@@ -124,71 +137,89 @@ def label_flash_flood(
             "label": choose(lit(1.0), lit(0.0), lit(0.0), F.lit(None).cast("double")),
             "label_status": choose(F.lit("positive"), F.lit("negative"), F.lit("negative"), F.lit("uncertain")),
             "label_source_mode": choose(
-                F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["mode"]))), ",") if matches is not None else F.lit(""),
+                F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["mode"]))), ",") if matched else F.lit(""),
                 F.lit("no_event_day"),
                 F.lit("outside_event_footprint"),
                 F.lit("event_day_unresolved"),
             ),
-            "matched_event_ids": F.when(found, F.array_join(F.transform(hits, lambda h: h["info"]["id"]), ",")).otherwise("") if matches is not None else F.lit(""),
-            "label_provenance": _flood_provenance(policy, matches is not None),
+            "matched_event_ids": F.when(found, F.array_join(F.transform(hits, lambda h: h["info"]["id"]), ",")).otherwise("") if matched else F.lit(""),
+            "label_provenance": _flood_provenance(policy, matched),
         }
     )
     return _keep_labels(labeled, samples, "flash_flood")
 
 
-def _flood_matches(keys: DataFrame, daily: DataFrame, policy: FloodLabelPolicy, has_grid: bool, has_province: bool) -> DataFrame | None:
-    columns = ["date", "_lat", "_lon", "_prov"]
-    parts: list[DataFrame] = []
+def _flood_days(daily: DataFrame) -> DataFrame:
+    """One stored row a day: what decides labels, and the day's part of the provenance as text, written once."""
+    supported = F.col("_mode").isin(*SUPPORTED_MODES)
+    days = daily.groupBy("date").agg(
+        F.count("*").alias("_events"),
+        F.count_if(supported).alias("_supported"),
+        F.transform(F.sort_array(F.collect_list(F.struct("_info", "_mode"))), lambda e: e["_mode"]).alias("_modes"),
+        F.count_if("_shaped").alias("_shaped_events"),
+        F.count_if("_point").alias("_point_events"),
+        F.bool_or(F.col("_mode").isin("point_buffer", "geometry_wkt")).alias("_grid_ok"),
+        F.bool_or(F.col("_mode").isin("point_buffer", "province_day")).alias("_province_ok"),
+    )
+    return cut_lineage(days.select("date", "_events", "_grid_ok", "_province_ok", _flood_day_text(F.col("_events"), F.col("_supported"), F.col("_modes"), F.col("_shaped_events"), F.col("_point_events")).alias("_day_text")), "flood-days")
 
-    def part(df: DataFrame, mode: str) -> DataFrame:
-        return df.select(*columns, F.struct(F.col("_info").alias("info"), F.lit(mode).alias("mode")).alias("_h"))
 
-    if has_grid:
-        located = keys.filter(F.col("_lat").isNotNull() & F.col("_lon").isNotNull())
-        located = located.withColumns({"latitude": F.col("_lat"), "longitude": F.col("_lon")})
-        points = daily.filter("_mode = 'point_buffer'").select("date", "_info", "latitude", "longitude")
-        parts.append(part(within_radius_join(located, points, policy.point_buffer_km), "point_buffer"))
-        shapes = daily.filter("_mode = 'geometry_wkt'").select("date", "_info", "geometry_wkt")
-        inside = point_in_polygon_join(located, boundary_edges(shapes, "geometry_wkt", "wkt", strict=False), boundary=False, on=["date"])
-        parts.append(part(inside, "geometry_wkt"))
-    if has_province:
-        named = daily.filter("_mode in ('province_day', 'point_buffer')").select("date", "_info", "_mode", F.explode("_provinces").alias("_prov"))
-        placed = keys.filter(F.col("_prov") != "").join(named, ["date", "_prov"])
-        no_point = F.col("_lat").isNull() | F.col("_lon").isNull()
-        parts.append(part(placed.filter((F.col("_mode") == "province_day") | no_point), "province_day"))
-    if not parts:
-        return None
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    return union.groupBy(*columns).agg(F.sort_array(F.collect_list("_h")).alias("_hits"))
+def _flood_day_text(events: Column, supported: Column, modes: Column, shaped: Column, points: Column) -> Column:
+    return F.to_json(
+        F.struct(
+            events.alias("event_count_for_day"),
+            modes.alias("day_event_mapping_modes"),
+            shaped.alias("day_geometry_event_count"),
+            (supported > 0).alias("day_has_supported_event"),
+            points.alias("day_point_event_count"),
+            supported.alias("day_supported_event_count"),
+            F.filter(modes, lambda m: m.isin(*SUPPORTED_MODES)).alias("day_supported_event_mapping_modes"),
+            (events - supported).alias("day_unsupported_event_count"),
+            F.filter(modes, lambda m: ~m.isin(*SUPPORTED_MODES)).alias("day_unsupported_event_mapping_modes"),
+        )
+    )
+
+
+def _flood_cells(daily: DataFrame, policy: FloodLabelPolicy) -> DataFrame:
+    """(date, _bi, _bj, _cell_events): the events whose footprint touches a cell on a day; shapes are cut once, whatever their days."""
+    shapes = daily.filter("_mode = 'geometry_wkt'").select("date", "_info", "geometry_wkt")
+    covers = shapes.select("geometry_wkt", F.col("geometry_wkt").alias("_shape")).distinct()
+    covers = cell_cover(boundary_edges(covers, "geometry_wkt", "wkt", strict=False))
+    shaped = shapes.join(covers, shapes["geometry_wkt"] == covers["_shape"])
+    points = daily.filter("_mode = 'point_buffer'").select("date", "_info", "latitude", "longitude")
+    circles = circle_cover(points, policy.point_buffer_km)
+    absent = F.lit(None).cast("double")
+    kind = covers.schema["edges"].dataType.simpleString()
+
+    def event(mode: str, inner: Column, lat: Column, lon: Column, edges: Column) -> Column:
+        return F.struct(F.col("_info").alias("info"), F.lit(mode).alias("mode"), inner.alias("inner"), lat.cast("double").alias("lat"), lon.cast("double").alias("lon"), edges.alias("edges")).alias("_e")
+
+    both = shaped.select("date", "_bi", "_bj", event("geometry_wkt", F.col("inner"), absent, absent, F.col("edges"))).unionByName(
+        circles.select("date", "_bi", "_bj", event("point_buffer", F.lit(False), F.col("latitude"), F.col("longitude"), F.lit(None).cast(kind)))
+    )
+    return both.groupBy("date", "_bi", "_bj").agg(F.collect_list("_e").alias("_cell_events"))
+
+
+def _flood_provinces(daily: DataFrame) -> DataFrame:
+    """(date, _prov, _province_events): events that name a province on a day."""
+    named = daily.filter("_mode in ('province_day', 'point_buffer')").select("date", F.explode("_provinces").alias("_prov"), F.struct(F.col("_info").alias("info"), F.col("_mode").alias("mode")).alias("_e"))
+    return named.groupBy("date", "_prov").agg(F.collect_list("_e").alias("_province_events"))
 
 
 def _flood_provenance(policy: FloodLabelPolicy, matched: bool) -> Column:
     none = F.array().cast("array<string>")
-    modes = F.coalesce("_modes", none)
-    wanted = ("geometry_wkt", "point_buffer", "province_day")
     hits = F.col("_hits")
+    no_events = _flood_day_text(F.lit(0), F.lit(0), none, F.lit(0), F.lit(0))
 
     def of_hits(value) -> Column:
-        return F.coalesce(F.transform(hits, value), none) if matched else none
+        return F.transform(hits, value) if matched else none
 
     def geometry_source(h: Column) -> Column:
         return F.when(h["info"]["source"] != "", h["info"]["source"]).when(h["mode"] == "province_day", "province_boundary").otherwise("")
 
-    supported = F.coalesce("_supported", F.lit(0))
-    return F.to_json(
+    own = F.to_json(
         F.struct(
             F.col("date").cast("string").alias("date"),
-            F.coalesce("_events", F.lit(0)).alias("event_count_for_day"),
-            modes.alias("day_event_mapping_modes"),
-            F.coalesce("_shaped_events", F.lit(0)).alias("day_geometry_event_count"),
-            (supported > 0).alias("day_has_supported_event"),
-            F.coalesce("_point_events", F.lit(0)).alias("day_point_event_count"),
-            supported.alias("day_supported_event_count"),
-            F.filter(modes, lambda m: m.isin(*wanted)).alias("day_supported_event_mapping_modes"),
-            (F.coalesce("_events", F.lit(0)) - supported).alias("day_unsupported_event_count"),
-            F.filter(modes, lambda m: ~m.isin(*wanted)).alias("day_unsupported_event_mapping_modes"),
             F.lit(policy.event_day_negatives).alias("emit_event_day_negatives"),
             F.array_sort(F.array_distinct(of_hits(lambda h: h["mode"]))).alias("mapping_modes"),
             of_hits(lambda h: h["info"]["id"]).alias("matched_event_ids"),
@@ -199,6 +230,7 @@ def _flood_provenance(policy: FloodLabelPolicy, matched: bool) -> Column:
             F.lit(policy.province_fallback).alias("province_fallback_enabled"),
         )
     )
+    return _with_day_text(own, F.coalesce("_day_text", no_events))
 
 
 def label_dust_storm(
@@ -216,11 +248,12 @@ def label_dust_storm(
     rows = once(rows, {"_region": region, "_column": used})
     daily = _dated(events, "event table").filter(F.lower("validation_status").isin(*statuses))
     daily = once(daily, {"_regions": resolve_dust_regions("location_name")})
-    days = daily.groupBy("date").agg(
-        F.count("*").alias("_events"),
-        F.bool_or(F.size("_regions") == 0).alias("_open"),
-        F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("event_id").alias("id"), F.col("_regions").alias("regions")))).alias("_all"),
-    )
+    each = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("event_id").alias("id"), F.col("_regions").alias("regions"))))
+    days = daily.groupBy("date").agg(F.count("*").alias("_events"), F.bool_or(F.size("_regions") == 0).alias("_open"), each.alias("_all"))
+    # the day's part of the provenance is written here, once a day
+    day_text = lambda n, listed: F.to_json(F.struct(n.alias("event_count_for_day"), listed.alias("resolved_event_regions")))
+    listed = F.transform("_all", lambda e: F.struct(e["id"].alias("id"), e["regions"].alias("regions")))
+    days = cut_lineage(days.select("date", "_events", "_open", day_text(F.col("_events"), listed).alias("_day_text")), "dust-days")
     hits = daily.select("date", F.explode("_regions").alias("_region"), F.struct(F.col(order).alias("o"), F.col("event_id").alias("id"), F.col("location_name").alias("place")).alias("_h"))
     hits = hits.groupBy("date", "_region").agg(F.sort_array(F.collect_list("_h")).alias("_hits"))
     out = rows.join(days, "date", "left").join(hits, ["date", "_region"], "left")
@@ -237,17 +270,18 @@ def label_dust_storm(
             "label_status": choose(*[F.lit(s) for s in ("positive", "negative", "negative", "uncertain")]),
             "label_source_mode": choose(*[F.lit(s) for s in ("region_day_text", "no_event_day", "outside_event_regions", "event_day_unresolved")]),
             "matched_event_ids": F.when(found, F.array_join(F.transform("_hits", lambda h: h["id"]), ",")).otherwise(""),
-            "label_provenance": F.to_json(
-                F.struct(
-                    F.col("date").cast("string").alias("date"),
-                    F.lit(event_day_negatives).alias("emit_event_day_negatives"),
-                    F.coalesce("_events", F.lit(0)).alias("event_count_for_day"),
-                    F.when(found, F.transform("_hits", lambda h: h["id"])).otherwise(none).alias("matched_event_ids"),
-                    F.when(found, F.transform("_hits", lambda h: h["place"])).otherwise(none).alias("matched_location_names"),
-                    F.transform(F.coalesce("_all", F.array().cast(days.schema["_all"].dataType)), lambda e: F.struct(e["id"].alias("id"), e["regions"].alias("regions"))).alias("resolved_event_regions"),
-                    F.col("_column").alias("sample_location_column"),
-                    F.col("_region").alias("sample_region_id"),
-                )
+            "label_provenance": _with_day_text(
+                F.to_json(
+                    F.struct(
+                        F.col("date").cast("string").alias("date"),
+                        F.lit(event_day_negatives).alias("emit_event_day_negatives"),
+                        F.when(found, F.transform("_hits", lambda h: h["id"])).otherwise(none).alias("matched_event_ids"),
+                        F.when(found, F.transform("_hits", lambda h: h["place"])).otherwise(none).alias("matched_location_names"),
+                        F.col("_column").alias("sample_location_column"),
+                        F.col("_region").alias("sample_region_id"),
+                    )
+                ),
+                F.coalesce("_day_text", day_text(F.lit(0), none)),
             ),
         }
     )
@@ -281,39 +315,46 @@ def label_extreme_heat(region_days: DataFrame, events: DataFrame) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("_regions")))).alias("_day_regions"),
         F.sort_array(F.collect_set(F.when(open_event, F.col("_id")))).alias("_open"),
     )
+
+    def day_text(everywhere: Column, ids: Column, regions: Column, unresolved: Column) -> Column:
+        return F.to_json(F.struct(everywhere.alias("all_regions"), ids.alias("day_event_ids"), regions.alias("day_region_ids"), unresolved.alias("unresolved_event_ids")))
+
+    # the day's lists become text here, once a day; rows only learn whether there are any
+    days = days.select(
+        "date", "_all", F.array_join("_ids", ",").alias("_ids"), F.to_json("_ids").alias("_id_list"), (F.size("_day_regions") > 0).alias("_regional"), day_text(F.col("_all"), F.col("_ids"), F.col("_day_regions"), F.col("_open")).alias("_day_text")
+    )
+    days = cut_lineage(days, "heat-days")
     regional = daily.select("date", F.explode("_regions").alias("region_id"), "_id")
     regional = regional.groupBy("date", "region_id").agg(F.sort_array(F.collect_set("_id")).alias("_hits"))
     rows = _dated(region_days, "region-day table")
     out = rows.join(days, "date", "left").join(regional, ["date", "region_id"], "left")
     none = F.array().cast("array<string>")
+    own = F.to_json(F.struct(F.col("date").cast("string").alias("date"), F.col("region_id").alias("sample_region_id")))
 
     def choose(*values) -> Column:
         return (
             F.when(F.col("_ids").isNull(), values[0])
             .when(F.col("_all"), values[1])
             .when(F.col("_hits").isNotNull(), values[2])
-            .when(F.size("_day_regions") > 0, values[3])
+            .when(F.col("_regional"), values[3])
             .otherwise(values[4])
         )
 
-    ids = choose(none, F.col("_ids"), F.col("_hits"), none, none)
     modes = ("no_event_day", "nationwide_event_day", "region_day_overlap", "outside_event_region", "event_day_unresolved")
     out = out.withColumns(
         {
             "label": choose(lit(0.0), lit(1.0), lit(1.0), lit(0.0), F.lit(None).cast("double")),
             "label_status": choose(*[F.lit(s) for s in ("negative", "positive", "positive", "negative", "uncertain")]),
             "label_source_mode": choose(*[F.lit(s) for s in modes]),
-            "matched_event_ids": F.array_join(ids, ","),
-            "label_provenance": F.to_json(
-                F.struct(
-                    F.coalesce("_all", F.lit(False)).alias("all_regions"),
-                    F.col("date").cast("string").alias("date"),
-                    F.coalesce("_ids", none).alias("day_event_ids"),
-                    F.coalesce("_day_regions", none).alias("day_region_ids"),
-                    ids.alias("matched_event_ids"),
-                    F.col("region_id").alias("sample_region_id"),
-                    F.coalesce("_open", none).alias("unresolved_event_ids"),
-                )
+            "matched_event_ids": choose(F.lit(""), F.col("_ids"), F.array_join("_hits", ","), F.lit(""), F.lit("")),
+            "label_provenance": _with_day_text(
+                F.concat(
+                    F.lit('{"matched_event_ids":'),
+                    choose(F.lit("[]"), F.col("_id_list"), F.to_json("_hits"), F.lit("[]"), F.lit("[]")),
+                    F.lit(","),
+                    F.substring(own, 2, F.length(own)),
+                ),
+                F.coalesce("_day_text", day_text(F.lit(False), none, none, none)),
             ),
         }
     )

@@ -1,8 +1,10 @@
-"""Exact grouped quantiles that never hold a large group in one task.
+"""Exact grouped quantiles by bracketing sketches.
 
-One method for every group: values are counted per (group, value bin). Bins come from the value's magnitude (a
-fixed number per doubling), so no pass over the data is needed to place them. The running counts of the bins, a
-short table, show which bin holds a wanted rank; only the values of that bin are then ordered.
+One aggregate gives every group a mergeable rank sketch of each value column, combined map-side. A sketch knows the value at
+any rank up to a stated share of the group, so two of its values bracket a wanted rank for certain. In a second pass
+only the values inside the bracket move, and the count of those beyond it on the nearer side; their running counts give the
+value at the rank. A group of any size is treated alike: the bracket of a small one holds a few values, that of a
+large one a small share of it, which is counted per value and spread over tasks before it is ordered.
 """
 
 from __future__ import annotations
@@ -12,30 +14,97 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS_PER_DOUBLING = 256
-_OFFSET = 1 << 20
+from gridwarden.session import cut_lineage
 
+#: The sketch errs by at most one part in so many of a group's ranks.
+ACCURACY = 2000
+#: Distances from the wanted share at which sketch values are asked for.
+_STEPS = (0.0025, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.35)
 
-def _bin(v: Column) -> Column:
-    size = F.floor(F.log2(F.abs(v)) * BINS_PER_DOUBLING).cast("long") + _OFFSET
-    return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, size).otherwise(-size)
+
+def _bracket(values: Column, p: float, n: Column) -> tuple[Column, Column]:
+    """Least and largest value that can have the wanted rank; NULL for no bound.
+
+    ``values`` are sketch values at p - step and p + step for each step. The distance must be worth the sketch's error
+    twice and two ranks more, for rounding.
+    """
+    low = high = F.lit(None).cast("double")
+    for i, step in reversed(list(enumerate(_STEPS))):
+        wide = F.lit(step) >= 2.0 / ACCURACY + 2.0 / F.greatest(n, F.lit(1))
+        low = F.when(wide, values[2 * i] if p - step > 0 else F.lit(None)).otherwise(low)
+        high = F.when(wide, values[2 * i + 1] if p + step < 1 else F.lit(None)).otherwise(high)
+    return low, high
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, Sequence[float]]) -> DataFrame:
-    """Linear-interpolated quantiles per group, one column ``<name>_p<percent>`` each; missing values skipped.
+    """Linear-interpolated quantiles per group, one column ``<name>_p<percent>`` each; missing values and NaN skipped.
 
     A null key is a group like any other. A group without a value for a name has null there, also if it has no value at
     all; without keys an empty input gives no row.
     """
-    rows = df.select(F.struct(*[F.col(k) for k in keys]).alias("_g") if keys else F.lit(0).alias("_g"), *[F.col(n).cast("double").alias(n) for n in wanted])
-    found = binned_quantiles(rows, ["_g"], wanted)
+    value = {n: F.when(~F.isnan(F.col(n).cast("double")), F.col(n).cast("double")) for n in wanted}
+    rows = df.select(F.struct(*[F.col(k) for k in keys]).alias("_g") if keys else F.lit(0).alias("_g"), *[c.alias(n) for n, c in value.items()])
+    targets = [(name, float(p)) for name in wanted for p in wanted[name]]
+    sketches = []
+    for i, (name, p) in enumerate(targets):
+        asked = [min(1.0, max(0.0, x)) for step in _STEPS for x in (p - step, p + step)]
+        sketches.append(F.percentile_approx(name, asked, ACCURACY).alias(f"_s{i}"))
+    counts = [F.count(name).alias(f"_n{i}") for i, (name, _) in enumerate(targets)]
+    sketched = rows.groupBy("_g").agg(*counts, *sketches)
+    bounds = []
+    for i, (_, p) in enumerate(targets):
+        low, high = _bracket(F.col(f"_s{i}"), p, F.col(f"_n{i}"))
+        bounds.append(F.struct(low.alias("low"), high.alias("high")).alias(f"_b{i}"))
     # groups compare as structs, in which nulls are equal
-    out = rows.select("_g").distinct().join(found, "_g", "left")
-    return out.select(*[F.col(f"_g.{k}").alias(k) for k in keys], *[c for c in found.columns if c != "_g"])
+    brackets = cut_lineage(sketched.select("_g", *[f"_n{i}" for i in range(len(targets))], *bounds), "quantile-brackets")
+    entries = []
+    for i, (name, p) in enumerate(targets):
+        v, low, high = F.col(name), F.col(f"_b{i}.low"), F.col(f"_b{i}.high")
+        under, over = F.coalesce(v < low, F.lit(False)), F.coalesce(v > high, F.lit(False))
+        # values beyond the bracket on the nearer side are only counted, those on the other side do not move
+        far, near = (under, over) if p >= 0.5 else (over, under)
+        entries.append(F.when(v.isNotNull() & ~far, F.struct(F.lit(i).alias("t"), F.when(~near, v).alias("v"))))
+    moved = rows.join(brackets, "_g").select("_g", F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("_e"))
+    counted = moved.groupBy("_g", F.col("_e.t").alias("_t"), F.col("_e.v").alias("_v")).agg(F.count("*").alias("_m"))
+    # ranks are counted from the nearer end: the largest values first for a share of one half and more
+    upper = F.lit(False)
+    for i, (_, p) in enumerate(targets):
+        upper = F.when(F.col("_t") == i, F.lit(p >= 0.5)).otherwise(upper)
+    counted = counted.withColumn("_o", F.when(upper, -F.col("_v")).otherwise(F.col("_v")))
+    inside = Window.partitionBy("_g", "_t").orderBy(F.col("_o").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.withColumn("_to", F.sum("_m").over(inside)).filter("_v is not null")
+    placed = placed.join(brackets.select("_g", *[f"_n{i}" for i in range(len(targets))]), "_g")
+    picks = []
+    for i, (name, p) in enumerate(targets):
+        at = (F.col(f"_n{i}") - 1) * F.lit(p)
+        own = F.col("_t") == i
+
+        def ranked(rank: Column) -> Column:
+            from_end = (F.col(f"_n{i}") - 1 - rank) if p >= 0.5 else rank
+            return F.max(F.when(own & (from_end >= F.col("_to") - F.col("_m")) & (from_end < F.col("_to")), F.col("_v")))
+
+        picks += [ranked(F.floor(at)).alias(f"_low{i}"), ranked(F.ceil(at)).alias(f"_high{i}")]
+    found = placed.groupBy("_g").agg(*picks)
+    out = brackets.join(found, "_g", "left")
+    columns = []
+    for i, (name, p) in enumerate(targets):
+        at = (F.col(f"_n{i}") - 1) * F.lit(p)
+        columns.append((F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * (at - F.floor(at))).alias(f"{name}_p{round(p * 100)}"))
+    return out.select(*[F.col(f"_g.{k}").alias(k) for k in keys], *columns)
+
+
+#: Bins of ``binned_quantiles``.
+BINS_PER_DOUBLING = 256
+_OFFSET = 1 << 20
+
+
+def _bin(v: Column) -> Column:
+    size = F.floor(F.log2(F.abs(v)) * BINS_PER_DOUBLING).cast("long") + _OFFSET
+    return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, size).otherwise(-size)
 
 
 def binned_quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, Sequence[float]]) -> DataFrame:
-    """Quantiles by value bins; any group is spread over its bins."""
+    """The same for groups that have values, by value bins in place of sketches: no sketch is held, all values move."""
     names = list(wanted)
     melted = df.select(
         *keys, F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(n).cast("double").alias("v")) for i, n in enumerate(names)])).alias("_m")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridwarden.functions import geometry as geo
 from gridwarden.functions.basic import check, col, once, text
-from gridwarden.session import cut_lineage
+from gridwarden.session import cut_lineage, temporary
 
 BUCKET = 1.0
 
@@ -32,7 +32,8 @@ def boundary_edges(boundaries: DataFrame, geometry: str = "geometry", fmt: str =
     return out.drop("_polygons", geometry)
 
 
-def _bucket(value: Column | str, size: float) -> Column:
+def bucket(value: Column | str, size: float = BUCKET) -> Column:
+    """Number of the cell of ``size`` degrees that holds a coordinate."""
     return F.floor(col(value) / size).cast("int")
 
 
@@ -44,11 +45,14 @@ def bucket_index(boundaries: DataFrame, size: float = BUCKET, reach: int = 0, cl
     """
 
     def span(low: str, high: str) -> Column:
-        return F.sequence(_bucket(low, size) - reach, _bucket(high, size) + reach)
+        return F.sequence(bucket(low, size) - reach, bucket(high, size) + reach)
 
     out = boundaries.withColumn("_bi", F.explode_outer(span("min_lat", "max_lat"))).withColumn("_bj", F.explode_outer(span("min_lon", "max_lon")))
-    if not clip_edges:
-        return out
+    return _clipped(out, size) if clip_edges else out
+
+
+def _clipped(cells: DataFrame, size: float) -> DataFrame:
+    """Keep the edges that a ray from inside the cell _bi, _bj towards larger longitudes can meet."""
     pad = 2 * geo.TOLERANCE
     low, high, left = F.col("_bi") * size - pad, (F.col("_bi") + 1) * size + pad, F.col("_bj") * size - pad
 
@@ -59,13 +63,63 @@ def bucket_index(boundaries: DataFrame, size: float = BUCKET, reach: int = 0, cl
             & (F.greatest(e["lon1"], e["lon2"]) >= left)
         )
 
-    return once(out, {"edges": F.transform("edges", lambda p: F.transform(p, lambda r: F.filter(r, near)))})
+    return once(cells, {"edges": F.transform("edges", lambda p: F.transform(p, lambda r: F.filter(r, near)))})
+
+
+def _crosses(e: Column, low_lat: Column, high_lat: Column, low_lon: Column, high_lon: Column) -> Column:
+    """A segment meets a box: their bounds overlap and the box's corners are not all on one side of it."""
+    dy, dx = e["lat2"] - e["lat1"], e["lon2"] - e["lon1"]
+    sides = [dy * (x - e["lon1"]) - dx * (y - e["lat1"]) for y in (low_lat, high_lat) for x in (low_lon, high_lon)]
+    overlap = (
+        (F.greatest(e["lat1"], e["lat2"]) >= low_lat)
+        & (F.least(e["lat1"], e["lat2"]) <= high_lat)
+        & (F.greatest(e["lon1"], e["lon2"]) >= low_lon)
+        & (F.least(e["lon1"], e["lon2"]) <= high_lon)
+    )
+    return overlap & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
+
+
+def cell_cover(boundaries: DataFrame, size: float = BUCKET, split: int = 4, steps: int = 1) -> DataFrame:
+    """Cells of ``size`` degrees that cover each boundary: _bi, _bj, ``inner`` and, for the others, the edges to test.
+
+    A tree of cells: the coarsest are ``split ** steps`` times as large. A cell that no edge meets is inside or outside as a whole;
+    only cells with an edge are split on. An inner cell's points match without a test. Edges of other cells are
+    those that a ray from inside the cell can meet.
+    """
+    coarse = size * split**steps
+    held = bucket_index(boundaries, coarse)
+    found: list[DataFrame] = []
+    for step in range(steps + 1):
+        own = size * split ** (steps - step)
+        pad = 2 * geo.TOLERANCE
+        box = [F.col("_bi") * own - pad, (F.col("_bi") + 1) * own + pad, F.col("_bj") * own - pad, (F.col("_bj") + 1) * own + pad]
+        meets = F.exists(F.flatten(F.flatten("edges")), lambda e: _crosses(e, *box))
+        centre = geo.contains(F.col("edges"), (F.col("_bi") + 0.5) * own, (F.col("_bj") + 0.5) * own, False)
+        held = once(held, {"_meets": meets})
+        held = once(held, {"inner": F.when(F.col("_meets"), F.lit(False)).when(centre, F.lit(True))}).filter("inner is not null")
+        if step == steps:
+            found.append(held)
+            break
+        parts = split ** (steps - step)
+
+        def children(name: str, n: int) -> Column:
+            return F.explode(F.sequence(F.col(name) * n, F.col(name) * n + (n - 1)))
+
+        found.append(held.filter("inner").withColumn("_bi", children("_bi", parts)).withColumn("_bj", children("_bj", parts)))
+        held = held.filter("not inner").withColumn("_bi", children("_bi", split)).withColumn("_bj", children("_bj", split))
+        finer = size * split ** (steps - step - 1)
+        touched = F.col("_bi").between(bucket("min_lat", finer), bucket("max_lat", finer)) & F.col("_bj").between(bucket("min_lon", finer), bucket("max_lon", finer))
+        held = _clipped(held.filter(touched), finer)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.withColumn("edges", F.when(~F.col("inner"), F.col("edges"))).drop("_meets", "min_lat", "max_lat", "min_lon", "max_lon")
 
 
 def bbox_bucket_prefilter(points: DataFrame, boundaries: DataFrame, size: float = BUCKET) -> DataFrame:
     """Candidate (point, boundary) rows: same bucket and inside the bounds. An equi-join, never a nested loop."""
     index = bucket_index(boundaries, size)
-    left = points.withColumns({"_bi": _bucket("latitude", size), "_bj": _bucket("longitude", size)})
+    left = points.withColumns({"_bi": bucket("latitude", size), "_bj": bucket("longitude", size)})
     inside = F.col("latitude").between(F.col("min_lat"), F.col("max_lat")) & F.col("longitude").between(F.col("min_lon"), F.col("max_lon"))
     return left.join(index, ["_bi", "_bj"]).filter(inside)
 
@@ -73,7 +127,7 @@ def bbox_bucket_prefilter(points: DataFrame, boundaries: DataFrame, size: float
 def candidate_counts(points: DataFrame, boundaries: DataFrame, size: float = BUCKET) -> DataFrame:
     """Number of boundaries registered in each point's bucket."""
     index = bucket_index(boundaries, size, clip_edges=False).groupBy("_bi", "_bj").agg(F.count("*").alias("candidate_count"))
-    left = points.withColumns({"_bi": _bucket("latitude", size), "_bj": _bucket("longitude", size)})
+    left = points.withColumns({"_bi": bucket("latitude", size), "_bj": bucket("longitude", size)})
     out = left.join(index, ["_bi", "_bj"], "left").drop("_bi", "_bj")
     return out.withColumn("candidate_count", F.coalesce("candidate_count", F.lit(0)))
 
@@ -84,7 +138,7 @@ def point_in_polygon_join(points: DataFrame, boundaries: DataFrame, boundary: bo
     ``boundary`` decides whether points on an edge count as inside.
     """
     index = bucket_index(boundaries, size)
-    left = points.withColumns({"_bi": _bucket("latitude", size), "_bj": _bucket("longitude", size)})
+    left = points.withColumns({"_bi": bucket("latitude", size), "_bj": bucket("longitude", size)})
     joined = left.join(index, ["_bi", "_bj", *on])
     inside = F.col("latitude").between(F.col("min_lat"), F.col("max_lat")) & F.col("longitude").between(F.col("min_lon"), F.col("max_lon"))
     hit = inside & geo.contains(F.col("edges"), "latitude", "longitude", boundary)
@@ -122,39 +176,86 @@ def province_lookup(
     )
 
 
+def edge_index(boundaries: DataFrame, reach: float) -> DataFrame:
+    """One row per edge and cell (_ci, _cj) of ``reach`` degrees that comes within ``reach`` of it, with its boundary's bounds.
+
+    A long border is spread over its cells edge by edge; no row holds more than one edge.
+    """
+    one = boundaries.select(F.explode(F.flatten(F.flatten("edges"))).alias("_e"), "min_lat", "max_lat", "min_lon", "max_lon")
+
+    def span(a: str, b: str) -> Column:
+        low, high = F.least(F.col(f"_e.{a}"), F.col(f"_e.{b}")), F.greatest(F.col(f"_e.{a}"), F.col(f"_e.{b}"))
+        return F.explode(F.sequence(bucket(low - reach, reach), bucket(high + reach, reach)))
+
+    cells = one.withColumn("_ci", span("lat1", "lat2")).withColumn("_cj", span("lon1", "lon2"))
+    wide = 1.001 * reach
+    box = [F.col("_ci") * reach - wide, (F.col("_ci") + 1) * reach + wide, F.col("_cj") * reach - wide, (F.col("_cj") + 1) * reach + wide]
+    return cells.filter(_crosses(F.col("_e"), *box))
+
+
 def nearest_boundary_distance(points: DataFrame, boundaries: DataFrame, cap: float = 0.5, size: float = BUCKET) -> DataFrame:
     """Add ``boundary_gap_degrees``: distance to the nearest candidate boundary, 0 inside.
 
     Candidates are the boundaries registered in the point's bucket, else in the buckets around it. Edges
     are measured only for boundaries whose bounds are within ``cap``; farther ones give the distance to
     their bounds. Points without candidates look at ever coarser buckets, by bounds alone.
+
+    Bounds decide first: which ring of buckets counts, and the nearest of the far ones. Points inside are found by cell covers.
+    The others meet edges in cells of a small reach; only points without an edge in reach go on to a reach four times as large.
     """
-    coords = points.select("latitude", "longitude").distinct()
-    plain = boundaries.select("edges", "min_lat", "max_lat", "min_lon", "max_lon")
+    spark = points.sparkSession
+    at = ["latitude", "longitude"]
+    coords = points.select(*at).distinct()
+    bounds = ["min_lat", "max_lat", "min_lon", "max_lon"]
+    boxes = boundaries.select(*bounds)
     own = (
-        (F.col("_bi").between(_bucket("min_lat", size), _bucket("max_lat", size)))
-        & (F.col("_bj").between(_bucket("min_lon", size), _bucket("max_lon", size)))
+        (F.col("_bi").between(bucket("min_lat", size), bucket("max_lat", size)))
+        & (F.col("_bj").between(bucket("min_lon", size), bucket("max_lon", size)))
     )
-    around = bucket_index(plain, size, reach=1, clip_edges=False).withColumn("_ring", F.when(own, 0).otherwise(1))
-    left = coords.withColumns({"_bi": _bucket("latitude", size), "_bj": _bucket("longitude", size)})
     box = geo.box_distance("latitude", "longitude")
-    exact = F.when(geo.contains(F.col("edges"), "latitude", "longitude"), F.lit(0.0)).otherwise(geo.edge_distance(F.col("edges"), "latitude", "longitude"))
-    gap = F.when(box > cap, box).otherwise(exact)
-    near = (
-        left.join(around, ["_bi", "_bj"])
-        .groupBy("latitude", "longitude", "_ring")
-        .agg(F.min(gap).alias("_gap"))
-        .groupBy("latitude", "longitude")
-        .agg(F.min_by("_gap", "_ring").alias("boundary_gap_degrees"))
-    )
-    out = cut_lineage(near, "boundary-gaps")
-    boxes = plain.drop("edges")
-    for coarse in (64.0, 1024.0):
-        rest = coords.join(out, ["latitude", "longitude"], "left_anti")
-        rest = rest.withColumns({"_bi": _bucket("latitude", coarse), "_bj": _bucket("longitude", coarse)})
-        far = rest.join(bucket_index(boxes, coarse, reach=1, clip_edges=False), ["_bi", "_bj"])
-        out = out.unionByName(far.groupBy("latitude", "longitude").agg(F.min(box).alias("boundary_gap_degrees")))
-    return points.join(out, ["latitude", "longitude"], "left")
+    left = coords.withColumns({"_bi": bucket("latitude", size), "_bj": bucket("longitude", size)})
+    around = bucket_index(boxes, size, reach=1, clip_edges=False).withColumn("_ring", F.when(own, 0).otherwise(1))
+    seen = left.join(around, ["_bi", "_bj"]).groupBy(*at, "_ring").agg(F.min(F.when(box > cap, box)).alias("_far"), F.bool_or(box <= cap).alias("_near"))
+    seen = seen.groupBy(*at).agg(F.min(F.struct("_ring", "_far", "_near")).alias("_s")).select(*at, "_s.*")
+    cover = cell_cover(boundaries.select("edges", *bounds), size)
+    hit = F.col("inner") | geo.contains(F.col("edges"), "latitude", "longitude")
+    inside = left.join(cover, ["_bi", "_bj"]).filter(hit).select(*at).distinct().withColumn("_in", F.lit(True))
+    with temporary(spark) as keep:
+        seen = cut_lineage(seen.join(inside, at, "left"), "boundary-candidates")
+        found = [seen.filter("_in or not _near").select(*at, F.when(F.col("_in"), F.lit(0.0)).otherwise(F.col("_far")).alias("boundary_gap_degrees"))]
+        rest, reach = seen.filter("_in is null and _near").select(*at, "_ring", "_far"), cap / 8
+        while not rest.isEmpty():
+            placed = rest.withColumns({"_ci": bucket("latitude", reach), "_cj": bucket("longitude", reach), "_bi": bucket("latitude", size), "_bj": bucket("longitude", size)})
+            met = placed.join(edge_index(boundaries, reach), ["_ci", "_cj"])
+            counts = (F.when(own, 0).otherwise(1) == F.col("_ring")) & (box <= cap)
+            met = met.filter(counts).groupBy(*at).agg(F.min(geo.segment_distance(F.col("_e"), "latitude", "longitude")).alias("_gap"))
+            gap = F.least(F.when(F.col("_gap") <= reach, F.col("_gap")), F.when(F.col("_far") <= reach, F.col("_far")))
+            step = cut_lineage(rest.join(met, at, "left").select(*at, "_ring", "_far", gap.alias("boundary_gap_degrees")), "boundary-gaps")
+            found.append(step.filter("boundary_gap_degrees is not null").select(*at, "boundary_gap_degrees"))
+            rest, reach = step.filter("boundary_gap_degrees is null").drop("boundary_gap_degrees"), 4 * reach
+        out = found[0]
+        for more in found[1:]:
+            out = out.unionByName(more)
+        for coarse in (64.0, 1024.0):
+            none = coords.join(out, at, "left_anti")
+            none = none.withColumns({"_bi": bucket("latitude", coarse), "_bj": bucket("longitude", coarse)})
+            far = none.join(bucket_index(boxes, coarse, reach=1, clip_edges=False), ["_bi", "_bj"])
+            out = out.unionByName(far.groupBy(*at).agg(F.min(box).alias("boundary_gap_degrees")))
+        out = keep(out, "boundary-gaps")
+    return points.join(out, at, "left")
+
+
+def circle_cover(events: DataFrame, radius_km: float, size: float = BUCKET, latitude: str = "latitude", longitude: str = "longitude") -> DataFrame:
+    """One row per event and cell (_bi, _bj) that its circle can touch; events without a point have none."""
+    dlat = math.degrees(radius_km / 6371.0) * 1.001
+    edge = F.least(F.abs(F.col(latitude)) + dlat, F.lit(89.9))
+    dlon = F.lit(dlat) / F.cos(F.radians(edge))
+
+    def span(value: str, reach: Column) -> Column:
+        return F.sequence(bucket(F.col(value) - reach, size), bucket(F.col(value) + reach, size))
+
+    out = events.filter(F.col(latitude).isNotNull() & F.col(longitude).isNotNull())
+    return out.withColumn("_bi", F.explode_outer(span(latitude, F.lit(dlat)))).withColumn("_bj", F.explode_outer(span(longitude, dlon)))
 
 
 def within_radius_join(points: DataFrame, events: DataFrame, radius_km: float, on: Sequence[str] = ("date",), size: float = 0.5) -> DataFrame:
@@ -163,17 +264,9 @@ def within_radius_join(points: DataFrame, events: DataFrame, radius_km: float, o
     Events are registered in every bucket their circle can touch; the join is by bucket and ``on``, the
     exact distance is its residual test. Event coordinates come as event_latitude and event_longitude.
     """
-    dlat = math.degrees(radius_km / 6371.0) * 1.001
     centre = events.withColumnsRenamed({"latitude": "event_latitude", "longitude": "event_longitude"})
-    edge = F.least(F.abs(F.col("event_latitude")) + dlat, F.lit(89.9))
-    dlon = F.lit(dlat) / F.cos(F.radians(edge))
-
-    def span(value: str, reach: Column) -> Column:
-        return F.sequence(_bucket(F.col(value) - reach, size), _bucket(F.col(value) + reach, size))
-
-    right = centre.filter(F.col("event_latitude").isNotNull() & F.col("event_longitude").isNotNull())
-    right = right.withColumn("_bi", F.explode_outer(span("event_latitude", F.lit(dlat)))).withColumn("_bj", F.explode_outer(span("event_longitude", dlon)))
-    left = points.withColumns({"_bi": _bucket("latitude", size), "_bj": _bucket("longitude", size)})
+    right = circle_cover(centre, radius_km, size, "event_latitude", "event_longitude")
+    left = points.withColumns({"_bi": bucket("latitude", size), "_bj": bucket("longitude", size)})
     distance = geo.haversine_km("latitude", "longitude", "event_latitude", "event_longitude")
     return left.join(right, ["_bi", "_bj", *on]).withColumn("distance_km", distance).filter(F.col("distance_km") <= radius_km).drop("_bi", "_bj")
 

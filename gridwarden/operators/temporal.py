@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridwarden.functions.basic import clip, col, lit
 from gridwarden.functions.physical import precip_flag, wind_speed
+from gridwarden.session import cut_lineage
 
 CELL = ("latitude", "longitude")
 
@@ -130,43 +131,41 @@ def nearest_time_select(
     """For each target time the series row nearest in time within a tolerance; ties go to the later row,
     and of several rows of one time to the smallest values.
 
-    An as-of join without pairs: targets and series rows are cut into time chunks of the tolerance's
-    width and merged by one window per (key, chunk). Rows of neighbour chunks enter only as their last
-    and first row. ``strict`` fails the job when a target has no row near enough.
+    An as-of join without pairs: targets and series rows together are dealt to ranges of (key, time) of much the same
+    size, so a key that holds most rows is spread over many ranges, and targets of one time are, too. Each range is merged by
+    one window; its last and first series rows go to the ranges after and before it through a table of one row per
+    range and key. ``strict`` fails the job when a target has no row near enough.
     """
     width = int(tolerance_seconds)
 
     def stamped(df: DataFrame) -> DataFrame:
-        return df.withColumn("_s", F.unix_micros(F.col("time").cast("timestamp")))
+        return df.withColumns({"_s": F.unix_micros(F.col("time").cast("timestamp")), "_k": F.struct(*keys) if keys else F.lit(0)})
 
-    def chunk(s: Column) -> Column:
-        return F.floor(s / (width * 1_000_000))
-
-    row = F.struct(F.col("_s").alias("s"), *[F.col(v) for v in values])
-    points = stamped(series).groupBy(*keys, "_s").agg(F.min(F.struct(*values)).alias("_v")).select(*keys, "_s", "_v.*")
-    points = points.withColumns({"_row": row, "_chunk": chunk(F.col("_s"))})
-    edges = points.groupBy(*keys, "_chunk").agg(F.max_by("_row", "_s").alias("_last"), F.min_by("_row", "_s").alias("_head"))
-    carried = edges.select(
-        *keys,
-        F.explode(
-            F.array(
-                F.struct((F.col("_chunk") + 1).alias("_chunk"), F.col("_last").alias("_row")),
-                F.struct((F.col("_chunk") - 1).alias("_chunk"), F.col("_head").alias("_row")),
-            )
-        ).alias("_e"),
-    ).select(*keys, "_e._chunk", "_e._row")
-    right = points.select(*keys, "_chunk", "_row").unionByName(carried).withColumn("_s", F.col("_row.s"))
-    left = stamped(targets).withColumn("_chunk", chunk(F.col("_s")))
+    points = stamped(series).groupBy("_k", "_s").agg(F.min(F.struct(*values)).alias("_v"))
+    points = points.select("_k", "_s", F.struct(F.col("_s").alias("s"), *[F.col(f"_v.{v}").alias(v) for v in values]).alias("_row"))
     carry_cols = [c for c in targets.columns if c not in keys]
-    mixed = left.select(*keys, "_chunk", "_s", F.struct(*carry_cols).alias("_t")).unionByName(right, allowMissingColumns=True)
-    order = Window.partitionBy(*keys, "_chunk").orderBy("_s", F.col("_row").isNull())
-    back = Window.partitionBy(*keys, "_chunk").orderBy(F.col("_s").desc(), F.col("_row").isNull())
+    wanted = stamped(targets).select("_k", "_s", F.struct(*carry_cols).alias("_t"), F.xxhash64("_s", *[c for c in carry_cols if targets.schema[c].dataType.typeName() != "map"]).alias("_spread"))
+    mixed = wanted.unionByName(points, allowMissingColumns=True)
+    # stored, as the bounds of the ranges come from a sample
+    mixed = cut_lineage(mixed.repartitionByRange("_k", "_s", F.col("_row").isNull(), "_spread").drop("_spread").withColumn("_range", F.spark_partition_id()), "ranges")
+    edges = mixed.groupBy("_range", "_k").agg(F.max_by("_row", F.when(F.col("_row").isNotNull(), F.col("_s"))).alias("_last"), F.min_by("_row", F.when(F.col("_row").isNotNull(), F.col("_s"))).alias("_head"))
+    over = Window.partitionBy("_k").orderBy("_range")
+    carried = edges.select(
+        "_range",
+        "_k",
+        F.last("_last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_from_before"),
+        F.first("_head", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_from_after"),
+    )
+    order = Window.partitionBy("_range", "_k").orderBy("_s", F.col("_row").isNull())
+    back = Window.partitionBy("_range", "_k").orderBy(F.col("_s").desc(), F.col("_row").isNull())
     mixed = mixed.withColumns(
         {
             "_before": F.last("_row", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
             "_after": F.last("_row", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)),
         }
     ).filter(F.col("_t").isNotNull())
+    mixed = mixed.join(carried, ["_range", "_k"], "left")
+    mixed = mixed.withColumns({"_before": F.coalesce("_before", "_from_before"), "_after": F.coalesce("_after", "_from_after")})
     gap_before, gap_after = F.col("_s") - F.col("_before.s"), F.col("_after.s") - F.col("_s")
     near = F.when(F.col("_after").isNull() | (gap_before < gap_after), F.col("_before")).otherwise(F.col("_after"))
     out = mixed.withColumn("_near", near)
@@ -176,7 +175,7 @@ def nearest_time_select(
         hit = F.coalesce(hit, F.lit(False)) | F.raise_error(F.lit("no time within tolerance")).cast("boolean")
     out = out.withColumn("_hit", F.when(hit, F.col("_near")))
     return out.select(
-        *keys, "_t.*", *[F.col(f"_hit.{v}").alias(v) for v in values], F.timestamp_micros("_hit.s").alias("selected_time")
+        *[F.col(f"_k.{k}").alias(k) for k in keys], "_t.*", *[F.col(f"_hit.{v}").alias(v) for v in values], F.timestamp_micros("_hit.s").alias("selected_time")
     )
 
 

@@ -177,6 +177,54 @@ def _(t):
     return grid_labels(t).select("row_id", "grid_id", "latitude", *_OUT)
 
 
+_DAY_COUNTS = ("event_count_for_day", "day_supported_event_count", "day_unsupported_event_count", "day_geometry_event_count", "day_point_event_count")
+_LISTS = ("mapping_modes", "matched_event_ids", "matched_location_names", "matched_geometry_sources", "matched_geometry_wkts")
+
+
+def provenance_fields(df, counts, lists):
+    """Fields of the provenance text, lists joined by a bar."""
+    at = lambda name: F.get_json_object("label_provenance", f"$.{name}")
+    return df.select(
+        *[c for c in df.columns if c != "label_provenance"], *[at(c).cast("long").alias(c) for c in counts], *[F.array_join(F.from_json(at(c), "array<string>"), "|").alias(c) for c in lists]
+    )
+
+
+def flood_provenance_sql(samples: str, match: str, grid: bool) -> str:
+    return f"""{flood_label_sql(samples, match, grid)},
+q AS (SELECT *, CASE WHEN geometry_wkt IS NOT NULL THEN 'source_geometry' WHEN latitude IS NOT NULL THEN 'derived_point_buffer' ELSE '' END AS source FROM e),
+pd AS (SELECT date, count(*) AS n, count(CASE WHEN mode IN ('geometry_wkt', 'point_buffer', 'province_day') THEN 1 END) AS ok_n, count(CASE WHEN source <> '' THEN 1 END) AS shaped, count(latitude) AS points,
+  string_agg(mode, '|' ORDER BY event_id) AS modes FROM q GROUP BY 1),
+pm AS (SELECT s.k, e.event_id, e.location_name, e.geometry_wkt, e.source, CASE WHEN e.mode = 'point_buffer' AND NOT {str(grid).lower()} THEN 'province_day' ELSE e.mode END AS mode FROM {samples} s JOIN q e ON e.date = s.date WHERE {match}),
+ph AS (SELECT k, string_agg(DISTINCT mode, '|' ORDER BY mode) AS modes, string_agg(event_id, '|' ORDER BY event_id) AS ids, string_agg(location_name, '|' ORDER BY event_id) AS places,
+  string_agg(CASE WHEN source <> '' THEN source WHEN mode = 'province_day' THEN 'province_boundary' END, '|' ORDER BY event_id) AS sources, string_agg(geometry_wkt, '|' ORDER BY event_id) AS wkts FROM pm GROUP BY 1),
+prov AS (SELECT s.*, coalesce(pd.n, 0) AS event_count_for_day, coalesce(pd.ok_n, 0) AS day_supported_event_count, coalesce(pd.n - pd.ok_n, 0) AS day_unsupported_event_count, coalesce(pd.shaped, 0) AS day_geometry_event_count,
+  coalesce(pd.points, 0) AS day_point_event_count, md5(coalesce(pd.modes, '')) AS day_modes_md5, coalesce(ph.modes, '') AS mapping_modes, coalesce(ph.ids, '') AS matched_event_ids, coalesce(ph.places, '') AS matched_location_names,
+  coalesce(ph.sources, '') AS matched_geometry_sources, coalesce(ph.wkts, '') AS matched_geometry_wkts FROM {samples} s LEFT JOIN pd ON pd.date = s.date LEFT JOIN ph ON ph.k = s.k)"""
+
+
+def _provenance(df, keys):
+    out = provenance_fields(df.select(*keys, "label_provenance"), _DAY_COUNTS, (*_LISTS, "day_event_mapping_modes"))
+    return out.withColumn("day_modes_md5", F.md5("day_event_mapping_modes")).drop("day_event_mapping_modes")
+
+
+@query(
+    "label_flash_flood_grid_provenance",
+    ("grid_day", "catalogue"),
+    f"WITH {GRID_SAMPLES}, {flood_provenance_sql('gs', GRID_MATCH, True)} SELECT row_id, grid_id, {', '.join(_DAY_COUNTS)}, day_modes_md5, {', '.join(_LISTS)} FROM prov",
+)
+def _(t):
+    return _provenance(grid_labels(t), ("row_id", "grid_id"))
+
+
+@query(
+    "label_flash_flood_province_provenance",
+    ("grid_day", "catalogue"),
+    f"WITH {PROVINCE_SAMPLES}, {flood_provenance_sql('ps', PROVINCE_MATCH, False)} SELECT CAST(date AS STRING) AS date, province_name, {', '.join(_DAY_COUNTS)}, day_modes_md5, {', '.join(_LISTS)} FROM prov",
+)
+def _(t):
+    return _provenance(province_labels(t).withColumn("date", day("date")), ("date", "province_name"))
+
+
 @query(
     "label_flash_flood_province",
     ("grid_day", "catalogue"),
@@ -204,6 +252,23 @@ def _(t):
     return lb.label_dust_storm(samples, ev.expand_events_daily(merged(t))).select(day("date").alias("date"), "region_id", *_OUT)
 
 
+@query(
+    "label_dust_storm_provenance",
+    ("grid_day", "catalogue"),
+    f"""WITH {MERGED}, e AS (SELECT *, string_split({_DUST_REGION}, ',') AS regions FROM daily WHERE validation_status = 'verified'),
+    s AS (SELECT DISTINCT date, region_id FROM grid_day), d AS (SELECT date, count(*) AS n, string_agg(event_id, '|' ORDER BY event_id) AS ids FROM e GROUP BY 1),
+    h AS (SELECT s.date, s.region_id, string_agg(event_id, '|' ORDER BY event_id) AS ids, string_agg(location_name, '|' ORDER BY event_id) AS places FROM s JOIN e ON e.date = s.date AND list_contains(e.regions, s.region_id) GROUP BY 1, 2)
+    SELECT CAST(s.date AS STRING) AS date, s.region_id, coalesce(d.n, 0) AS event_count_for_day, coalesce(h.ids, '') AS matched_event_ids, coalesce(h.places, '') AS matched_location_names, md5(coalesce(d.ids, '')) AS day_ids_md5
+    FROM s LEFT JOIN d ON d.date = s.date LEFT JOIN h ON h.date = s.date AND h.region_id = s.region_id""",
+)
+def _(t):
+    samples = t.grid_day.select("date", "region_id").distinct()
+    out = lb.label_dust_storm(samples, ev.expand_events_daily(merged(t))).select(day("date").alias("date"), "region_id", "label_provenance")
+    listed = F.from_json(F.get_json_object("label_provenance", "$.resolved_event_regions"), "array<struct<id:string>>")
+    out = out.withColumn("day_ids_md5", F.md5(F.array_join(F.transform(listed, lambda e: e["id"]), "|")))
+    return provenance_fields(out, ("event_count_for_day",), ("matched_event_ids", "matched_location_names"))
+
+
 HEAT_EVENTS = f"""{MERGED}, he AS (SELECT event_id, date, replace({_PROVINCE_OF}, ' ', '_') AS region_text FROM daily WHERE validation_status = 'verified'),
 hd AS (SELECT date, string_agg(DISTINCT event_id, ',' ORDER BY event_id) AS ids, bool_or(region_text <> '') AS scoped FROM he GROUP BY 1)"""
 
@@ -229,6 +294,19 @@ def _(t):
     return lb.label_extreme_heat(t.grid_day.select("date", "region_id").distinct(), heat_events(t)).select(day("date").alias("date"), "region_id", *_OUT)
 
 
+@query(
+    "label_extreme_heat_provenance",
+    ("grid_day", "catalogue"),
+    f"""WITH {HEAT_LABELS}, dr AS (SELECT date, string_agg(DISTINCT r, '|' ORDER BY r) AS regions FROM (SELECT date, unnest(string_split(region_text, ',')) AS r FROM he) WHERE r <> '' GROUP BY 1),
+    du AS (SELECT date, string_agg(DISTINCT event_id, '|' ORDER BY event_id) AS ids FROM he WHERE region_text = '' GROUP BY 1)
+    SELECT CAST(hl.date AS STRING) AS date, hl.region_id, replace(hl.matched_event_ids, ',', '|') AS matched_event_ids, coalesce(replace(hd.ids, ',', '|'), '') AS day_event_ids, coalesce(dr.regions, '') AS day_region_ids, coalesce(du.ids, '') AS unresolved_event_ids
+    FROM hl LEFT JOIN hd ON hd.date = hl.date LEFT JOIN dr ON dr.date = hl.date LEFT JOIN du ON du.date = hl.date""",
+)
+def _(t):
+    out = lb.label_extreme_heat(t.grid_day.select("date", "region_id").distinct(), heat_events(t)).select(day("date").alias("date"), "region_id", "label_provenance")
+    return provenance_fields(out, (), ("matched_event_ids", "day_event_ids", "day_region_ids", "unresolved_event_ids"))
+
+
 @query(
     "label_point_day",
     ("grid_day", "catalogue"),
