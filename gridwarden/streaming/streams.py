@@ -3,12 +3,16 @@
 Aggregating streams run in update mode: each micro-batch stores the rows it changed, and a reader takes
 the last state of each key. So open windows are visible, nothing waits for a watermark to pass, and the
 watermark only bounds the state. Rows later than the watermark are dropped, and ``late_rows`` tells how many.
+
+Where late rows must count, ``accumulate_into`` keeps no state in executors: each micro-batch stores its own partial
+aggregates, whatever its times, and a reader merges them. Tables of both kinds are folded by ``compact`` into
+one row per key, so their files stay in proportion to the keys and not to the batches.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from datetime import date
 
 import pandas as pd
@@ -23,6 +27,7 @@ from gridwarden.functions.physical import precip_flag
 from gridwarden.operators.features import numeric_feature_columns
 from gridwarden.operators.labels import FloodLabelPolicy, label_flash_flood
 from gridwarden.operators.risk import scan_risks
+from gridwarden.operators.temporal import heatwave_runs
 from gridwarden.session import cut_lineage
 from gridwarden.sources.store import SIGNATURE
 
@@ -71,12 +76,15 @@ def stream_heatwave_runs(rows: DataFrame, flag: str = "heatwave_day_flag", delay
 
     To be stored with ``update_into`` and read by (cell, start_date): a run comes again whenever it grows, and a
     start that was joined to an earlier run comes with duration 0. The state holds the runs that rows within
-    the watermark can still change.
+    the watermark can still change; a timer drops a cell's state once the watermark has passed its last run.
     """
     days = rows.filter(F.col(flag) == 1).withWatermark("time", delay).select(*cell, "time", F.unix_date(F.to_date("time")).alias("_day"))
     schema = T.StructType([*[days.schema[c] for c in cell], T.StructField("start_date", T.DateType()), T.StructField("end_date", T.DateType()), T.StructField("duration_days", T.LongType())])
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         runs = dict(zip(*state.get, strict=True)) if state.exists else {}
         changed = set()
         for day in sorted({int(d) for frame in frames for d in frame["_day"]}):
@@ -90,10 +98,15 @@ def stream_heatwave_runs(rows: DataFrame, flag: str = "heatwave_day_flag", delay
         out = [(*key, date.fromordinal(_EPOCH + a), date.fromordinal(_EPOCH + runs.get(a, a)), runs[a] - a + 1 if a in runs else 0) for a in sorted(changed)]
         done = state.getCurrentWatermarkMs() // 86_400_000 - 1
         open_ = sorted((a, b) for a, b in runs.items() if b >= done)
-        state.update(([a for a, _ in open_], [b for _, b in open_]))
+        if open_:
+            state.update(([a for a, _ in open_], [b for _, b in open_]))
+            # the day after the last one that a row could still join
+            state.setTimeoutTimestamp((max(b for _, b in open_) + 2) * 86_400_000)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=schema.names)
 
-    return days.groupBy(*cell).applyInPandasWithState(step, schema, _RUN_STATE, "update", GroupStateTimeout.NoTimeout)
+    return days.groupBy(*cell).applyInPandasWithState(step, schema, _RUN_STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def late_rows(query: StreamingQuery) -> int:
@@ -117,9 +130,144 @@ def update_into(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 def latest_state(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """Last stored row per key of an update stream."""
-    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
-    values = [c for c in rows.columns if c not in keys and c != "batch"]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v")).select(*keys, "_v.*")
+    return _last_of(keys)(stored_batches(spark, path)).drop("batch")
+
+
+def _last_of(keys: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    """Rows of several batches to the last one per key, with its batch."""
+
+    def merge(rows: DataFrame) -> DataFrame:
+        values = [c for c in rows.columns if c not in keys and c != "batch"]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"), F.max("batch").alias("batch")).select(*keys, "_v.*", "batch")
+
+    return merge
+
+
+#: How partial aggregates are made from rows and merged with each other.
+MERGES = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.sum}
+
+
+def _merged(keys: Sequence[str], parts: Mapping[str, tuple[str, str]]) -> Callable[[DataFrame], DataFrame]:
+    def merge(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys).agg(*[MERGES[kind](name).alias(name) for name, (kind, _) in parts.items()], F.max("batch").alias("batch"))
+
+    return merge
+
+
+def accumulate_into(
+    rows: DataFrame, path: str, checkpoint: str, keys: Sequence[str], parts: Mapping[str, tuple[str, str]], prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows
+) -> StreamingQuery:
+    """Run what is available; each micro-batch stores its partial aggregates ``{name: (kind, column)}`` per key.
+
+    No row is too late: a batch holds whatever times came in it. ``prepare`` makes the key columns in a batch.
+    A batch that is run again replaces its rows.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        made = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
+        prepare(batch).groupBy(*keys).agg(*[made[kind](c).alias(name) for name, (kind, c) in parts.items()]).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(store).start()
+
+
+def accumulated(spark: SparkSession, path: str, keys: Sequence[str], parts: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """The whole aggregate of everything that ``accumulate_into`` has stored: one row per key."""
+    return _merged(keys, parts)(stored_batches(spark, path)).drop("batch")
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in system.listStatus(folder)) if system.exists(folder) else []
+
+
+def _numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Numbers of the finished tables ``<prefix><number>`` in a folder."""
+    found = [int(name.removeprefix(prefix)) for name in _children(spark, path) if name.startswith(prefix)]
+    return sorted(n for n in found if "_SUCCESS" in _children(spark, f"{path}/{prefix}{n}"))
+
+
+def stored_batches(spark: SparkSession, path: str) -> DataFrame:
+    """Rows with their ``batch``: those of the newest folded table and of all finished batches behind it."""
+    folds = _numbers(spark, f"{path}/folded", "upto=")
+    upto = folds[-1] if folds else -1
+    behind = [n for n in _numbers(spark, path, "batch=") if n > upto]
+    parts = [spark.read.parquet(f"{path}/folded/upto={upto}")] if folds else []
+    if behind:
+        rows = spark.read.option("basePath", path).parquet(*[f"{path}/batch={n}" for n in behind])
+        parts.append(rows.withColumn("batch", F.col("batch").cast("long")))
+    if not parts:
+        raise FileNotFoundError(f"{path} holds no finished batch")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def compact(spark: SparkSession, path: str, keys: Sequence[str], parts: Mapping[str, tuple[str, str]] | None = None) -> int:
+    """Fold all finished batches into one row per key; returns the number of the last batch folded, -1 for none.
+
+    ``parts`` are those of ``accumulate_into``; without them the table is one of ``update_into``. The folded table is
+    written beside the batches and counts once it is finished: Spark marks that as the last thing it does. What it
+    replaces goes only after that, and readers pass over it in any case, so a run that breaks off at any step loses nothing and counts
+    nothing twice. A batch that a restarted query runs again is at most the last one, with the same rows.
+    """
+    folds, batches = _numbers(spark, f"{path}/folded", "upto="), _numbers(spark, path, "batch=")
+    last = max([*folds, *batches], default=-1)
+    if not folds or last > folds[-1]:
+        if last < 0:
+            return -1
+        merge = _merged(keys, parts) if parts else _last_of(keys)
+        merge(stored_batches(spark, path)).withColumn("batch", F.col("batch").cast("long")).write.mode("overwrite").parquet(f"{path}/folded/upto={last}")
+    for old in [*[f"{path}/folded/upto={n}" for n in folds if n < last], *[f"{path}/batch={n}" for n in batches if n <= last]]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(old)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return last
+
+
+#: Partial aggregates of the daily rain totals and of the flagged days, and their keys but for the cell.
+RAIN_PARTS = {"daily_precip_total_mm": ("sum", "precipitation"), "daily_precip_max_step_mm": ("max", "precipitation")}
+FLAG_PARTS = {"heatwave_day_flag": ("max", "heatwave_day_flag")}
+
+
+def on_days(rows: DataFrame) -> DataFrame:
+    """Rows with the date of their time."""
+    return rows.withColumn("date", F.to_date("time"))
+
+
+def whole_daily_precip(spark: SparkSession, path: str, cell: Sequence[str] = CELL) -> DataFrame:
+    """Daily totals, largest step and flag, late rows included (``RAIN_PARTS`` by date and cell)."""
+    return accumulated(spark, path, ["date", *cell], RAIN_PARTS).withColumn("daily_precip_extreme_flag", precip_flag("daily_precip_total_mm"))
+
+
+def whole_rolling_precip(spark: SparkSession, path: str, days: int = 3, cell: Sequence[str] = CELL) -> DataFrame:
+    """Totals over windows of N days named by their last day, late rows included (``RAIN_PARTS`` by date and cell)."""
+    daily = accumulated(spark, path, ["date", *cell], RAIN_PARTS)
+    spread = daily.withColumn("date", F.explode(F.sequence("date", F.date_add("date", days - 1))))
+    return spread.groupBy("date", *cell).agg(F.sum("daily_precip_total_mm").alias(f"precip_{days}day"))
+
+
+def whole_heatwave_runs(spark: SparkSession, path: str, cell: Sequence[str] = CELL) -> DataFrame:
+    """Runs of flagged days, late rows included, by windows over cell-days (``FLAG_PARTS`` by date and cell)."""
+    return heatwave_runs(accumulated(spark, path, ["date", *cell], FLAG_PARTS), cell=cell)
+
+
+def province_parts(names: Sequence[str]) -> dict[str, tuple[str, str]]:
+    """Partial aggregates of province-day means."""
+    return {"grid_cell_count": ("count", "date")} | {f"{n}_{kind}": (kind, n) for n in names for kind in ("sum", "count")}
+
+
+def in_provinces(lookup: DataFrame, province: str = "province_name") -> Callable[[DataFrame], DataFrame]:
+    """Dated rows with the province of their rounded coordinate; others go."""
+    known = lookup.select(F.col("latitude").alias("_la"), F.col("longitude").alias("_lo"), province).filter(F.col(province).isNotNull())
+
+    def prepare(rows: DataFrame) -> DataFrame:
+        return on_days(rows).withColumns({"_la": F.bround("latitude", 4), "_lo": F.bround("longitude", 4)}).join(known, ["_la", "_lo"])
+
+    return prepare
+
+
+def whole_province_day(spark: SparkSession, path: str, names: Sequence[str], province: str = "province_name") -> DataFrame:
+    """Province-day means, late rows included."""
+    out = accumulated(spark, path, ["date", province], province_parts(names))
+    return out.select("date", province, "grid_cell_count", *[F.try_divide(f"{n}_sum", f"{n}_count").alias(n) for n in names])
 
 
 def stream_label(

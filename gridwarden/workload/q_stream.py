@@ -130,3 +130,79 @@ def _(t):
     ss.update_into(ss.stream_heatwave_runs(rows, cell=["station"]), path, f"{path}-state").awaitTermination()
     out = ss.latest_state(t.spark, path, ["station", "start_date"]).filter("duration_days > 0")
     return out.select("station", day("start_date").alias("start_date"), day("end_date").alias("end_date"), "duration_days")
+
+
+def batches_of(t: Tables, name: str, table: str, parts: int = 4):
+    """A projection of a table that comes in several micro-batches, each with rows of all times, the latest first."""
+    source = shared_dir(t.spark, "source")
+    rows = t.table(table)
+    column = {"events": "ts", "lineitem": "l_shipdate"}[table]
+    # a few late rows in every batch; for the rest, later times come earlier
+    late = F.pmod(F.xxhash64(*rows.columns), F.lit(parts * 4))
+    place = F.when(late < parts, late).otherwise(parts - 1 - F.pmod(F.year(column) * 12 + F.month(column), F.lit(parts)))
+    for k in range(parts):
+        rows.filter(place == k).write.parquet(f"{source}/part={k}")
+    live = t.spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(source)
+    view = f"late_{name}"
+    live.createOrReplaceTempView(view)
+    return t.spark.sql(STANDINS[name].format(**{table: view}))
+
+
+def run_parts(t: Tables, rows, keys, parts, prepare):
+    """The stored partial aggregates, folded once after the run."""
+    path = shared_dir(t.spark, "stream")
+    ss.accumulate_into(rows, path, f"{path}-state", keys, parts, prepare).awaitTermination()
+    ss.compact(t.spark, path, keys, parts)
+    return path
+
+
+def late_obs(t):
+    return batches_of(t, "obs", "events").withColumn("time", F.col("time").cast("timestamp"))
+
+
+@query(
+    "stream_daily_precip_late",
+    ("obs",),
+    f"""WITH d AS (SELECT date, {CELL}, sum(precipitation) AS p, max(precipitation) AS m FROM obs GROUP BY 1, 2, 3)
+    SELECT CAST(date AS STRING) AS date, {CELL}, round(p, 6) AS total, round(m, 6) AS step, CASE WHEN p >= 50 THEN 2e0 WHEN p >= 25 THEN 1e0 ELSE 0e0 END AS flag FROM d""",
+)
+def _(t):
+    """Several batches out of order, and every late row counts."""
+    path = run_parts(t, late_obs(t).select("time", "latitude", "longitude", "precipitation"), ["date", "latitude", "longitude"], ss.RAIN_PARTS, ss.on_days)
+    out = ss.whole_daily_precip(t.spark, path)
+    return out.select(day("date").alias("date"), "latitude", "longitude", r("daily_precip_total_mm").alias("total"), r("daily_precip_max_step_mm").alias("step"), F.col("daily_precip_extreme_flag").alias("flag"))
+
+
+@query(
+    "stream_rolling_precip_late",
+    ("obs",),
+    f"""WITH s AS (SELECT CAST(date AS DATE) + CAST(k AS INT) AS last, {CELL}, precipitation FROM obs CROSS JOIN range(3) w(k))
+    SELECT CAST(last AS STRING) AS date, {CELL}, round(sum(precipitation), 6) AS total FROM s GROUP BY 1, 2, 3""",
+)
+def _(t):
+    path = run_parts(t, late_obs(t).select("time", "latitude", "longitude", "precipitation"), ["date", "latitude", "longitude"], ss.RAIN_PARTS, ss.on_days)
+    return ss.whole_rolling_precip(t.spark, path).select(day("date").alias("date"), "latitude", "longitude", r("precip_3day").alias("total"))
+
+
+@query(
+    "stream_province_day_late",
+    ("grid_day", "boundaries"),
+    f"""WITH {LOOKUP} SELECT CAST(g.date AS STRING) AS date, lk.province_name, count(*) AS grid_cell_count, round(avg(g.daily_precip_total), 6) AS rain FROM grid_day g
+    JOIN lk ON lk.latitude = g.latitude AND lk.longitude = g.longitude WHERE lk.province_name IS NOT NULL GROUP BY 1, 2""",
+)
+def _(t):
+    path = shared_dir(t.spark, "lookup")
+    lookup(t).filter("province_name is not null").write.parquet(path)
+    names = ["daily_precip_total"]
+    rows = batches_of(t, "grid_day", "lineitem").select(F.col("date").cast("timestamp").alias("time"), "latitude", "longitude", *names)
+    path = run_parts(t, rows, ["date", "province_name"], ss.province_parts(names), ss.in_provinces(t.spark.read.parquet(path)))
+    out = ss.whole_province_day(t.spark, path, names)
+    return out.select(day("date").alias("date"), "province_name", "grid_cell_count", r("daily_precip_total").alias("rain"))
+
+
+@query("stream_heatwave_runs_late", ("obs",), _RUNS)
+def _(t):
+    rows = late_obs(t).select("time", "station", (F.col("temp_c") >= 35).cast("int").alias("heatwave_day_flag"))
+    path = run_parts(t, rows, ["date", "station"], ss.FLAG_PARTS, ss.on_days)
+    out = ss.whole_heatwave_runs(t.spark, path, ["station"])
+    return out.select("station", day("start_date").alias("start_date"), day("end_date").alias("end_date"), "duration_days")

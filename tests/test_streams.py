@@ -66,3 +66,47 @@ def test_changed_files_and_equal_names(spark, paths):
     assert run() == 1 and values() == [7, 8, 10]
     os.remove(f"{source}/b/x.parquet")
     assert run() == 0 and values() == [7, 8]
+
+
+def test_late_rows_count_in_accumulated_totals(spark, paths):
+    source, path = paths
+    rain = lambda d, h, v: {"time": datetime(2024, 1, d, h), "latitude": 20.0, "longitude": 40.0, "precipitation": v}
+    keys = ["date", "latitude", "longitude"]
+
+    def run():
+        live = spark.readStream.schema("time timestamp, latitude double, longitude double, precipitation double").option("maxFilesPerTrigger", 1).parquet(source)
+        ss.accumulate_into(live, path, f"{path}-state", keys, ss.RAIN_PARTS, ss.on_days).awaitTermination()
+
+    def totals():
+        return {r["date"].day: (r["daily_precip_total_mm"], r["daily_precip_max_step_mm"]) for r in ss.whole_daily_precip(spark, path).collect()}
+
+    write(source, "1.parquet", [rain(9, 1, 1.0), rain(9, 5, 2.0)])
+    write(source, "2.parquet", [rain(30, 1, 4.0), rain(1, 23, 8.0)])
+    run()
+    assert totals() == {9: (3.0, 2.0), 30: (4.0, 4.0), 1: (8.0, 8.0)}
+    assert ss.compact(spark, path, keys, ss.RAIN_PARTS) == 1
+    write(source, "3.parquet", [rain(1, 2, 16.0), rain(9, 3, 64.0)])
+    run()
+    want = {9: (67.0, 64.0), 30: (4.0, 4.0), 1: (24.0, 16.0)}
+    assert totals() == want
+    assert ss.compact(spark, path, keys, ss.RAIN_PARTS) == 2 == ss.compact(spark, path, keys, ss.RAIN_PARTS)
+    assert totals() == want and not [f for f in os.listdir(path) if f.startswith("batch=")] and os.listdir(f"{path}/folded") == ["upto=2"]
+    assert {r["date"].day: r["precip_3day"] for r in ss.whole_rolling_precip(spark, path).collect()}[11] == 67.0
+
+
+def test_compaction_that_breaks_off(spark, paths):
+    """Before the folded table is finished, after it, and with an unfinished batch: no row is lost or counted twice."""
+    _, path = paths
+    for n, v in enumerate((1, 2, 4)):
+        spark.createDataFrame([("a", v), (f"k{n}", v)], "k string, v long").write.parquet(f"{path}/batch={n}")
+    os.makedirs(f"{path}/batch=3")
+    parts = {"v": ("sum", "v")}
+    want = {"a": 7, "k0": 1, "k1": 2, "k2": 4}
+    read = lambda: {r["k"]: r["v"] for r in ss.accumulated(spark, path, ["k"], parts).collect()}
+    assert read() == want
+    os.makedirs(f"{path}/folded/upto=2")  # not finished
+    assert read() == want
+    ss._merged(["k"], parts)(ss.stored_batches(spark, path)).write.mode("overwrite").parquet(f"{path}/folded/upto=2")  # finished, batches still there
+    assert read() == want
+    assert ss.compact(spark, path, ["k"], parts) == 2 and read() == want and sorted(os.listdir(path)) == ["batch=3", "folded"]
+    assert {r["k"]: r["v"] for r in ss.latest_state(spark, path, ["k"]).collect()} == want
