@@ -6,8 +6,8 @@ where o is the least overlap that a link needs.
 1. One pass counts each text's shingles, names the set by a 64-bit number, and counts shingles in a table of fixed size; that
    gives the order. Texts with equal sets are one class, and only classes are joined.
 2. A second pass emits the first shingles of each set (k = 2). Those that only one set has end here.
-3. The lists of the others are exact, so the costs of both ways are known for each size: pairs of shingles to enumerate
-   for a set, or list entries to read. The boundary with the least sum divides small from large sets.
+3. The lists of the others are exact, so the costs of both ways are known for each size: subsets to enumerate and move
+   for a set, or list entries to move and sets in those lists to compare. The boundary with the least sum divides small from large sets.
    Small sets meet in subsets of two shingles, large sets meet all sets in the lists of single shingles. Sets too
    different in size are in groups of their own.
 4. A group never makes all its pairs. Its members are compared with its smallest set, the pivot: sizes first, then parity
@@ -49,6 +49,8 @@ from gridwarden.session import cut_lineage, temporary
 ORDER_BITS = 20
 #: Least bits of the parity map of a set; a map has four times as many bits as its set has shingles, or up to eight.
 PARITY_BITS = 1024
+#: Comparisons of parity maps that cost as much as moving a row.
+COMPARES_A_ROW = 16
 #: Members of an open group that are compared by their parity maps in one task.
 PAIR_UP_TO = 1024
 
@@ -191,8 +193,9 @@ def first_groups(shared: DataFrame, percent: int, boundary: int | None = None) -
     known = cut_lineage(shared.join(counts, "_key").withColumn("_class", _size_class(F.col("_n"))), "jaccard-lists")
     single = F.expr(f"_rank < _n - ({percent} * _n + 99) div 100 + 1")
     if boundary is None:
-        a_set = known.groupBy("_set", "_class").agg(F.count("*").alias("_q"), F.sum(F.when(single, F.col("_m") - 1)).alias("_lists"))
-        costs = a_set.groupBy("_class").agg(F.sum(F.expr("_q * (_q - 1) div 2")).alias("_subsets"), F.sum("_lists").alias("_lists"))
+        # a subset is a row that moves; so is a list entry, and each other set of the list is compared by its map
+        a_set = known.groupBy("_set", "_class").agg(F.count("*").alias("_q"), F.sum(F.when(single, F.col("_m") - 1 + COMPARES_A_ROW)).alias("_lists"))
+        costs = a_set.groupBy("_class").agg(F.sum(F.expr(f"_q * (_q - 1) div 2 * {COMPARES_A_ROW}")).alias("_subsets"), F.sum("_lists").alias("_lists"))
         boundary = choose_boundary([(r["_class"], r["_subsets"] or 0, r["_lists"] or 0) for r in costs.collect()])
     large = F.col("_class") >= boundary
     least = known.filter(large).agg(F.min("_n")).first()[0]
@@ -382,13 +385,18 @@ def linked_components(groups: DataFrame, known: _Known, pair_up_to: int = PAIR_U
             around = cut_lineage(_around_pivots(groups), "jaccard-around")
             pairs = around.filter("a != set").select("a", F.col("set").alias("b")).distinct()
             labels = keep(joined_components(labels, cut_lineage(known.links(pairs), "jaccard-links")), "jaccard-labels")
-            # groups with one pivot are one group now
-            rows = around.select(F.xxhash64("parent", "a").alias("grp"), "a", F.col("set").alias("b")).distinct()
-            rows = _labelled(rows, labels, "b")
-            rows = cut_lineage(rows.join(_several(rows, "grp"), "grp"), "jaccard-open")
-            pairs = known.near_in_groups(rows.filter(F.col("_size") <= pair_up_to))
+            # groups with one pivot are one group, unless that is too large: then each is taken as it is
+            every = around.select(F.xxhash64("parent", "a").alias("merged"), F.col("grp").alias("single"), "a", F.col("set").alias("b"))
+            every = cut_lineage(_labelled(every, labels, "b"), "jaccard-open")
+            merged = every.select(F.col("merged").alias("grp"), "b", "label").distinct()
+            sizes = cut_lineage(_several(merged, "grp"), "jaccard-sizes")
+            few = merged.join(sizes.filter(F.col("_size") <= pair_up_to), "grp")
+            large = every.join(sizes.filter(F.col("_size") > pair_up_to).select(F.col("grp").alias("merged")), "merged").withColumnRenamed("single", "grp")
+            large = cut_lineage(large.join(_several(large, "grp"), "grp"), "jaccard-large")
+            few = few.unionByName(large.filter(F.col("_size") <= pair_up_to).select("grp", "b", "label", "_size"))
+            pairs = known.near_in_groups(few)
             labels = keep(joined_components(labels, cut_lineage(known.links(pairs), "jaccard-links")), "jaccard-labels")
-            many = rows.filter(F.col("_size") > pair_up_to).select("grp", "a", "b")
+            many = large.filter(F.col("_size") > pair_up_to).select(F.col("merged").alias("grp"), "a", "b").distinct()
             many = _labelled(many, labels, "b")
             many = cut_lineage(many.join(_several(many, "grp").select("grp"), "grp", "left_semi"), "jaccard-many")
             if many.isEmpty():
