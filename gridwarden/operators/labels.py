@@ -7,7 +7,7 @@ of the provenance that all samples of a day have in common is written once a day
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -47,13 +47,22 @@ def _keep_labels(df: DataFrame, samples: DataFrame, hazard: str) -> DataFrame:
     return df.select(*kept, F.lit(hazard).alias("hazard_type"), *LABEL_COLUMNS)
 
 
+def _once_per_value(df: DataFrame, inputs: Sequence[str], columns: Mapping[str, Column]) -> DataFrame:
+    """Add columns that depend on ``inputs`` alone, evaluated once per distinct value of these: a name or a shape lasts many days."""
+    key = F.struct(*[F.col(c) for c in inputs])  # structs with equal nulls are equal
+    known = once(df.select(*inputs).distinct(), columns).select(key.alias("_value"), *columns)
+    return df.withColumn("_value", key).join(known, "_value", "left").drop("_value")
+
+
 def flood_events(events: DataFrame, policy: FloodLabelPolicy = FloodLabelPolicy()) -> DataFrame:
     """Daily events with mapping mode, provinces and the source of their geometry."""
     wkt = F.nullif(text("geometry_wkt"), F.lit(""))
     given = F.lower(text("geometry_source")) if "geometry_source" in events.columns else F.lit("")
     point = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     named = [c for c in PROVINCE_COLUMNS if c in events.columns]
-    out = once(_dated(events, "event table"), {"_provinces": resolve_provinces(*named), "_wkt_ok": polygons_from_wkt(wkt).isNotNull()})
+    out = _dated(events, "event table")
+    out = _once_per_value(out, named, {"_provinces": resolve_provinces(*named)})
+    out = _once_per_value(out, ["geometry_wkt"], {"_wkt_ok": polygons_from_wkt(wkt).isNotNull()})
     shaped = F.col("_wkt_ok")
     source = F.when(given != "", given).when(shaped, "source_geometry").when(wkt.isNull() & point, "derived_point_buffer").otherwise("")
     return out.withColumns(
