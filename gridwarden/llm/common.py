@@ -71,6 +71,18 @@ def per_row(
     return chosen.mapInArrow(run, schema)
 
 
+def free_names(taken: Sequence[str], *names: str) -> list[str]:
+    """The names, with underscores before those that a table has already (letters compare in either case)."""
+    known = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in known:
+            name = f"_{name}"
+        known.add(name.lower())
+        out.append(name)
+    return out
+
+
 def drop_columns_of(schema: T.StructType, *names: str) -> list[str]:
     """Names of a schema's columns without the given ones."""
     return [c for c in schema.names if c not in names]

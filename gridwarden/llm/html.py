@@ -13,7 +13,8 @@ Where templates would take all of a page's text, they are kept.
 
 Defined results: null html gives an empty text; a null or odd url counts as host ''; broken markup is read
 as browsers do in the main (implied end tags, unknown end tags ignored, a tag cut by the end dropped);
-repeated rows count once and give repeated rows; an empty table gives no rows.
+repeated rows count once and give repeated rows; an empty table gives no rows; columns beside url and html pass untouched
+if they are kept, whatever their names, but for ``text`` and ``n_chars``, which are made.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from gridwarden.llm.common import SLICE_ROWS, per_row, schema_of
+from gridwarden.llm.common import SLICE_ROWS, free_names, per_row, schema_of
 from gridwarden.session import cut_lineage, temporary
 
 # an unpaired quote counts as a plain sign, and a tag may end with the text, so every attempt ends where the next begins
@@ -61,6 +62,8 @@ _DROP_WORDS = frozenset(
 )
 # Words that may stand next to those in a class name of a box inside an article ("share-buttons", not "social-history").
 _SHELL_WORDS = frozenset("area articles bar block box button buttons container content form icons inner item items links list outer panel posts section signup unit wrap wrapper".split())
+# The same outside an article, where places and pages are named too ("left-sidebar", "main-nav", not "with-sidebar", "ad-hoc").
+_PLACE_WORDS = _SHELL_WORDS | frozenset("banner bottom desktop dropdown fixed global header left main mobile page primary right row secondary site slot sticky sub top user".split())
 _NAMED_BOXES = frozenset("div section ul ol dl table figure".split())
 _HEADER_WORDS = frozenset("header masthead banner topbar".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -81,9 +84,13 @@ _CONTEXT_WORDS = 8
 _CONTEXTS = 3
 
 
+#: Why an element goes: by its tag or role for certain, or by a name or as a form, unless the article is in it.
+_SURE, _LIKELY = 1, 2
+
+
 class Element(NamedTuple):
     tag: str
-    drop: bool
+    drop: int  # 0, _SURE or _LIKELY
     header: bool
     first: int  # its texts are pieces[first:end]
     end: int
@@ -95,19 +102,19 @@ def _sign(tag: str, parts: list[str]) -> int:
 
 
 def _known(tag: str, name: str, value: str, inside: bool) -> set[str]:
-    """Words of a class or id that may tell what an element is.
+    """Words of a class or id that may tell what an element is: those of names known as a whole.
 
-    Inside an article only those of class names of boxes that are known as a whole: text there has names of its own.
+    Inside an article only class names of boxes count: text there has names of its own.
     Headings and sections elsewhere have ids made of their titles, which count if they are a known word as a whole.
     """
-    if inside:
-        if tag not in _NAMED_BOXES or name != "class":
-            return set()
-        tokens = [set(re.findall(r"[a-z0-9]+", t)) for t in value.split()]
-        return {w for t in tokens if t <= _DROP_WORDS | _SHELL_WORDS for w in t & _DROP_WORDS}
+    if inside and (tag not in _NAMED_BOXES or name != "class"):
+        return set()
     if name == "id" and (tag in _HEADINGS or tag in ("p", "section")):
         return {value}
-    return set(re.findall(r"[a-z0-9]+", value))
+    tokens = [set(re.findall(r"[a-z]+", t)) for t in value.split()]
+    if inside:
+        return {w for t in tokens if t <= _DROP_WORDS | _SHELL_WORDS for w in t & _DROP_WORDS}
+    return {w for t in tokens if t <= _DROP_WORDS | _PLACE_WORDS | _HEADER_WORDS for w in t}
 
 
 def parse(html: str) -> tuple[list[str | None], list[Element]]:
@@ -116,7 +123,7 @@ def parse(html: str) -> tuple[list[str | None], list[Element]]:
     done: list[Element] = []
     names: list[str] = []  # open tags
     count: Counter[str] = Counter()
-    opened: list[tuple[bool, bool, int, list[str]]] = []
+    opened: list[tuple[int, bool, int, list[str]]] = []
 
     def put(text: str) -> None:
         if text and not text.isspace():
@@ -173,6 +180,8 @@ def parse(html: str) -> tuple[list[str | None], list[Element]]:
                 close_up_to(("p",), ("article", "aside", "body", "button", "div", "li", "main", "section", "table", "td", "th", "blockquote"))
             if tag in _CLOSES:
                 for _ in _CLOSES[tag]:
+                    if not any(count[t] for t in _CLOSES[tag]):
+                        break
                     close_up_to(_CLOSES[tag], _WALLS.get(tag, ("table",)))
             pieces.append(None)
         if tag in _VOID:
@@ -189,7 +198,9 @@ def parse(html: str) -> tuple[list[str | None], list[Element]]:
                 else:
                     words |= _known(tag, a[1].lower(), value, bool(count["article"] or count["main"]))
         whole = tag in _WHOLE
-        drop = not whole and (tag in _DROP_TAGS or bool(roles & _DROP_ROLES) or bool(words & _DROP_WORDS))
+        sure = (tag in _DROP_TAGS and tag != "form") or bool(roles & (_DROP_ROLES - {"form"}))
+        likely = tag == "form" or "form" in roles or bool(words & _DROP_WORDS)
+        drop = 0 if whole else _SURE if sure else _LIKELY if likely else 0
         header = not whole and (tag == "header" or bool(words & _HEADER_WORDS))
         names.append("main" if "main" in roles and not whole else tag)
         count[names[-1]] += 1
@@ -232,12 +243,32 @@ def _roots(pieces: list, elements: list[Element], gone: bytearray) -> list[Eleme
     return []
 
 
+def _gone(pieces: list, elements: list[Element]) -> bytearray:
+    """What tags, roles and names remove.
+
+    A wrapper is not the menu or notice that its name speaks of: an element that goes by its name, or as a form, stays if all
+    articles with text are in such elements and one is in this. Without articles a form stays that has most of the text, and if
+    nothing is left, names decide nothing.
+    """
+    sure = _marked(pieces, (e for e in elements if e.drop == _SURE))
+    likely = [e for e in elements if e.drop == _LIKELY]
+    gone = _marked(pieces, likely, sure)
+    if not likely or _roots(pieces, elements, gone):
+        return gone
+    held = _marked(pieces, _roots(pieces, elements, sure))
+    if any(held):
+        return _marked(pieces, (e for e in likely if not any(held[e.first : e.end])), sure)
+    kept = list(accumulate((0 if not p or g else len(p.strip()) for p, g in zip(pieces, sure, strict=True)), initial=0))
+    gone = _marked(pieces, (e for e in likely if e.tag != "form" or 2 * (kept[e.end] - kept[e.first]) <= kept[-1]), sure)
+    return gone if any(p and not p.isspace() and not g for p, g in zip(pieces, gone, strict=True)) else sure
+
+
 def _places(pieces: list, elements: list[Element]) -> tuple[list[Element], bytearray, list[tuple[Element, int]]]:
     """Outermost articles, what tags and names remove, and the elements that may be templates with their signs there.
 
     Inside an article these are boxes. Elsewhere a heading goes only with the box around it.
     """
-    gone = _marked(pieces, (e for e in elements if e.drop))
+    gone = _gone(pieces, elements)
     roots = _roots(pieces, elements, gone)
     held = list(accumulate(_marked(pieces, roots), initial=0))
     out = []
@@ -374,10 +405,11 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", ke
     with temporary(pages.sparkSession) as keep_stored:
         subtrees = cut_lineage(page_subtrees(pages, url, html), "page-subtrees")
         templates = site_templates(subtrees, **options).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        host_, page_, templates_ = free_names(pages.columns, "_host", "_page", "_templates")
         open_ = subtrees.filter("open").select("host", "page", "sign").distinct().withColumn("_salt", F.pmod(F.col("page"), F.lit(_SALTS)).cast("int"))
-        found = open_.join(templates, ["host", "sign", "_salt"], "left_semi").groupBy(F.col("host").alias("_host"), F.col("page").alias("_page"))
-        found = keep_stored(found.agg(F.sort_array(F.collect_list("sign")).alias("_templates")), "page-templates")
-    rows = pages.withColumns({"_host": host_of(F.col(f"`{url}`")), "_page": _page(html)}).join(found, ["_host", "_page"], "left")
+        found = open_.join(templates, ["host", "sign", "_salt"], "left_semi").groupBy(F.col("host").alias(host_), F.col("page").alias(page_))
+        found = keep_stored(found.agg(F.sort_array(F.collect_list("sign")).alias(templates_)), "page-templates")
+    rows = pages.withColumns({host_: host_of(F.col(f"`{url}`")), page_: _page(html)}).join(found, [host_, page_], "left")
 
     def setup():
         def one(value, templates):
@@ -386,4 +418,4 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", ke
 
         return lambda htmls, templates: list(zip(*map(one, htmls, templates), strict=True)) or [[], []]
 
-    return per_row(rows, setup, "text string, n_chars long", [html, "_templates"], keep)
+    return per_row(rows, setup, "text string, n_chars long", [html, templates_], keep)

@@ -276,3 +276,54 @@ def test_stages_take_odd_rows(spark):
     for name, f in corpus_pipeline.STAGES:
         empty = corpus_pipeline.cut_lineage(f(spark, empty, SF), name)
         assert empty.count() == 0
+
+
+def test_wrappers_with_names_of_boxes_keep_their_text():
+    for page in (
+        '<div class="page with-sidebar"><article><p>Hello</p></article></div>',
+        '<div class="content no-sidebar"><p>Hello</p></div>',
+        '<div id="ad-hoc"><p>Hello</p></div>',
+        '<form id="aspnetForm"><main><p>Hello</p></main></form>',
+        '<div class="sidebar"><article><p>Hello</p></article></div>',
+        '<div>Top</div><form><div><p>Hello there, this is the long text</p></div></form>',
+        '<div class="social"><p>Hello</p></div>',
+    ):
+        assert "Hello" in html.main_text(page), page
+    for page in (
+        '<article><p>Hello</p></article><div class="main-nav">x</div><div class="left-sidebar"><article>x</article></div><form>x</form>',
+        '<p>Hello</p><div class="cookie-notice">x</div><div id="comments"><p>x</p></div><div class="footer-links">x</div>',
+        '<p>Hello</p><aside><article>x</article></aside><div class="share-buttons">x</div><form><input>x</form>',
+    ):
+        assert html.main_text(page) == "Hello", page
+
+
+def test_deep_open_elements_are_not_walked_again_and_again():
+    import time
+
+    start = time.time()
+    html.main_text("<b>" * 20_000 + "<dt>a" * 2_000)
+    assert time.time() - start < 3
+
+
+def test_kept_columns_have_any_name(spark):
+    df = spark.createDataFrame([(1, "http://h/", "<p>a</p>", ["t"], "own", 5)], "page_id long, url string, html string, _templates array<string>, _host string, _page int")
+    row = html.extract_main_text(df, keep=("page_id", "_templates", "_host", "_page")).first()
+    assert tuple(row) == (1, ["t"], "own", 5, "a", 1)
+
+
+def test_repeated_ids_with_other_texts_in_any_order(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, b), (5, a), (3, a + " z"), (9, b + " z"), (7, "else"), (5, None)]
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        df = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect())
+        assert got == [(3, 60, 3, True), (5, 0, 5, True), (5, 59, 3, False), (5, 59, 3, False), (7, 1, 7, True), (9, 60, 3, False)]
+
+
+def test_pipeline_leaves_columns_with_names_of_made_ones(spark):
+    text = " ".join(["the quick brown fox jumps over the lazy dog and runs home"] * 5)
+    rows = [(i, f"{text} mail bob{i}@example.org", "en", "s", 5, 77.0, "mine", "own") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, masked string")
+    for stage in (corpus_pipeline.keep_known_language, corpus_pipeline.mask_personal_data):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and {tuple(r)[5:] for r in out.collect()} == {(77.0, "mine", "own")}
