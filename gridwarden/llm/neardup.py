@@ -18,12 +18,13 @@ Links are missed only if no band key agrees (0.8^7 in 48 bands: about one pair i
 threshold, far fewer above it) or by ``miss``.
 
 Defined results: a null or blank text has an empty set, links with nothing and is kept; a null id links
-with nothing, has a null component and is kept; rows that repeat an id are one document; an empty table gives no
-rows.
+with nothing, has a null component and is kept; rows that repeat an id are one document, whatever their texts and
+order; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from hashlib import blake2b
 from math import comb
 
@@ -42,8 +43,8 @@ BANDS, ROWS = 48, 7
 SIGNATURE, STEP = 128, 32
 
 
-def signatures(df: DataFrame, doc_id: str, text: str, size: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """_id, _n (distinct shingles), _digest of the set, _keys (one a band), _signature (16 bits of each of the first minima)."""
+def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS, keep: Sequence[str] = ("_id",)) -> DataFrame:
+    """The kept columns of rows with a ``_text``, _n (distinct shingles), _digest of the set, _keys (one a band), _signature (16 bits of each of the first minima)."""
 
     def setup():
         a, b = hash_family(bands * rows, 7)
@@ -68,8 +69,7 @@ def signatures(df: DataFrame, doc_id: str, text: str, size: int, bands: int = BA
 
         return fn
 
-    named = df.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("_text"))
-    return per_row(named, setup, "_n long, _digest binary, _keys array<long>, _signature binary", ["_text"], ["_id"])
+    return per_row(docs, setup, "_n long, _digest binary, _keys array<long>, _signature binary", ["_text"], keep)
 
 
 def fewest_matches(share: float, miss: float, signature: int = SIGNATURE, step: int = STEP) -> list[int]:
@@ -266,17 +266,23 @@ def links(known: DataFrame, every: DataFrame, docs: DataFrame, size: int, percen
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 2, percent: int = 80, miss: float = 1e-6) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``df``."""
     with temporary(df.sparkSession) as keep:
-        docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("_text"))
-        every = cut_lineage(signatures(df, doc_id, text, size), "near-signatures")
-        counted = every.filter("_n > 0 and _id is not null").groupBy("_digest").agg(F.min("_id").alias("_first"), F.count("*").alias("_copies"))
-        copies = cut_lineage(counted.filter("_copies > 1").select("_digest", "_first"), "near-copies")
+        doc = F.col(f"`{doc_id}`").cast("long")
+        # a row is known by its id and text together: rows may repeat an id with another text
+        node = F.when(doc.isNotNull(), F.xxhash64(doc, F.col(f"`{text}`")))
+        docs = df.select(node.alias("_id"), doc.alias("_doc"), F.col(f"`{text}`").alias("_text"))
+        every = cut_lineage(signatures(docs, size, keep=("_id", "_doc")), "near-signatures")
+        counted = every.filter("_n > 0 and _id is not null").groupBy("_digest").agg(F.min("_id").alias("_first"), F.min("_id").alias("_low"), F.max("_id").alias("_high"))
+        copies = cut_lineage(counted.filter("_low != _high").select("_digest", "_first"), "near-copies")
         known = every.join(copies, "_digest", "left").withColumn("_rep", F.coalesce("_first", "_id"))
-        labels = links(known.filter("_n > 0 and _id = _rep"), every.filter("_n > 0"), docs, size, percent, miss)
-        # rows that repeat an id with other texts join that id's classes
-        repeated = every.filter("_n > 0 and _id is not null").groupBy("_id").agg(F.count("*").alias("_times")).filter("_times > 1").select("_id")
-        extra = cut_lineage(known.join(repeated, "_id", "left_semi").filter("_n > 0 and _id != _rep").select(F.col("_id").alias("a"), F.col("_rep").alias("b")).distinct(), "near-repeats")
+        labels = links(known.filter("_n > 0 and _id = _rep"), every.filter("_n > 0"), docs.select("_id", "_text"), size, percent, miss)
+        # texts of one id are one document
+        named = known.select("_doc", "_id", "_n", F.when(F.col("_n") > 0, F.col("_rep")).alias("_rep"))
+        repeated = named.filter("_doc is not null").groupBy("_doc").agg(F.min("_rep").alias("_low"), F.max("_rep").alias("_high")).filter("_low != _high")
+        extra = cut_lineage(named.join(repeated, "_doc").filter("_rep != _low").select(F.col("_low").alias("a"), F.col("_rep").alias("b")).distinct(), "near-repeats")
         labels = joined_components(labels, extra)
-        named = known.select("_id", "_n", "_rep").join(labels.withColumnRenamed("node", "_rep"), "_rep", "left")
-        component = F.when((F.col("_n") > 0) & F.col("_id").isNotNull(), F.coalesce("component", "_rep")).otherwise(F.col("_id"))
-        out = named.select(F.col("_id").alias(doc_id), F.col("_n").alias("n_shingles"), component.alias("component_id"))
+        named = named.join(labels.withColumnRenamed("node", "_rep"), "_rep", "left").withColumn("_label", F.coalesce("component", "_rep"))
+        named = cut_lineage(named.select("_doc", "_n", "_label"), "near-labelled")
+        smallest = named.filter("_doc is not null and _label is not null").groupBy("_label").agg(F.min("_doc").alias("_least"))
+        component = F.when(F.col("_doc").isNotNull(), F.coalesce("_least", "_doc"))
+        out = named.join(smallest, "_label", "left").select(F.col("_doc").alias(doc_id), F.col("_n").alias("n_shingles"), component.alias("component_id"))
         return keep(out.withColumn("kept", F.coalesce(F.col(f"`{doc_id}`") == F.col("component_id"), F.lit(True))), "near-result")
