@@ -44,7 +44,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_CHUNK = re.compile(r"(?<![0-9A-Za-z])\+?\(?[0-9](?:[\x20().:/-]{0,2}[0-9])*+(?![0-9A-Za-z])")
+# a chunk that a letter follows is none, nor is any part of it: it is passed over as a whole, so none is read twice
+_CHUNK = re.compile(r"(?<![0-9A-Za-z])\+?\(?[0-9](?:[\x20().:/-]{0,2}[0-9])*+")
+_LETTER = re.compile(r"[0-9A-Za-z]")
 _AT = re.compile(r"[^\s@]{0,64}@[^\s@]{1,255}")
 
 
@@ -117,7 +119,7 @@ def nodes_of(text: str, base: Sequence[tuple[str, int, int]]) -> list[tuple[int,
     for a, b, label in held:  # of spans that overlap, the first stands for both
         if not kept or a >= kept[-1][1]:
             kept.append((a, b, label))
-    found = [m.span() for m in _CHUNK.finditer(text) if m.end() - m.start() >= 7] if _DIGIT.search(text) else []
+    found = [m.span() for m in _CHUNK.finditer(text) if m.end() - m.start() >= 7 and not _LETTER.match(text, m.end())] if _DIGIT.search(text) else []
     if "@" in text:
         found += [m.span() for m in _AT.finditer(text)]
     out, i, end = list(kept), 0, -1

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import pandas as pd
@@ -274,3 +275,19 @@ def test_damaged_files_give_an_error_row(spark):
     df = spark.createDataFrame(pd.DataFrame({"doc_id": [1, 2, 3, 4, 5], "content": [good, bytes(loop), b"", b"II*\0\xff\xff\0\0", None]}), "doc_id long, content binary")
     out = {(r["doc_id"], r["page"]): r["error"] for r in tiff.tiff_pages(df).collect()}
     assert out[1, 0] is None and out[1, 1] is None and "loop" in out[2, None] and out[3, None] and out[4, None] and 5 not in {k for k, _ in out}
+
+
+def test_chunks_before_a_letter_are_read_once():
+    import time
+
+    from gridwarden.llm import pii
+
+    plain = re.compile(r"(?<![0-9A-Za-z])\+?\(?[0-9](?:[\x20().:/-]{0,2}[0-9])*+(?![0-9A-Za-z])")
+    r = random.Random(4)
+    for _ in range(2000):
+        text = "".join(r.choice("0123 .-(+a/") for _ in range(r.randint(0, 60)))
+        assert [m.span() for m in pii._CHUNK.finditer(text) if not pii._LETTER.match(text, m.end())] == [m.span() for m in plain.finditer(text)]
+    start = time.time()
+    pii.base_spans("1 " * 1_000_000 + "1a")
+    assert not [m for m in pii._CHUNK.finditer("1 " * 1_000_000 + "1a") if not pii._LETTER.match("1 " * 1_000_000 + "1a", m.end())]
+    assert time.time() - start < 5
