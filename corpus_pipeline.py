@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwarden.llm.bpe import bpe_round_trip
-from gridwarden.llm.common import drop_columns_of, read
+from gridwarden.llm.common import drop_columns_of, free_names, read
 from gridwarden.llm.decontaminate import contaminated
 from gridwarden.llm.language import UNKNOWN, identify, learn_profiles
 from gridwarden.llm.neardup import near_duplicates
@@ -33,10 +33,18 @@ def _without(docs: DataFrame, ids: DataFrame, purpose: str) -> DataFrame:
     return docs.join(cut_lineage(ids.select("doc_id").distinct(), purpose), "doc_id", "left_anti").select(*docs.columns)
 
 
+def _aside(docs: DataFrame, *made: str) -> tuple[DataFrame, dict[str, str]]:
+    """Columns that have the names of made ones under other names, and how to name them again."""
+    clash = [c for c in docs.columns if c.lower() in {m.lower() for m in made}]
+    other = dict(zip(clash, free_names([*docs.columns, *made], *[f"kept_{c}" for c in clash]), strict=True))
+    return docs.withColumnsRenamed(other), {o: c for c, o in other.items()}
+
+
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in one of the languages learned from the table itself; others and texts without a letter go."""
-    found = identify(docs, learn_profiles(docs), keep=docs.columns)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    safe, names = _aside(docs, "lang_pred", "score")
+    found = identify(safe, learn_profiles(docs), keep=safe.columns)
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*safe.columns).withColumnsRenamed(names)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +60,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind in brackets; n_chars follows the text."""
-    found = find_personal_data(docs, keep=drop_columns_of(docs.schema, "text", "n_chars"), with_masked=True)
-    return found.withColumn("text", F.col("masked")).withColumn("n_chars", F.char_length("masked").cast("long")).select(*docs.columns)
+    safe, names = _aside(docs, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "masked")
+    found = find_personal_data(safe, keep=drop_columns_of(safe.schema, "text", "n_chars"), with_masked=True)
+    found = found.withColumn("text", F.col("masked")).withColumn("n_chars", F.char_length("masked").cast("long"))
+    return found.select(*safe.columns).withColumnsRenamed(names)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
