@@ -58,7 +58,7 @@ def normalize_coords(df: DataFrame, box: Box = DOMAIN_BOX, wrap: str = "signed")
     """Rename coordinate aliases, undo swapped axes, wrap longitudes.
 
     ``signed`` moves longitudes above 180 to -180..180; ``positive`` moves negative ones to 0..360. The
-    swap test needs the coordinate ranges, one small aggregate over two columns.
+    swap test needs the coordinate ranges: a one-row aggregate that is part of the plan, so nothing runs before the result is asked for.
     """
     renames = {}
     for target, names in (
@@ -77,10 +77,11 @@ def normalize_coords(df: DataFrame, box: Box = DOMAIN_BOX, wrap: str = "signed")
         return out
     ranges = out.agg(
         F.min("latitude").alias("a"), F.max("latitude").alias("b"), F.min("longitude").alias("c"), F.max("longitude").alias("d")
-    ).first()
-    if ranges["a"] is not None and _looks_swapped(ranges, box):
-        crossed = {"latitude": "longitude", "longitude": "latitude"}
-        out = out.select(*[F.col(c).alias(crossed.get(c, c)) for c in out.columns])
+    )
+    ranges = ranges.select(F.lit(1).alias("_one"), F.coalesce(_looks_swapped(box), F.lit(False)).alias("_swapped"))
+    out = out.withColumn("_one", F.lit(1)).join(F.broadcast(ranges), "_one")
+    crossed = {"latitude": "longitude", "longitude": "latitude"}
+    out = out.select(*[F.when(F.col("_swapped"), F.col(crossed[c])).otherwise(F.col(c)).alias(c) if c in crossed else c for c in out.columns if c not in ("_one", "_swapped")])
     lon = F.col("longitude")
     if wrap == "positive":
         wrapped = F.when(lon < 0, F.pmod(lon, F.lit(360.0))).otherwise(lon)
@@ -89,14 +90,14 @@ def normalize_coords(df: DataFrame, box: Box = DOMAIN_BOX, wrap: str = "signed")
     return out.withColumn("longitude", wrapped)
 
 
-def _looks_swapped(ranges, box: Box) -> bool:
-    def overlaps(low: float, high: float, a: float, b: float) -> bool:
-        return low <= b and high >= a
+def _looks_swapped(box: Box) -> Column:
+    """From the ranges a..b of latitudes and c..d of longitudes: they miss the box, and fit it the other way round."""
+
+    def overlaps(low: str, high: str, a: float, b: float) -> Column:
+        return (F.col(low) <= b) & (F.col(high) >= a)
 
-    lat_ok = overlaps(ranges["a"], ranges["b"], box[0], box[2])
-    lon_ok = overlaps(ranges["c"], ranges["d"], box[1], box[3])
-    crossed = overlaps(ranges["a"], ranges["b"], box[1], box[3]) and overlaps(ranges["c"], ranges["d"], box[0], box[2])
-    return (not lat_ok or not lon_ok) and crossed
+    fits = overlaps("a", "b", box[0], box[2]) & overlaps("c", "d", box[1], box[3])
+    return ~fits & overlaps("a", "b", box[1], box[3]) & overlaps("c", "d", box[0], box[2])
 
 
 def sanitize(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -226,13 +226,19 @@ def expected_hours(cadence_hours: int) -> list[int]:
 
 
 def completeness_audit(
-    df: DataFrame, variables: Sequence[str], cadence_hours: int, start: str | None = None, end: str | None = None
+    df: DataFrame, variables: Sequence[str], cadence_hours: int, start: str | None = None, end: str | None = None, levels: Mapping[str, Sequence[int]] | None = None
 ) -> dict[str, DataFrame]:
     """Compare (time, variable) rows with a calendar of days x hours x variables.
 
     Present keys are reduced before anything is joined. The calendar covers the given days or, by
     default, the span of the data. Returns missing keys, unexpected hours, hour counts per day and range.
+
+    With ``levels`` rows have a ``level`` too: variables named there are expected at each of their levels, all
+    others without one. Hours are then judged apart for rows with and without a level (``on_levels``), and days outside
+    the given ones are listed as ``extra_days``.
     """
+    if levels is not None:
+        return _completeness_of_levels(df, variables, expected_hours(cadence_hours), levels, start, end)
     hours = expected_hours(cadence_hours)
     present = df.select(F.to_date("time").alias("date"), F.hour("time").alias("hour"), "variable").distinct()
     span = present.agg(
@@ -252,6 +258,35 @@ def completeness_audit(
     }
 
 
+def _completeness_of_levels(
+    df: DataFrame, variables: Sequence[str], hours: Sequence[int], levels: Mapping[str, Sequence[int]], start: str | None, end: str | None
+) -> dict[str, DataFrame]:
+    """The audit of variables on levels and at the surface; a day counts as present if it has both kinds."""
+    level = F.col("level").cast("int")
+    present = df.select(F.to_date("time").alias("date"), F.hour("time").alias("hour"), "variable", F.coalesce(level, F.lit(-1)).alias("level")).distinct()
+    kind = (F.col("level") >= 0).alias("on_levels")
+    span = present.agg(F.coalesce(F.to_date(F.lit(start)), F.min("date")).alias("a"), F.coalesce(F.to_date(F.lit(end)), F.max("date")).alias("b"))
+    days = span.select(F.explode(F.sequence("a", "b")).alias("date"))
+    wanted = [(v, n) for v in variables for n in levels.get(v, (-1,))]
+    fields = F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.lit(n).alias("level")) for v, n in wanted])).alias("_f")
+    expected = days.select("date", F.explode(F.array(*[F.lit(h) for h in hours])).alias("hour")).select("date", "hour", fields).select("date", "hour", "_f.*")
+    kinds = {v in levels for v in variables}
+    seen = present.select("date", "hour", kind).distinct()
+    whole = seen.groupBy("date").agg(F.count_distinct("on_levels").alias("_kinds")).filter(F.col("_kinds") >= len(kinds))
+    # days without one of the kinds are missing as a whole and not listed field by field
+    missing = expected.join(whole.select("date"), "date", "left_semi").join(present, ["date", "hour", "variable", "level"], "left_anti")
+    per_day = seen.join(days, "date", "left_semi").groupBy("date", "on_levels").agg(F.count("*").alias("hours"))
+    ranges = df.groupBy(level.isNotNull().alias("on_levels")).agg(F.min("time").alias("start"), F.max("time").alias("end"))
+    return {
+        "missing": missing.withColumn("level", F.nullif("level", F.lit(-1))),
+        "missing_days": days.join(whole, "date", "left_anti"),
+        "extra_days": seen.select("date", "on_levels").distinct().join(days, "date", "left_anti"),
+        "unexpected_hours": seen.filter(~F.col("hour").isin(*hours)),
+        "hour_counts": per_day.groupBy("on_levels", "hours").agg(F.count("*").alias("days")),
+        "range": ranges,
+    }
+
+
 def stats_window_check(recorded: DataFrame, step_hours: int) -> DataFrame:
     """Recorded sample counts against the count a window ``[start, end]`` at a step must hold."""
     seconds = F.unix_timestamp(F.col("end").cast("timestamp")) - F.unix_timestamp(F.col("start").cast("timestamp"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,10 +50,15 @@ def export_range(spark: SparkSession, path: str, start: str, end: str) -> DataFr
     return spark.read.parquet(path).filter(F.col("date").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
 
 
-def build_manifest(requested: DataFrame, built: DataFrame, existing: DataFrame | None = None, kind: str = "indicator_table") -> DataFrame:
-    """One row per requested day: exists (before the run), ok (built now) or error (neither)."""
+def build_manifest(requested: DataFrame, built: DataFrame, existing: DataFrame | None = None, kind: str = "indicator_table", facts: Sequence[str] = ()) -> DataFrame:
+    """One row per requested day: exists (before the run), ok (built now) or error (neither).
+
+    ``metadata`` is a JSON object: for days built now their rows and, for each column in ``facts`` (such as the sources
+    used), its distinct values; empty for others.
+    """
     days = requested.select("date").distinct()
-    now = built.select("date").distinct().withColumn("_new", F.lit(True))
+    told = F.to_json(F.struct(F.count("*").alias("rows"), *[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in facts]))
+    now = built.groupBy("date").agg(told.alias("_told")).withColumn("_new", F.lit(True))
     out = days.join(now, "date", "left")
     if existing is not None:
         out = out.join(existing.select("date").distinct().withColumn("_old", F.lit(True)), "date", "left")
@@ -60,7 +66,7 @@ def build_manifest(requested: DataFrame, built: DataFrame, existing: DataFrame |
         out = out.withColumn("_old", F.lit(None).cast("boolean"))
     status = F.when(F.col("_old"), "exists").when(F.col("_new"), "ok").otherwise("error")
     detail = F.when(F.col("_old"), "kept stored day").when(F.col("_new"), "built").otherwise("no input for day")
-    return out.select(F.lit(kind).alias("kind"), F.col("date").cast("string").alias("identifier"), status.alias("status"), detail.alias("detail"))
+    return out.select(F.lit(kind).alias("kind"), F.col("date").cast("string").alias("identifier"), status.alias("status"), detail.alias("detail"), F.when(status == "ok", F.col("_told")).otherwise("{}").alias("metadata"))
 
 
 def missing_days(requested: DataFrame, existing: DataFrame) -> DataFrame:

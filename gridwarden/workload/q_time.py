@@ -210,6 +210,50 @@ def _(t):
     return hours.unionByName(extra).unionByName(gone).unionByName(span)
 
 
+_LEVEL_OF = "CASE WHEN event_type IN ('view', 'click') THEN CASE event_id % 3 WHEN 0 THEN 850 WHEN 1 THEN 500 ELSE 300 END END"
+_LEVEL_AUDIT = f"""x AS (SELECT DISTINCT date, CAST(hour(time) AS INT) AS hour, event_type AS variable, coalesce({_LEVEL_OF}, -1) AS level FROM obs),
+dd AS (SELECT CAST(unnest(generate_series(min(date) + 1, max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM obs),
+seen AS (SELECT DISTINCT date, hour, level >= 0 AS on_levels FROM x), whole AS (SELECT date FROM seen GROUP BY 1 HAVING count(DISTINCT on_levels) >= 2)"""
+
+
+def level_audit(t):
+    rows = t.obs.withColumn("level", F.expr(_LEVEL_OF)).withColumnRenamed("event_type", "variable")
+    first = t.obs.agg(F.date_add(F.min("date"), 1).cast("string")).first()[0]
+    return tm.completeness_audit(rows, ["view", "click", "purchase", "radar"], 6, first, levels={"view": (850, 500), "click": (850, 500)})
+
+
+@query(
+    "completeness_levels_missing",
+    ("obs",),
+    f"""WITH {_LEVEL_AUDIT}, e AS (SELECT dd.date, h.hour, f.variable, f.level FROM dd JOIN whole w ON w.date = dd.date CROSS JOIN (VALUES (0), (6), (12), (18)) h(hour)
+      CROSS JOIN (VALUES ('view', 850), ('view', 500), ('click', 850), ('click', 500), ('purchase', -1), ('radar', -1)) f(variable, level))
+    SELECT CAST(e.date AS STRING) AS date, e.hour, e.variable, nullif(e.level, -1) AS level FROM e LEFT JOIN x ON x.date = e.date AND x.hour = e.hour AND x.variable = e.variable AND x.level = e.level WHERE x.date IS NULL""",
+)
+def _(t):
+    return level_audit(t)["missing"].withColumn("date", day("date"))
+
+
+@query(
+    "completeness_levels_summary",
+    ("obs",),
+    f"""WITH {_LEVEL_AUDIT}, h AS (SELECT s.date, s.on_levels, count(*) AS hours FROM seen s JOIN dd ON dd.date = s.date GROUP BY 1, 2)
+    SELECT 'hours' AS kind, concat(CAST(on_levels AS STRING), ' ', CAST(hours AS STRING)) AS name, count(*) AS n FROM h GROUP BY 2
+    UNION ALL SELECT 'unexpected', concat(CAST(on_levels AS STRING), ' ', CAST(hour AS STRING)), count(*) FROM seen WHERE hour NOT IN (0, 6, 12, 18) GROUP BY 2
+    UNION ALL SELECT 'missing_days', '', (SELECT count(*) FROM dd WHERE date NOT IN (SELECT date FROM whole))
+    UNION ALL SELECT 'extra_days', CAST(on_levels AS STRING), count(DISTINCT date) FROM seen WHERE date NOT IN (SELECT date FROM dd) GROUP BY 2
+    UNION ALL SELECT 'range', concat(CAST({_LEVEL_OF} IS NOT NULL AS STRING), ' ', CAST(min(time) AS STRING), ' ', CAST(max(time) AS STRING)), 1 FROM obs GROUP BY {_LEVEL_OF} IS NOT NULL""",
+)
+def _(t):
+    out = level_audit(t)
+    on, said = F.col("on_levels").cast("string"), lambda kind, df, *name: df.select(F.lit(kind).alias("kind"), F.concat_ws(" ", *name).alias("name"), "n")
+    hours = said("hours", out["hour_counts"].withColumnRenamed("days", "n"), on, F.col("hours").cast("string"))
+    extra = said("unexpected", out["unexpected_hours"].groupBy("on_levels", "hour").agg(F.count("*").alias("n")), on, F.col("hour").cast("string"))
+    gone = said("missing_days", out["missing_days"].agg(F.count("*").alias("n")), F.lit(""))
+    more = said("extra_days", out["extra_days"].groupBy("on_levels").agg(F.count("*").alias("n")), on)
+    span = said("range", out["range"].withColumn("n", F.lit(1)), on, F.col("start").cast("string"), F.col("end").cast("string"))
+    return hours.unionByName(extra).unionByName(gone).unionByName(more).unionByName(span)
+
+
 @query(
     "stats_window_check",
     ("obs",),
