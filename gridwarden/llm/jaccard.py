@@ -47,12 +47,12 @@ from gridwarden.session import cut_lineage, temporary
 
 #: Counters of the table that gives the order, by the first bits of a shingle.
 ORDER_BITS = 20
-#: Least bits of the parity map of a set; a map has four times as many bits as its set has shingles, or up to eight.
-PARITY_BITS = 1024
+#: Least bits of the parity map of a set; a map has as many bits as its set has shingles, or up to twice as many.
+PARITY_BITS = 512
 #: Comparisons of parity maps that cost as much as moving a row.
 COMPARES_A_ROW = 16
 #: Members of an open group that are compared by their parity maps in one task.
-PAIR_UP_TO = 1024
+PAIR_UP_TO = 4096
 
 
 def _sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
@@ -68,7 +68,7 @@ def _name(numbers: np.ndarray) -> int:
 
 def _parity(numbers: np.ndarray) -> bytes:
     """Whether each residue occurs an odd number of times."""
-    bits = max(PARITY_BITS, 1 << (4 * len(numbers) - 1).bit_length()) if len(numbers) else PARITY_BITS
+    bits = max(PARITY_BITS, 1 << (len(numbers) - 1).bit_length()) if len(numbers) else PARITY_BITS
     return np.packbits(np.bincount((numbers & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
@@ -210,7 +210,8 @@ def first_groups(shared: DataFrame, percent: int, boundary: int | None = None) -
     placed = placed.withColumn("_band", band).withColumn("parent", F.explode(F.array(F.col("_band"), F.col("_band") - 1)))
     placed = placed.select("parent", F.xxhash64("_kind", "_key", "parent").alias("grp"), "set", "n", "_large", (F.col("_band") == F.col("parent")).alias("_own"))
     met = placed.groupBy("grp").agg(F.min("set").alias("_low"), F.max("set").alias("_high"), F.max("_own").alias("_any"), F.max("_large").alias("_one")).filter("_low != _high and _any and _one")
-    return placed.join(met.select("grp"), "grp").select("parent", "grp", "set", "n").distinct()
+    met = cut_lineage(met.select("grp"), "jaccard-met")
+    return likely_among(placed, "grp", met).join(met, "grp").select("parent", "grp", "set", "n").distinct()
 
 
 class _Known:
@@ -360,6 +361,17 @@ def _around_pivots(groups: DataFrame) -> DataFrame:
     return groups.join(over, ["parent", "grp"]).select("parent", "grp", "a", "set", "n")
 
 
+def _to_centres(around: DataFrame) -> DataFrame:
+    """Pairs of each member with the member that is in the most groups around its pivot: often the text that others were made from.
+
+    They prove nothing about the others, but most links of near copies are among them, and fewer groups stay open.
+    """
+    degree = around.groupBy("parent", "a", "set").agg(F.count("*").alias("_degree"))
+    centre = degree.groupBy("parent", "a").agg(F.max(F.struct("_degree", "set")).alias("_c")).select("parent", "a", F.col("_c.set").alias("_centre"))
+    met = degree.join(centre, ["parent", "a"]).filter("set != _centre")
+    return met.select(F.least("set", "_centre").alias("a"), F.greatest("set", "_centre").alias("b"))
+
+
 def _regrouped(beyond: DataFrame, percent: int) -> DataFrame:
     """New groups (parent, grp, set, n) of what members of open groups share beyond the pivot."""
     least_y = f"greatest(na, ({percent} * n + 99) div 100)"
@@ -383,7 +395,7 @@ def linked_components(groups: DataFrame, known: _Known, pair_up_to: int = PAIR_U
     while not groups.isEmpty():
         with temporary(spark) as keep:
             around = cut_lineage(_around_pivots(groups), "jaccard-around")
-            pairs = around.filter("a != set").select("a", F.col("set").alias("b")).distinct()
+            pairs = around.filter("a != set").select("a", F.col("set").alias("b")).union(_to_centres(around)).distinct()
             labels = keep(joined_components(labels, cut_lineage(known.links(pairs), "jaccard-links")), "jaccard-labels")
             # groups with one pivot are one group, unless that is too large: then each is taken as it is
             every = around.select(F.xxhash64("parent", "a").alias("merged"), F.col("grp").alias("single"), "a", F.col("set").alias("b"))
