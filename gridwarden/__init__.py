@@ -1,4 +1,4 @@
-"""Spark-native hazard analytics over long weather grids."""
+"""Spark-native hazard analytics over long tables of gridded fields."""
 
 from gridwarden.session import build_session, shared_dir, tune
 

@@ -13,6 +13,8 @@ from gridwarden.operators import labels as lb
 from gridwarden.operators import training as tr
 from gridwarden.plans import modelling as ml
 from gridwarden.plans import supervised as sv
+from gridwarden.session import shared_dir
+from gridwarden.sources import snapshots as sn
 from gridwarden.workload import q_events as qe
 from gridwarden.workload.registry import day, joined, query, r
 from gridwarden.workload.q_risk import KEEP, RISKS, _LEVEL
@@ -219,6 +221,37 @@ def _(t):
     )
 
 
+@query(
+    "hazard_training_tables_incremental",
+    ("grid_day",),
+    """SELECT 'extreme_heat' AS hazard_type, count(*) AS n, round(avg(least(rh2m, 100)), 5) AS humidity, NULL AS aod, 1 AS rewritten FROM grid_day
+    UNION ALL SELECT 'dust_storm', count(*), NULL, round(avg(dust_aod), 5), 1 FROM grid_day WHERE dust_aod IS NOT NULL AND dust_surface_mass IS NOT NULL
+    UNION ALL SELECT 'flash_flood', count(*), NULL, NULL, 1 FROM grid_day""",
+)
+def _(t):
+    """The table as files, one of them first with other values: the second run rewrites that file's part alone."""
+    source, path = shared_dir(t.spark, "source"), shared_dir(t.spark, "snapshots")
+    days = t.grid_day.drop("row_id", "l_orderkey", "source_file")
+    schema = days.schema
+
+    def write(k, rows):
+        rows.filter(F.col("l_linenumber") == k).coalesce(1).write.mode("overwrite").parquet(f"{source}/line={k}")
+
+    for k in range(1, 8):
+        write(k, days.withColumn("rh2m", F.col("rh2m") + 1) if k == 3 else days)
+    build = lambda rows: tr.hazard_training_tables(rows, ["extreme_heat", "dust_storm", "flash_flood"], ["date", "latitude", "longitude", "source_file"])
+    sn.update_from_files(t.spark, path, source, build, schema)
+    write(3, days)
+    version = sn.update_from_files(t.spark, path, source, build, schema)["version"]
+    # the old file's part goes, the new file's part comes
+    rewritten = sn.parts_of(t.spark, path, version).exceptAll(sn.parts_of(t.spark, path, version - 1)).agg(F.count("*").cast("int").alias("rewritten"))
+    f = F.col("features")
+    out = sn.read_snapshot(t.spark, path).groupBy("hazard_type").agg(
+        F.count("*").alias("n"), r(F.avg(F.try_element_at(f, F.lit("relative_humidity_percent"))), 5).alias("humidity"), r(F.avg(F.try_element_at(f, F.lit("dust_aod"))), 5).alias("aod")
+    )
+    return out.withColumn("_one", F.lit(1)).join(F.broadcast(rewritten.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
 @query(
     "label_passthrough",
     USES,

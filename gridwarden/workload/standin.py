@@ -1,4 +1,4 @@
-"""Driver tables projected onto weather layouts.
+"""Driver tables projected onto layouts of gridded fields.
 
 The given tables hold no grids, so each layout below is a plain projection of one of them, written in SQL
 that Spark and other engines read alike. Operators never mention these tables; only the registered
