@@ -115,6 +115,30 @@ def _(t):
     return out.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
+#: Kinds and numbers of a sample with as many negatives as positives, from rows ``hl``: near misses before background.
+_BALANCED = """, c AS (SELECT count(CASE WHEN label_status = 'positive' THEN 1 END) AS p, count(CASE WHEN label_source_mode = 'outside_event_region' THEN 1 END) AS i,
+      count(CASE WHEN label_source_mode = 'no_event_day' THEN 1 END) AS b FROM hl)
+    SELECT 'positive' AS kind, p AS n FROM c UNION ALL SELECT 'outside_event_region', least(i, p) FROM c WHERE least(i, p) > 0 UNION ALL SELECT 'no_event_day', least(b, p - least(i, p)) FROM c WHERE least(b, p - least(i, p)) > 0"""
+
+
+def _kinds(rows):
+    kind = F.when(F.col("label_status") == "positive", "positive").otherwise(F.col("label_source_mode"))
+    return rows.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("sample_negatives_balanced", USES, f"WITH {qe.HEAT_LABELS}{_BALANCED}")
+def _(t):
+    """As many negatives as positives: the operator counts them itself."""
+    labeled = lb.label_extreme_heat(t.grid_day.select("date", "region_id").distinct(), qe.heat_events(t))
+    return _kinds(tr.sample_negatives(labeled, ["date", "region_id"]))
+
+
+@query("supervised_extreme_heat_sampled", USES, f"WITH {qe.HEAT_LABELS}{_BALANCED}")
+def _(t):
+    """The supervised table with its sampling at work."""
+    return _kinds(sv.supervised_extreme_heat(t.grid_day, qe.heat_events(t)))
+
+
 @query(
     "prepare_features",
     ("grid_day",),
@@ -397,6 +421,15 @@ def _(t):
     return t.spark.createDataFrame([row], "hazard_type string, objective string, train_rows long, validation_rows long, metric string, validation_metric double")
 
 
+@query("evaluate_model", ("grid_day",), "SELECT 'extreme_heat' AS hazard_type, 'rmse' AS metric, count(*) AS rows, true AS finite, true AS below_spread FROM grid_day")
+def _(t):
+    """The error of a trained model over all samples, against the spread of their targets (what the mean alone would give)."""
+    samples = heat_samples(t)
+    metric, value = ml.evaluate_model(ml.train_hazard_model(samples, "extreme_heat", group="date"), samples)
+    spread = samples.agg(F.count("*").alias("rows"), F.stddev("target").alias("spread"))
+    return spread.select(F.lit("extreme_heat").alias("hazard_type"), F.lit(metric).alias("metric"), "rows", (F.lit(value) < float("inf")).alias("finite"), (F.lit(value) < F.col("spread")).alias("below_spread"))
+
+
 @query("score_with_model")
 def _(t):
     model = ml.train_hazard_model(heat_samples(t), "extreme_heat", group="date")
