@@ -209,7 +209,8 @@ def first_groups(shared: DataFrame, percent: int, boundary: int | None = None) -
     placed = every[0] if len(every) == 1 else every[0].unionByName(every[1])
     placed = placed.withColumn("_band", band).withColumn("parent", F.explode(F.array(F.col("_band"), F.col("_band") - 1)))
     placed = placed.select("parent", F.xxhash64("_kind", "_key", "parent").alias("grp"), "set", "n", "_large", (F.col("_band") == F.col("parent")).alias("_own"))
-    met = placed.groupBy("grp").agg(F.min("set").alias("_low"), F.max("set").alias("_high"), F.max("_own").alias("_any"), F.max("_large").alias("_one")).filter("_low != _high and _any and _one")
+    # a set is in a group once, so a count tells whether there are several
+    met = placed.groupBy("grp").agg(F.count("*").alias("_m"), F.max("_own").alias("_any"), F.max("_large").alias("_one")).filter("_m > 1 and _any and _one")
     met = cut_lineage(met.select("grp"), "jaccard-met")
     return likely_among(placed, "grp", met).join(met, "grp").select("parent", "grp", "set", "n").distinct()
 
