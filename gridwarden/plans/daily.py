@@ -15,15 +15,16 @@ CELL = ("latitude", "longitude")
 KEYS = ("date", *CELL)
 
 
-def surface_days(single: DataFrame) -> DataFrame:
+def surface_days(single: DataFrame, temperature: str = "K", depth: str = "m") -> DataFrame:
     """All surface indicators in one pass: hourly physics, rain increases and daily reductions.
 
     Physics is computed per hour and then reduced, never from daily means. The increase window and the
     aggregate share the partitioning (date, cell), so the hourly rows are shuffled once. Each day stands
-    alone: its first step has no increase.
+    alone: its first step has no increase. ``temperature`` and ``depth`` are the units of temperatures and of rain;
+    values already in degC and mm pass as they are, so a value on a limit stays there.
     """
-    t = mask_range(to_unit("t2m", "K", "degC"), -40.0, 65.0)
-    d = mask_range(to_unit("d2m", "K", "degC"), -60.0, 45.0)
+    t = mask_range(to_unit("t2m", temperature, "degC"), -40.0, 65.0)
+    d = mask_range(to_unit("d2m", temperature, "degC"), -60.0, 45.0)
     hourly = single.withColumns({"date": F.to_date("time"), "_t": t, "_d": d})
     hourly = hourly.withColumns(
         {"_rh": mask_range(ph.rh_from_dewpoint("_t", "_d"), 0.0, 100.0), "_w": mask_range(ph.wind_speed("u10", "v10"), 0.0, 80.0)}
@@ -41,7 +42,7 @@ def surface_days(single: DataFrame) -> DataFrame:
     second = F.row_number().over(day) > 1
 
     def increase(v: str) -> Column:
-        mm = F.col(v) * 1000.0
+        mm = to_unit(v, depth, "mm")
         return F.when(second, F.when(F.hour("time") == 0, clip(mm, 0.0)).otherwise(clip(mm - F.lag(mm).over(day), 0.0)))
 
     hourly = hourly.withColumns({"_tp": increase("tp"), "_cp": increase("cp")})
@@ -55,8 +56,8 @@ def surface_days(single: DataFrame) -> DataFrame:
         F.avg("_at").alias("apparent_temp_c"),
         F.avg("_wb").alias("wet_bulb_proxy_c"),
         F.avg("_w").alias("wind10_speed"),
-        (F.max("mx2t") - 273.15).alias("tmax_c"),
-        (F.min("mn2t") - 273.15).alias("tmin_c"),
+        to_unit(F.max("mx2t"), temperature, "degC").alias("tmax_c"),
+        to_unit(F.min("mn2t"), temperature, "degC").alias("tmin_c"),
         *[(F.avg(v) * 100.0).alias(n) for v, n in (("tcc", "total_cloud_cover"), ("lcc", "low_cloud_cover"), ("mcc", "middle_cloud_cover"), ("hcc", "high_cloud_cover"))],
         F.coalesce(F.sum("_tp"), lit(0.0)).alias("daily_precip_total"),
         F.coalesce(F.sum("_cp"), lit(0.0)).alias("daily_convective_precip"),
@@ -110,13 +111,16 @@ def build_daily_indicators(
     dust: DataFrame | None = None,
     sst: DataFrame | None = None,
     monthly: DataFrame | None = None,
+    temperature: str = "K",
+    depth: str = "m",
 ) -> DataFrame:
     """One lazy plan over the whole date range; the date filter of the caller is a partition filter.
 
     All inputs are on the standard grid. ``satellite`` has (date, cell, precipitation), ``dust`` (date,
     cell, DUEXTTAU, DUCMASS, DUSMASS), ``sst`` (date, cell, sst_celsius), ``monthly`` (month, cell, precip).
+    ``temperature`` and ``depth`` are the units of the temperatures and the rain in ``single``.
     """
-    out = surface_days(single).join(pressure_days(pressure), list(KEYS), "left")
+    out = surface_days(single, temperature, depth).join(pressure_days(pressure), list(KEYS), "left")
     out = rolling_totals(out, "daily_precip_total", cell=CELL)  # one row per (date, cell) by now
     if satellite is None:
         out = out.withColumns(
