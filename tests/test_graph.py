@@ -17,3 +17,11 @@ def test_triples_equal_sql(spark, monkeypatch, name):
     got = QUERIES[name](spark, FOLDER).toPandas()
     assert difference(got, database(FOLDER).execute(ORACLES[name]).df()) is None
     assert all(risks.filter(F.size("indicator_evidence") > 0).count() for risks in seen) and seen
+
+
+def test_fields_nobody_reads_are_not_computed(spark):
+    from gridwarden.operators.risk import scan_risks
+    from gridwarden.workload.standin import Tables
+
+    plan = scan_risks(Tables(spark, FOLDER).points, ["grid_id"]).select("grid_id", "hazard_type", "model_name")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_extendedprice" not in plan.split("Relation")[0]
