@@ -25,3 +25,15 @@ def test_fields_nobody_reads_are_not_computed(spark):
 
     plan = scan_risks(Tables(spark, FOLDER).points, ["grid_id"]).select("grid_id", "hazard_type", "model_name")._jdf.queryExecution().optimizedPlan().toString()
     assert "l_extendedprice" not in plan.split("Relation")[0]
+
+
+def test_statements_are_the_triples(spark):
+    """Copies, names that become one when cleaned and missing names: each triple once in the one, all of them in the other."""
+    from pyspark.sql import Row
+
+    same = dict(latitude=1.0, longitude=2.0, valid_time="t", hazard_type="flash_flood", risk_level="low", risk_probability=0.5, model_family="rule", model_name="m")
+    same |= dict(model_version="v", inference_mode="rule", source_status="normal", contributing_factors=["a", "b"], indicator_evidence={"slope_deg": 3.0})
+    rows = spark.createDataFrame([Row(grid_id=g, **same) for g in ("a-b", "a-b", "a_b", "-", "")] + [Row(grid_id="a-b", **(same | {"risk_level": "high"}))])
+    once, many = q.gr.risk_triples(rows), q.gr.risk_statements(rows)
+    assert once.count() == once.distinct().count() < many.count()
+    assert set(map(tuple, once.collect())) == set(map(tuple, many.collect()))
