@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwarden.session import cut_lineage
-from gridwarden.sources.store import SIGNATURE
+from gridwarden.sources.store import SIGNATURE, unsorted_writes
 
 #: Column of the part in the log and in the folders' names.
 PART = "part"
@@ -62,15 +62,20 @@ def read_snapshot(spark: SparkSession, path: str, version: int | None = None) ->
     return rows.join(log.withColumnRenamed("folder", "_folder"), [PART, "_folder"], "left_semi").drop("_folder", "commit")
 
 
-def commit(spark: SparkSession, path: str, rows: DataFrame, part: str, gone: DataFrame | None = None) -> int:
+def commit(spark: SparkSession, path: str, rows: DataFrame, part: str, gone: DataFrame | None = None, together: bool = False) -> int:
     """Replace the parts that ``rows`` have (by their column ``part``), drop those in ``gone``, keep all others; returns the version.
 
-    Only the given rows are written. A part with rows in ``gone`` and in ``rows`` is replaced.
+    Only the given rows are written. A part with rows in ``gone`` and in ``rows`` is replaced. ``together`` says that a task
+    has rows of few parts already, so they are written as they come, neither dealt anew nor sorted.
     """
     known = versions(spark, path)
     folder = f"commit={uuid.uuid4().hex}"
-    named = rows.withColumn(PART, F.col(part).cast("string")).hint("rebalance", PART)
-    named.write.partitionBy(PART).parquet(f"{path}/data/{folder}")
+    named = rows.withColumn(PART, F.col(part).cast("string"))
+    if together:
+        with unsorted_writes(spark):
+            named.write.partitionBy(PART).parquet(f"{path}/data/{folder}")
+    else:
+        named.hint("rebalance", PART).write.partitionBy(PART).parquet(f"{path}/data/{folder}")
     before = parts_of(spark, path)
     written = f"{path}/data/{folder}"
     fresh = spark.read.option("basePath", written).parquet(written).select(F.col(PART).cast("string").alias(PART)).distinct() if _has_files(spark, written) else before.select(PART).limit(0)
@@ -136,7 +141,8 @@ def update_from_files(spark: SparkSession, path: str, source: str, build: Callab
     part = F.md5("source_file")
     # a file that changed and gives no rows now loses its part as well
     leaving = gone.union(changed.select("source_file")).select(part.alias(PART)) if known else None
-    version = commit(spark, path, built.withColumn("_part", part), "_part", leaving)
+    # a task reads whole files or pieces of one, so its rows are of few parts
+    version = commit(spark, path, built.withColumn("_part", part), "_part", leaving, together=True)
     # the signatures come last: a run that breaks off before is repeated
     replace_table(spark, f"{path}/files", files.select(*SIGNATURE))
     return {"files": seen, "skipped": seen - len(paths), "version": version}

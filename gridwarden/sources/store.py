@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,25 @@ from gridwarden.sources.tables import infer_format
 SIGNATURE = ("source_file", "source_size_bytes", "source_mtime_us")
 
 
+#: Files that a task of a partitioned write may hold open at a time.
+OPEN_FILES = 8
+
+
+@contextmanager
+def unsorted_writes(spark: SparkSession) -> Iterator[None]:
+    """Partitioned writes inside do not sort a task's rows first, unless they belong to more than ``OPEN_FILES`` partitions."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(OPEN_FILES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def write_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "overwrite") -> None:
     """CSV with header, JSON records or Parquet, as a folder of part files."""
     kind = infer_format(path, fmt)

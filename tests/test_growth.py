@@ -5,6 +5,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from gridwarden.operators import training as tr
+from gridwarden.workload import QUERIES
+from gridwarden.workload import q_training as q
 
 HEAT = ("temp_c", "tmax_c", "tmin_c", "heat_index_c", "vpd_kpa", "wind_speed_mps", "relative_humidity_percent")
 
@@ -24,3 +26,15 @@ def test_training_tables_explode_names_alone(spark):
     assert list(rows) == [(1, "extreme_heat")]
     assert rows[1, "extreme_heat"]["relative_humidity_percent"] == 100.0 and rows[1, "extreme_heat"]["sst_celsius"] is None
     assert len(rows[1, "extreme_heat"]) == 12
+
+
+def test_incremental_source_is_written_by_the_tasks_that_read_it(spark, tmp_path, monkeypatch):
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    rows.repartition(3).write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(q, "shared_dir", lambda spark, purpose: str(tmp_path / purpose))
+    got = QUERIES["hazard_training_tables_incremental"](spark, str(tmp_path)).collect()
+    n = rows.count()
+    assert {(r["hazard_type"], r["n"], r["rewritten"]) for r in got} >= {("extreme_heat", n, 1), ("flash_flood", n, 1)}
+    files = [[f for f in (tmp_path / "source").rglob("*.parquet") if f.parent.name == f"line={k}"] for k in range(1, 8)]
+    assert min(len(f) for f in files) == 3
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", "0") == "0"
