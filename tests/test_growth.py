@@ -4,7 +4,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from gridwarden.operators import grid as g
 from gridwarden.operators import training as tr
+from gridwarden.sources import store, tables
 from gridwarden.workload import QUERIES
 from gridwarden.workload import q_training as q
 
@@ -38,3 +40,22 @@ def test_incremental_source_is_written_by_the_tasks_that_read_it(spark, tmp_path
     files = [[f for f in (tmp_path / "source").rglob("*.parquet") if f.parent.name == f"line={k}"] for k in range(1, 8)]
     assert min(len(f) for f in files) == 3
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", "0") == "0"
+
+
+def test_hottest_point_sorts_no_rows_before_they_are_one_cell(spark):
+    d, nan = dt.date(2025, 1, 1), float("nan")
+    rows = [(d, 2.0, 5.0, 7.0, "a"), (d, 1.0, 6.0, 7.0, "b"), (d, 1.0, 5.0, 7.0, "c"), (d, 0.0, 0.0, 6.0, "d"), (None, 3.0, 3.0, None, "e"), (None, 2.0, 3.0, None, "f"), (dt.date(2025, 1, 2), 4.0, 4.0, nan, "g"), (dt.date(2025, 1, 2), 1.0, 1.0, 9.0, "h"), (dt.date(2025, 1, 3), None, None, 1.0, "i")]
+    out = g.hottest_point(spark.createDataFrame(rows, "date date, latitude double, longitude double, v double, name string"), "v")
+    assert {r["date"]: r["name"] for r in out.collect()} == {d: "c", None: "f", dt.date(2025, 1, 2): "g", dt.date(2025, 1, 3): "i"}
+    # what is gathered whole has met the cells found before
+    plan = plan_of(out)
+    assert "max_by" not in plan and "Join" in plan[plan.index("Aggregate"):]
+
+
+def test_features_json_is_compressed(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("cast(id as string) grid_id", "1.5D latitude", "2.5D longitude", "cast(id as double) temp_c", "timestamp'2025-01-01' valid_time")
+    store.write_features_json(rows, str(tmp_path / "f"))
+    files = [f for f in (tmp_path / "f").iterdir() if f.name.startswith("part-")]
+    assert files and all(f.name.endswith(".json.gz") for f in files)
+    back = tables.read_features_json(spark, str(tmp_path / "f"), lines=True)
+    assert back.agg(F.count("*"), F.sum("temp_c"), F.min("latitude")).first()[:] == (2000, 1999000.0, 1.5)
