@@ -46,7 +46,7 @@ def write_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "o
 
 
 def write_features_json(df: DataFrame, path: str) -> None:
-    """Point features as nested records, the inverse of the flat layout."""
+    """Point features as nested records, the inverse of the flat layout; compressed, as each record repeats its names."""
     grid = F.struct(
         F.col("grid_id").alias("id"),
         F.col("latitude").alias("lat"),
@@ -54,7 +54,7 @@ def write_features_json(df: DataFrame, path: str) -> None:
         *[F.col(c) for c in ("elevation_m", "region") if c in df.columns],
     )
     flat = ("grid_id", "latitude", "longitude", "elevation_m", "region")
-    df.select(grid.alias("grid"), *[c for c in df.columns if c not in flat]).write.mode("overwrite").json(path)
+    df.select(grid.alias("grid"), *[c for c in df.columns if c not in flat]).write.mode("overwrite").option("compression", "gzip").json(path)
 
 
 def export_daily(df: DataFrame, path: str, mode: str = "overwrite") -> None:
