@@ -4,8 +4,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from gridwarden.operators import features as ft
 from gridwarden.operators import grid as g
 from gridwarden.operators import training as tr
+from gridwarden.operators.quantiles import exact_quantiles
 from gridwarden.sources import store, tables
 from gridwarden.workload import QUERIES
 from gridwarden.workload import q_training as q
@@ -59,3 +61,25 @@ def test_features_json_is_compressed(spark, tmp_path):
     assert files and all(f.name.endswith(".json.gz") for f in files)
     back = tables.read_features_json(spark, str(tmp_path / "f"), lines=True)
     assert back.agg(F.count("*"), F.sum("temp_c"), F.min("latitude")).first()[:] == (2000, 1999000.0, 1.5)
+
+
+def test_pool_orders_few_rows_and_skips_statistics(spark):
+    d = dt.date(2025, 1, 1)
+    rows = [(d, "a", float(i % 50), 1.0 * i, 2.0) for i in range(3000)] + [(d, "b", None, 1.0 * i, 2.0) for i in range(40)] + [(d, "c", 5.0, 1.0, 2.0), (d, "c", None, 0.0, 2.0)]
+    df = spark.createDataFrame(rows, "date date, region_id string, heat_index_c double, latitude double, longitude double").withColumns({n: F.lit(1.0) for n in HEAT if n != "heat_index_c"})
+    with_all = {r["region_id"]: r for r in ft.region_day_topk_pool(df).collect()}
+    lean = ft.region_day_topk_pool(df, statistics=False)
+    assert not [c for c in lean.columns if c.endswith(("_p90", "_max", "_min"))]
+    for r in lean.collect():
+        assert all(r[c] == with_all[r["region_id"]][c] for c in lean.columns)
+    assert [(with_all[k]["heat_index_c"], with_all[k]["pooled_grid_cell_count"], with_all[k]["grid_cell_count"]) for k in "abc"] == [(49.0, 3, 3000), (None, 3, 40), (5.0, 1, 2)]
+    keys = ["date", "region_id"]
+    kept = ft._reaching(df, keys, "heat_index_c", ["latitude"], 3).groupBy("region_id").count()
+    assert {r["region_id"]: r["count"] for r in kept.collect()} == {"a": 60, "b": 40, "c": 2}
+
+
+def test_quantile_pass_explodes_columns_alone(spark):
+    df = spark.range(1000).selectExpr("id % 3 as k", "cast(id as double) as v", "if(id % 2 = 0, null, cast(id as double)) as w")
+    out = exact_quantiles(df, ["k"], {"v": [0.9], "w": [0.1]})
+    assert "lambda" not in plan_of(out)
+    assert {r["k"]: (r["v_p90"], r["w_p10"]) for r in out.collect()} == {r["k"]: (r["v"], r["w"]) for r in df.groupBy("k").agg(F.percentile("v", 0.9).alias("v"), F.percentile("w", 0.1).alias("w")).collect()}
