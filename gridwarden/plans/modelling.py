@@ -18,12 +18,15 @@ from gridwarden.constants import FEATURES, FEATURE_NAMES
 from gridwarden.functions.basic import col, first_existing, lit
 from gridwarden.operators.quality import in_range
 from gridwarden.operators.risk import RULE_BOUNDS, feature_names, risk_level, risk_level_grid, standard_indicator_values, with_rule_scores
-from gridwarden.session import cut_lineage
+from gridwarden.session import cut_lineage, file_by_file
 from gridwarden.operators.training import group_shuffle_split, sample_negatives, supervised_features
 
 # A missing optional feature enters the trees as this value, outside every valid range.
 MISSING = -9999.0
 
+#: Training rows that a task holds at most: trees keep a row in memory at many times its size in the file.
+TASK_ROWS = 1_000_000
+
 
 @dataclass
 class TrainedModel:
@@ -76,7 +79,13 @@ def train_hazard_model(
         share = min(max(fraction, 0.05), 0.5)
         h = F.pmod(F.xxhash64(*[F.col(k) for k in (key or names)], F.lit(seed)), F.lit(10000))
         rows = rows.withColumn("is_validation", h < int(share * 10000))
-    rows = cut_lineage(rows, "training-rows")
+    rows = cut_lineage(rows, "training-rows", maxRecordsPerFile=str(TASK_ROWS))
+    with file_by_file(df.sparkSession):
+        return _fitted(rows, hazard, names, "group_shuffle" if group else "row_hash", seed, rounds, depth, step)
+
+
+def _fitted(rows: DataFrame, hazard: str, names: Sequence[str], split: str, seed: int, rounds: int, depth: int, step: float) -> TrainedModel:
+    """Trees fitted to stored rows that say which of them validate."""
     binary = is_binary(rows)
     common = dict(featuresCol="features", labelCol="target", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed, validationIndicatorCol="is_validation", validationTol=0.001, subsamplingRate=0.9, featureSubsetStrategy="all")
     trees = GBTClassifier(**common) if binary else GBTRegressor(**common)
@@ -92,7 +101,7 @@ def train_hazard_model(
         "best_iteration": pipeline.stages[-1].getNumTrees,
         "train_rows": sizes.get(False, 0),
         "validation_rows": sizes.get(True, 0),
-        "split_strategy": "group_shuffle" if group else "row_hash",
+        "split_strategy": split,
     }
     held = rows.filter("is_validation")
     metric, value = evaluate_model(model, held) if sizes.get(True) else (None, None)

@@ -8,6 +8,7 @@ from gridwarden.operators import features as ft
 from gridwarden.operators import grid as g
 from gridwarden.operators import training as tr
 from gridwarden.operators.quantiles import exact_quantiles
+from gridwarden.plans import modelling as ml
 from gridwarden.sources import store, tables
 from gridwarden.workload import QUERIES
 from gridwarden.workload import q_training as q
@@ -83,3 +84,22 @@ def test_quantile_pass_explodes_columns_alone(spark):
     out = exact_quantiles(df, ["k"], {"v": [0.9], "w": [0.1]})
     assert "lambda" not in plan_of(out)
     assert {r["k"]: (r["v_p90"], r["w_p10"]) for r in out.collect()} == {r["k"]: (r["v"], r["w"]) for r in df.groupBy("k").agg(F.percentile("v", 0.9).alias("v"), F.percentile("w", 0.1).alias("w")).collect()}
+
+
+def test_training_tasks_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    seen = {}
+    fitted = ml._fitted
+
+    def instead(rows, *args):
+        seen["rows"] = [len(part) for part in rows.rdd.glom().collect()]
+        return fitted(rows, *args)
+
+    monkeypatch.setattr(ml, "_fitted", instead)
+    monkeypatch.setattr(ml, "TASK_ROWS", 100)
+    names = ml.feature_names("extreme_heat")
+    df = spark.range(1000).select(F.col("id").alias("date"), *[(F.col("id") % 7).cast("double").alias(n) for n in names], (F.col("id") % 7 / 10).alias("target"))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    model = ml.train_hazard_model(df, "extreme_heat", group="date", rounds=2)
+    assert max(seen["rows"]) <= 100 and sum(seen["rows"]) == 1000
+    assert model.summary["train_rows"] + model.summary["validation_rows"] == 1000
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
