@@ -1,11 +1,13 @@
 """Steps whose cost must not grow faster than their input: what their plans and files look like, with exact results."""
 
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 
 from gridwarden.operators import features as ft
 from gridwarden.operators import grid as g
+from gridwarden.operators import labels as lb
 from gridwarden.operators import training as tr
 from gridwarden.operators.quantiles import exact_quantiles
 from gridwarden.plans import modelling as ml
@@ -103,3 +105,22 @@ def test_training_tasks_hold_a_bounded_number_of_rows(spark, monkeypatch):
     assert max(seen["rows"]) <= 100 and sum(seen["rows"]) == 1000
     assert model.summary["train_rows"] + model.summary["validation_rows"] == 1000
     assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+
+
+def flood_case(spark):
+    events = [("e1", "2022-11-24", "Jeddah", None, None, "POLYGON((39.10 21.40, 39.30 21.40, 39.30 21.60, 39.10 21.60, 39.10 21.40))"), ("e2", "2022-11-24", "Riyadh", 21.5, 39.2, None), ("e3", "2022-11-24", "Hidden", None, None, None), ("e4", "2022-11-26", "Mecca", None, None, None)]
+    events = spark.createDataFrame([(*r, "medium", "seed") for r in events], "event_id string, date string, location_name string, latitude double, longitude double, geometry_wkt string, spatial_confidence string, validation_status string")
+    samples = [("a", "2022-11-24", 21.5, 39.2, "makkah"), ("b", "2022-11-25", 21.5, 39.2, ""), ("c", "2022-11-24", None, 39.2, "riyadh"), ("d", "2022-11-26", 30.0, 45.0, "makkah")]
+    return events, spark.createDataFrame(samples, "k string, date string, latitude double, longitude double, province_name string")
+
+
+def test_flood_labels_leave_the_day_to_the_days(spark):
+    events, samples = flood_case(spark)
+    whole = {r["k"]: r for r in lb.label_flash_flood(samples, events).collect()}
+    catalogue = lb.FloodCatalogue(events)
+    labels = catalogue.label(samples, whole=False)
+    days = catalogue.day_provenance()
+    assert days.count() == 2
+    own = {r["k"]: json.loads(r["label_provenance"]) for r in labels.collect()}
+    assert own["a"]["matched_event_ids"] == ["e1", "e2"] and not [f for o in own.values() for f in o if f.startswith("day_") or f == "event_count_for_day"]
+    assert {r["k"]: r for r in lb.with_day_provenance(labels, days).collect()} == whole
