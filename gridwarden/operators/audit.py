@@ -52,7 +52,7 @@ def _evidence(labels: DataFrame) -> DataFrame:
 
 
 def positive_evidence_counts(labels: DataFrame) -> DataFrame:
-    """Positive rows, and how many rest on geometry, on boundaries and on explicit geometry."""
+    """Positive rows, and how many rest on geometry, on boundaries and on explicit geometry; the sample's own part of the provenance is enough."""
     out = _evidence(labels).agg(
         F.count("*").alias("positive_rows"),
         F.greatest(F.count(F.when(F.col("_backed"), 1)), F.count(F.when(F.col("_geometry_mode"), 1))).alias("geometry_positive_rows"),

@@ -6,6 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from gridwarden.operators import features as ft
+from gridwarden.operators import audit as au
 from gridwarden.operators import grid as g
 from gridwarden.operators import labels as lb
 from gridwarden.operators import training as tr
@@ -124,3 +125,11 @@ def test_flood_labels_leave_the_day_to_the_days(spark):
     own = {r["k"]: json.loads(r["label_provenance"]) for r in labels.collect()}
     assert own["a"]["matched_event_ids"] == ["e1", "e2"] and not [f for o in own.values() for f in o if f.startswith("day_") or f == "event_count_for_day"]
     assert {r["k"]: r for r in lb.with_day_provenance(labels, days).collect()} == whole
+
+
+def test_positive_evidence_needs_no_lists_of_the_day(spark):
+    events, samples = flood_case(spark)
+    lean = au.positive_evidence_counts(lb.FloodCatalogue(events).label(samples, whole=False))
+    assert "_day_text" not in plan_of(lean)
+    assert lean.first() == au.positive_evidence_counts(lb.label_flash_flood(samples, events)).first()
+    assert lean.first()[:] == (3, 3, 1, 2)
