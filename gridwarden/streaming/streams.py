@@ -25,7 +25,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gridwarden.functions.physical import precip_flag
 from gridwarden.operators.features import numeric_feature_columns
-from gridwarden.operators.labels import FloodLabelPolicy, label_flash_flood
+from gridwarden.operators.labels import FloodCatalogue, FloodLabelPolicy, with_day_provenance
 from gridwarden.operators.risk import scan_risks
 from gridwarden.operators.temporal import heatwave_runs
 from gridwarden.session import cut_lineage
@@ -273,16 +273,29 @@ def whole_province_day(spark: SparkSession, path: str, names: Sequence[str], pro
 def stream_label(
     samples: DataFrame, events: DataFrame, path: str, checkpoint: str, policy: FloodLabelPolicy = FloodLabelPolicy(), order: str = "event_id"
 ) -> StreamingQuery:
-    """Label each micro-batch against the event catalogue with the batch operator."""
+    """Label each micro-batch against the event catalogue with the batch operator.
 
-    known = cut_lineage(events, "stream-events")  # once, not per micro-batch
+    The catalogue's tables are made once. A batch stores its labels with the samples' own part of the provenance, and under
+    ``days`` the other part, once for each of its days; ``stream_labels`` puts them together.
+    """
+    catalogue = FloodCatalogue(events, policy, order)
 
     def store(batch: DataFrame, number: int) -> None:
-        label_flash_flood(batch, known, policy, order).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        stored = f"{path}/batch={number}"
+        catalogue.label(batch, whole=False).write.mode("overwrite").parquet(stored)
+        dates = batch.sparkSession.read.parquet(stored).select("date").distinct()
+        catalogue.day_provenance().join(dates, "date", "left_semi").write.mode("overwrite").parquet(f"{path}/days/batch={number}")
 
     return samples.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(store).start()
 
 
+def stream_labels(spark: SparkSession, path: str) -> DataFrame:
+    """What ``stream_label`` has stored, with whole provenance."""
+    labels = spark.read.option("basePath", path).parquet(f"{path}/batch=*").withColumnRenamed("batch", "_batch")
+    days = spark.read.option("basePath", f"{path}/days").parquet(f"{path}/days/batch=*").withColumnRenamed("batch", "_batch")
+    return with_day_provenance(labels, days, ["_batch", "date"]).drop("_batch")
+
+
 def stream_incremental_table(spark: SparkSession, source: str, schema, transform: Callable[[DataFrame], DataFrame], path: str, state: str, glob: str = "*.parquet") -> int:
     """One run of the incremental table: reads new and changed files, returns how many.
 

@@ -94,8 +94,7 @@ def _(t):
     path = shared_dir(t.spark, "stream")
     rows = stream_of(t, "grid_day", "lineitem").select("row_id", "grid_id", "date", "latitude", "longitude", "province_name")
     ss.stream_label(rows, ev.expand_events_daily(qe.merged(t)), path, f"{path}-state").awaitTermination()
-    out = t.spark.read.option("basePath", path).parquet(f"{path}/batch=*")
-    return out.select("row_id", "grid_id", "latitude", *qe._OUT)
+    return ss.stream_labels(t.spark, path).select("row_id", "grid_id", "latitude", *qe._OUT)
 
 
 @query("stream_incremental_table", ("obs",), "SELECT event_type, count(*) AS n, round(sum(temp_c), 4) AS temp FROM obs GROUP BY 1")

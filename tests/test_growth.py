@@ -13,6 +13,7 @@ from gridwarden.operators import training as tr
 from gridwarden.operators.quantiles import exact_quantiles
 from gridwarden.plans import modelling as ml
 from gridwarden.sources import store, tables
+from gridwarden.streaming import streams as ss
 from gridwarden.workload import QUERIES
 from gridwarden.workload import q_training as q
 
@@ -133,3 +134,17 @@ def test_positive_evidence_needs_no_lists_of_the_day(spark):
     assert "_day_text" not in plan_of(lean)
     assert lean.first() == au.positive_evidence_counts(lb.label_flash_flood(samples, events)).first()
     assert lean.first()[:] == (3, 3, 1, 2)
+
+
+def test_streamed_labels_store_a_day_once(spark, tmp_path):
+    events, samples = flood_case(spark)
+    for k in range(2):
+        samples.filter(F.col("k").isin(["ab", "cd"][k][0], ["ab", "cd"][k][1])).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    path = str(tmp_path / "out")
+    ss.stream_label(live, events, path, f"{path}-state").awaitTermination()
+    stored = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    assert stored.filter(F.col("label_provenance").contains("day_event_mapping_modes")).count() == 0
+    assert spark.read.parquet(f"{path}/days").count() == 3  # one day of the first batch has events, two of the second
+    want = {r["k"]: r for r in lb.label_flash_flood(samples, events).collect()}
+    assert {r["k"]: r for r in ss.stream_labels(spark, path).collect()} == want
