@@ -185,7 +185,7 @@ def audit_labels(labels: DataFrame, events: DataFrame | None = None, top: int =
 def unresolved_candidates(open_rows: DataFrame, events: DataFrame, policy: FloodLabelPolicy = FloodLabelPolicy()) -> DataFrame:
     """Events on days with unresolved rows, bucketed by why they did not resolve."""
     per_day = open_rows.groupBy("date").agg(F.count("*").alias("_open"))
-    daily = flood_events(events, policy).join(per_day, "date")
+    daily = cut_lineage(flood_events(events, policy).join(per_day, "date"), "unresolved-days")  # read for the days and for their events
     supported = F.col("_mode").isin("geometry_wkt", "point_buffer", "province_day")
     days = daily.groupBy("date").agg(F.count(F.when(supported, 1)).alias("_good"), F.count(F.when(~supported, 1)).alias("_bad"))
     daily = daily.join(days, "date")

@@ -148,3 +148,11 @@ def test_streamed_labels_store_a_day_once(spark, tmp_path):
     assert spark.read.parquet(f"{path}/days").count() == 3  # one day of the first batch has events, two of the second
     want = {r["k"]: r for r in lb.label_flash_flood(samples, events).collect()}
     assert {r["k"]: r for r in ss.stream_labels(spark, path).collect()} == want
+
+
+def test_unresolved_candidates_merge_the_catalogue_once(spark, monkeypatch):
+    merged, calls = q.qe.merged, []
+    monkeypatch.setattr(q.qe, "merged", lambda t: calls.append(t) or merged(t))
+    out = QUERIES["unresolved_candidates"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1 and plan_of(out).count("unresolved-days") == plan_of(out).count("FileScan")
+    assert out.count() > 0
