@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridwarden.operators import events as ev
 from gridwarden.session import shared_dir
+from gridwarden.sources.store import unsorted_writes
 from gridwarden.streaming import streams as ss
 from gridwarden.workload import q_events as qe
 from gridwarden.workload.q_risk import KEEP, RISKS, _LEVEL
@@ -132,31 +133,46 @@ def _(t):
 
 
 def batches_of(t: Tables, name: str, table: str, parts: int = 4):
-    """A projection of a table that comes in several micro-batches, each with rows of all times, the latest first."""
-    source = shared_dir(t.spark, "source")
+    """A projection of a table as a stream, and the steps in which its parts arrive: each with rows of all times, the latest first.
+
+    The table is read once; its parts wait in folders beside the stream's. A part is one micro-batch, whatever the number of its files.
+    """
+    waiting, source = shared_dir(t.spark, "waiting"), shared_dir(t.spark, "source")
     rows = t.table(table)
     column = {"events": "ts", "lineitem": "l_shipdate"}[table]
     # a few late rows in every batch; for the rest, later times come earlier
     late = F.pmod(F.xxhash64(*rows.columns), F.lit(parts * 4))
     place = F.when(late < parts, late).otherwise(parts - 1 - F.pmod(F.year(column) * 12 + F.month(column), F.lit(parts)))
-    for k in range(parts):
-        rows.filter(place == k).write.parquet(f"{source}/part={k}")
-    live = t.spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(source)
+    with unsorted_writes(t.spark):
+        rows.withColumn("part", place).write.partitionBy("part").parquet(waiting)
+    path = t.spark._jvm.org.apache.hadoop.fs.Path
+    files = path(source).getFileSystem(t.spark._jsc.hadoopConfiguration())
+    files.mkdirs(path(source))
+
+    def arrive():
+        for k in range(parts):
+            if files.exists(path(f"{waiting}/part={k}")) and not files.rename(path(f"{waiting}/part={k}"), path(f"{source}/part={k}")):
+                raise OSError(f"part {k} of {waiting} cannot be moved to {source}")
+            yield k
+
+    live = t.spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(source)
     view = f"late_{name}"
     live.createOrReplaceTempView(view)
-    return t.spark.sql(STANDINS[name].format(**{table: view}))
+    return t.spark.sql(STANDINS[name].format(**{table: view})), arrive()
 
 
-def run_parts(t: Tables, rows, keys, parts, prepare):
-    """The stored partial aggregates, folded once after the run."""
+def run_parts(t: Tables, rows, arrivals, keys, parts, prepare):
+    """The stored partial aggregates of a stream that runs once after each arrival, folded once at the end."""
     path = shared_dir(t.spark, "stream")
-    ss.accumulate_into(rows, path, f"{path}-state", keys, parts, prepare).awaitTermination()
+    for _ in arrivals:
+        ss.accumulate_into(rows, path, f"{path}-state", keys, parts, prepare).awaitTermination()
     ss.compact(t.spark, path, keys, parts)
     return path
 
 
 def late_obs(t):
-    return batches_of(t, "obs", "events").withColumn("time", F.col("time").cast("timestamp"))
+    rows, arrivals = batches_of(t, "obs", "events")
+    return rows.withColumn("time", F.col("time").cast("timestamp")), arrivals
 
 
 @query(
@@ -167,7 +183,8 @@ def late_obs(t):
 )
 def _(t):
     """Several batches out of order, and every late row counts."""
-    path = run_parts(t, late_obs(t).select("time", "latitude", "longitude", "precipitation"), ["date", "latitude", "longitude"], ss.RAIN_PARTS, ss.on_days)
+    rows, arrivals = late_obs(t)
+    path = run_parts(t, rows.select("time", "latitude", "longitude", "precipitation"), arrivals, ["date", "latitude", "longitude"], ss.RAIN_PARTS, ss.on_days)
     out = ss.whole_daily_precip(t.spark, path)
     return out.select(day("date").alias("date"), "latitude", "longitude", r("daily_precip_total_mm").alias("total"), r("daily_precip_max_step_mm").alias("step"), F.col("daily_precip_extreme_flag").alias("flag"))
 
@@ -179,7 +196,8 @@ def _(t):
     SELECT CAST(last AS STRING) AS date, {CELL}, round(sum(precipitation), 6) AS total FROM s GROUP BY 1, 2, 3""",
 )
 def _(t):
-    path = run_parts(t, late_obs(t).select("time", "latitude", "longitude", "precipitation"), ["date", "latitude", "longitude"], ss.RAIN_PARTS, ss.on_days)
+    rows, arrivals = late_obs(t)
+    path = run_parts(t, rows.select("time", "latitude", "longitude", "precipitation"), arrivals, ["date", "latitude", "longitude"], ss.RAIN_PARTS, ss.on_days)
     return ss.whole_rolling_precip(t.spark, path).select(day("date").alias("date"), "latitude", "longitude", r("precip_3day").alias("total"))
 
 
@@ -193,15 +211,17 @@ def _(t):
     path = shared_dir(t.spark, "lookup")
     lookup(t).filter("province_name is not null").write.parquet(path)
     names = ["daily_precip_total"]
-    rows = batches_of(t, "grid_day", "lineitem").select(F.col("date").cast("timestamp").alias("time"), "latitude", "longitude", *names)
-    path = run_parts(t, rows, ["date", "province_name"], ss.province_parts(names), ss.in_provinces(t.spark.read.parquet(path)))
+    rows, arrivals = batches_of(t, "grid_day", "lineitem")
+    rows = rows.select(F.col("date").cast("timestamp").alias("time"), "latitude", "longitude", *names)
+    path = run_parts(t, rows, arrivals, ["date", "province_name"], ss.province_parts(names), ss.in_provinces(t.spark.read.parquet(path)))
     out = ss.whole_province_day(t.spark, path, names)
     return out.select(day("date").alias("date"), "province_name", "grid_cell_count", r("daily_precip_total").alias("rain"))
 
 
 @query("stream_heatwave_runs_late", ("obs",), _RUNS)
 def _(t):
-    rows = late_obs(t).select("time", "station", (F.col("temp_c") >= 35).cast("int").alias("heatwave_day_flag"))
-    path = run_parts(t, rows, ["date", "station"], ss.FLAG_PARTS, ss.on_days)
+    rows, arrivals = late_obs(t)
+    rows = rows.select("time", "station", (F.col("temp_c") >= 35).cast("int").alias("heatwave_day_flag"))
+    path = run_parts(t, rows, arrivals, ["date", "station"], ss.FLAG_PARTS, ss.on_days)
     out = ss.whole_heatwave_runs(t.spark, path, ["station"])
     return out.select("station", day("start_date").alias("start_date"), day("end_date").alias("end_date"), "duration_days")

@@ -156,3 +156,15 @@ def test_unresolved_candidates_merge_the_catalogue_once(spark, monkeypatch):
     out = QUERIES["unresolved_candidates"](spark, "/root/testdata/sf0.001")
     assert len(calls) == 1 and plan_of(out).count("unresolved-days") == plan_of(out).count("FileScan")
     assert out.count() > 0
+
+
+def test_late_parts_are_one_batch_each(spark, tmp_path, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{folder}/lineitem.parquet").repartition(3).write.parquet(str(tmp_path / "lineitem.parquet"))
+    (tmp_path / "nation.parquet").symlink_to(f"{folder}/nation.parquet")
+    compact, stored = ss.compact, []
+    monkeypatch.setattr(ss, "compact", lambda spark, path, *args: stored.append(ss._numbers(spark, path, "batch=")) or compact(spark, path, *args))
+    got = QUERIES["stream_province_day_late"](spark, str(tmp_path))
+    assert stored == [[0, 1, 2, 3]]
+    want = QUERIES["stream_province_day"](spark, folder)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
