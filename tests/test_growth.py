@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridwarden.operators import features as ft
 from gridwarden.operators import audit as au
+from gridwarden.operators import graph as gr
 from gridwarden.operators import grid as g
 from gridwarden.operators import labels as lb
 from gridwarden.operators import training as tr
@@ -168,3 +169,14 @@ def test_late_parts_are_one_batch_each(spark, tmp_path, monkeypatch):
     assert stored == [[0, 1, 2, 3]]
     want = QUERIES["stream_province_day"](spark, folder)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_grounding_triples_are_filtered_before_they_are_made(spark):
+    gaps = [("g1", "t1", "flash_flood", "m", "rain", "available", "mm", ["a", "b"], 1.0)] * 2 + [("g1", "t1", "flash_flood", "m", "rain", "available", "mm", ["a", "b"], 2.0), ("g2", "t1", "flash_flood", "m", "rain", None, "mm", ["a", "a"], None)]
+    gaps = spark.createDataFrame(gaps, "grid_id string, valid_time string, hazard_type string, model_name string, family string, status string, units string, source_pair array<string>, delta double")
+    out = gr.grounding_triples(gaps)
+    count = {r["predicate"].rsplit(":", 1)[-1]: r["n"] for r in out.groupBy("predicate").agg(F.count("*").alias("n")).collect()}
+    assert count == {"type": 3, "label": 3, "groundingPayload": 3, "hasGroundingGap": 3, "comparisonStatus": 2, "units": 3, "delta": 2, "sourcePair": 5}
+    assert out.count() == out.distinct().count()
+    # what is shuffled are rows of gaps, never triples
+    assert [line for line in plan_of(out).splitlines() if "Exchange hashpartitioning" in line and "_n" not in line.split("hashpartitioning(")[1].split(",")[0]] == []
