@@ -17,7 +17,7 @@ from datetime import date
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -143,8 +143,18 @@ def _last_of(keys: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
     return merge
 
 
-#: How partial aggregates are made from rows and merged with each other.
-MERGES = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.sum}
+def _steps(value: str) -> Column:
+    return F.collect_list(F.when(F.col(value).isNotNull(), F.struct("time", F.col(value).cast("double").alias("value"))))
+
+
+def _sum_of_steps(steps: str) -> Column:
+    return F.when(F.size(steps) > 0, F.aggregate(F.sort_array(steps), F.lit(0.0), lambda total, step: total + step["value"]))
+
+
+#: How partial aggregates are made from rows and merged with each other. ``sum_by_time`` keeps the values with their ``time`` and
+#: adds them in that order when they are read: sums of doubles that do not hang on how rows arrived. It is meant for keys with few rows, as a cell's day.
+MAKES = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count, "sum_by_time": _steps}
+MERGES = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.sum, "sum_by_time": lambda name: F.flatten(F.collect_list(name))}
 
 
 def _merged(keys: Sequence[str], parts: Mapping[str, tuple[str, str]]) -> Callable[[DataFrame], DataFrame]:
@@ -164,15 +174,15 @@ def accumulate_into(
     """
 
     def store(batch: DataFrame, number: int) -> None:
-        made = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
-        prepare(batch).groupBy(*keys).agg(*[made[kind](c).alias(name) for name, (kind, c) in parts.items()]).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        prepare(batch).groupBy(*keys).agg(*[MAKES[kind](c).alias(name) for name, (kind, c) in parts.items()]).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(store).start()
 
 
 def accumulated(spark: SparkSession, path: str, keys: Sequence[str], parts: Mapping[str, tuple[str, str]]) -> DataFrame:
     """The whole aggregate of everything that ``accumulate_into`` has stored: one row per key."""
-    return _merged(keys, parts)(stored_batches(spark, path)).drop("batch")
+    merged = _merged(keys, parts)(stored_batches(spark, path)).drop("batch")
+    return merged.withColumns({name: _sum_of_steps(name) for name, (kind, _) in parts.items() if kind == "sum_by_time"})
 
 
 def _children(spark: SparkSession, path: str) -> list[str]:
@@ -223,7 +233,7 @@ def compact(spark: SparkSession, path: str, keys: Sequence[str], parts: Mapping[
 
 
 #: Partial aggregates of the daily rain totals and of the flagged days, and their keys but for the cell.
-RAIN_PARTS = {"daily_precip_total_mm": ("sum", "precipitation"), "daily_precip_max_step_mm": ("max", "precipitation")}
+RAIN_PARTS = {"daily_precip_total_mm": ("sum_by_time", "precipitation"), "daily_precip_max_step_mm": ("max", "precipitation")}
 FLAG_PARTS = {"heatwave_day_flag": ("max", "heatwave_day_flag")}
 
 

@@ -110,3 +110,25 @@ def test_compaction_that_breaks_off(spark, paths):
     assert read() == want
     assert ss.compact(spark, path, ["k"], parts) == 2 and read() == want and sorted(os.listdir(path)) == ["batch=3", "folded"]
     assert {r["k"]: r["v"] for r in ss.latest_state(spark, path, ["k"]).collect()} == want
+
+
+def test_accumulated_sums_do_not_hang_on_arrival(spark, tmp_path):
+    """A total of 25 mm in decimals: its last bit, and so the flag, is that of the order of times, whatever the batches."""
+    values = [7.261, 0.54, 3.582, 12.438, 1.179]
+    row = lambda hour, v: {"time": datetime(2024, 1, 1, hour), "latitude": 20.0, "longitude": 40.0, "precipitation": v}
+    schema = "time timestamp, latitude double, longitude double, precipitation double"
+
+    def total(name, hours):
+        path = f"{tmp_path}/{name}"
+        for n, batch in enumerate(hours):
+            rows = ss.on_days(spark.createDataFrame([row(h, values[h] if h < len(values) else None) for h in batch], schema))
+            rows.groupBy("date", "latitude", "longitude").agg(*[ss.MAKES[kind](c).alias(p) for p, (kind, c) in ss.RAIN_PARTS.items()]).write.parquet(f"{path}/batch={n}")
+        (out,) = ss.whole_daily_precip(spark, path).collect()
+        return out["daily_precip_total_mm"], out["daily_precip_max_step_mm"], out["daily_precip_extreme_flag"]
+
+    want = 0.0
+    for v in values:
+        want += v
+    for name, hours in (("a", [[0, 1, 2, 3, 4]]), ("b", [[4], [3], [1, 0, 9], [2]]), ("c", [[2, 3], [4, 0], [1]]), ("d", [[3, 1], [0, 2, 4]])):
+        assert total(name, hours) == (want, 12.438, 1.0 if want >= 25 else 0.0), name
+    assert total("none", [[9]]) == (None, None, None)
