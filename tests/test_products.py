@@ -46,3 +46,8 @@ def test_records_of_several_lengths(spark):
 def test_shown_probabilities_are_formatted_ones(spark):
     rows = spark.range(0, 20001).select((F.col("id") / 20000).alias("p"))
     assert rows.filter(pr._shown(F.col("p")) != F.format_string("(%.2f)", "p")).count() == 0
+
+
+def test_briefings_are_counted_where_they_are_made(spark):
+    plan = QUERIES["industry_briefings"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
