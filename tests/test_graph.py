@@ -37,3 +37,42 @@ def test_statements_are_the_triples(spark):
     once, many = q.gr.risk_triples(rows), q.gr.risk_statements(rows)
     assert once.count() == once.distinct().count() < many.count()
     assert set(map(tuple, once.collect())) == set(map(tuple, many.collect()))
+
+
+def text_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def stored_by(monkeypatch):
+    stored, cut = [], q.cut_lineage
+    monkeypatch.setattr(q, "cut_lineage", lambda df, *args: stored.append(df) or cut(df, *args))
+    return stored
+
+
+def test_lookups_read_the_graph_once(spark, monkeypatch):
+    stored = stored_by(monkeypatch)
+    out = QUERIES["graph_lookups"](spark, FOLDER)
+    assert difference(out.toPandas(), database(FOLDER).execute(ORACLES["graph_lookups"]).df()) is None
+    (impacts,) = stored
+    plan = text_of(impacts)
+    assert "lineitem" not in text_of(out) and plan.count("FileScan") == 1
+    # predicates are filtered in a generated stage of their own, before any point is scored
+    assert plan.index("explode([flash_flood") < plan.index("Coalesce") < plan.index("explode([[0,")
+    assert "Filter" in plan[plan.index("Coalesce") : plan.index("explode([[0,")]
+
+
+ODD = dict(latitude=1.0, longitude=None, valid_time="t", hazard_type="h", risk_level=None, risk_probability=0.5, model_family="rule", model_name="m", model_version="v", inference_mode=None)
+ODD |= dict(source_status="s", contributing_factors=["a", "a", "a-", None], indicator_evidence={"k": None, "k-": 2.0})
+
+
+def test_statements_are_the_triples_of_odd_rows(spark):
+    from pyspark.sql import Row
+
+    changes = [{}, {"valid_time": None}, {"model_name": None}, {"grid_id": None}, {"hazard_type": None}, {"contributing_factors": None}, {"contributing_factors": []}, {"indicator_evidence": None}]
+    changes += [{"indicator_evidence": {}}, {"contributing_factors": ["a_", "b"], "latitude": 2.0}, {"risk_probability": 0.5000000001, "source_status": "t"}]
+    rows = spark.createDataFrame([Row(**({"grid_id": "g"} | ODD | c)) for c in changes], "grid_id string, latitude double, longitude double, valid_time string, hazard_type string, risk_level string, risk_probability double, model_family string, model_name string, model_version string, inference_mode string, source_status string, contributing_factors array<string>, indicator_evidence map<string,double>")
+    once, open_, many = q.gr.risk_triples(rows), q.gr.risk_triples(rows, once=False), q.gr.risk_statements(rows)
+    assert set(map(tuple, once.collect())) == set(map(tuple, many.collect())) == set(map(tuple, open_.collect()))
+    named = once.filter("subject IS NOT NULL")
+    assert named.count() == named.distinct().count()
+    assert "hashpartitioning(grid_id" not in text_of(open_) and set(map(tuple, q.gr.risk_statements(q.gr.with_predicates(rows)).collect())) == set(map(tuple, many.collect()))
