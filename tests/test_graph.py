@@ -1,5 +1,7 @@
 """Evidence triples of risks."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +45,14 @@ def text_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def exchanges(df):
+    return [line for line in text_of(df).splitlines() if "Exchange hashpartitioning" in line]
+
+
+def branches_that_read(df):
+    return [b for b in re.split(r"\n[\s:+-]+(?=\S* ?Project \[\S+ AS (?:subject|predicate))", text_of(df)) if "FileScan" in b]
+
+
 def stored_by(monkeypatch):
     stored, cut = [], q.cut_lineage
     monkeypatch.setattr(q, "cut_lineage", lambda df, *args: stored.append(df) or cut(df, *args))
@@ -76,3 +86,13 @@ def test_statements_are_the_triples_of_odd_rows(spark):
     named = once.filter("subject IS NOT NULL")
     assert named.count() == named.distinct().count()
     assert "hashpartitioning(grid_id" not in text_of(open_) and set(map(tuple, q.gr.risk_statements(q.gr.with_predicates(rows)).collect())) == set(map(tuple, many.collect()))
+
+
+def test_evidence_triples_shuffle_measured_rows_alone(spark):
+    """Branches of other triples are not read, and rows are opened to their measurements before they are shuffled."""
+    out = QUERIES["risk_evidence_triples"](spark, FOLDER)
+    plan = text_of(out)
+    assert "format_string" not in plan and "DisasterEvent" not in plan
+    (dealt,) = [line for line in exchanges(out) if "hashpartitioning(grid_id" in line]
+    below = plan[plan.index(dealt) :]
+    assert below.index("explode(indicator_evidence") < below.index("FileScan")
