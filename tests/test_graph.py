@@ -88,6 +88,15 @@ def test_statements_are_the_triples_of_odd_rows(spark):
     assert "hashpartitioning(grid_id" not in text_of(open_) and set(map(tuple, q.gr.risk_statements(q.gr.with_predicates(rows)).collect())) == set(map(tuple, many.collect()))
 
 
+def test_typed_triples_shuffle_short_keys(spark):
+    """Only branches of types that are counted are read; what is shuffled are hazards, places and times, never names or lists."""
+    out = QUERIES["risk_triples"](spark, FOLDER)
+    plan = text_of(out)
+    assert plan.count("FileScan") == 5
+    assert [line for line in exchanges(out) if "subject" in line or "_e#" in line or "_r#" in line or "_l#" in line] == []
+    assert not [line for line in plan.splitlines() if "sha1" in line and "concat_ws(|" not in line]
+
+
 def test_evidence_triples_shuffle_measured_rows_alone(spark):
     """Branches of other triples are not read, and rows are opened to their measurements before they are shuffled."""
     out = QUERIES["risk_evidence_triples"](spark, FOLDER)
