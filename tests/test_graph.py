@@ -88,6 +88,17 @@ def test_statements_are_the_triples_of_odd_rows(spark):
     assert "hashpartitioning(grid_id" not in text_of(open_) and set(map(tuple, q.gr.risk_statements(q.gr.with_predicates(rows)).collect())) == set(map(tuple, many.collect()))
 
 
+def test_classes_are_read_once_and_without_names(spark, monkeypatch):
+    stored = stored_by(monkeypatch)
+    out = QUERIES["validate_graph"](spark, FOLDER)
+    assert difference(out.toPandas(), database(FOLDER).execute(ORACLES["validate_graph"]).df()) is None
+    (classes,) = stored
+    assert "lineitem" not in text_of(out)
+    # one branch for each of the seven forms that tell a class, none of which makes a name
+    read = branches_that_read(classes)
+    assert len(read) == 7 and not [b for b in read if "sha1" in b or "regexp_replace" in b]
+
+
 def test_typed_triples_shuffle_short_keys(spark):
     """Only branches of types that are counted are read; what is shuffled are hazards, places and times, never names or lists."""
     out = QUERIES["risk_triples"](spark, FOLDER)
