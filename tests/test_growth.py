@@ -180,3 +180,12 @@ def test_grounding_triples_are_filtered_before_they_are_made(spark):
     assert out.count() == out.distinct().count()
     # what is shuffled are rows of gaps, never triples
     assert [line for line in plan_of(out).splitlines() if "Exchange hashpartitioning" in line and "_n" not in line.split("hashpartitioning(")[1].split(",")[0]] == []
+
+
+def test_triples_are_written_compressed(spark, tmp_path):
+    triples = spark.range(3000).selectExpr("concat('urn:gridwarden:event_', id) subject", "'rdfs:label' predicate", "if(id % 2 = 0, 'a \"b\"', 'c') object")
+    store.write_triples(triples, str(tmp_path / "t"))
+    files = [f for f in (tmp_path / "t").iterdir() if f.name.startswith("part-")]
+    assert files and all(f.name.endswith(".txt.gz") for f in files) and sum(f.stat().st_size for f in files) < 3000 * 15
+    lines = sorted(r["value"] for r in spark.read.text(str(tmp_path / "t")).collect())
+    assert lines == sorted(r["value"] for r in gr.ntriples_lines(triples).collect()) and lines[0] == '<urn:gridwarden:event_0> <rdfs:label> "a \\"b\\"" .'
